@@ -48,7 +48,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, block
     """
     weights = dict(WEIGHTS if weights is None else weights)
     d = docs.drop("mix_source", "mix_slot", "mix_position").withColumn("mix_source", F.coalesce("source", F.lit("")))
-    order = [F.col("doc_id").asc_nulls_first()] + ([F.crc32(F.coalesce("text", F.lit("")).cast("binary"))] if "text" in docs.columns else [])
+    order = [F.col("doc_id").asc_nulls_first()] + [F.col("text_crc32")] * ("text_crc32" in docs.columns) + ([F.crc32(F.coalesce("text", F.lit("")).cast("binary"))] if "text" in docs.columns else [])
     d = materialize(prefix_sums(d, order, F.lit(0), F.col("mix_source")).drop("_before_size"), "ranked")
     counts = {r["mix_source"]: r["n"] for r in d.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
     use = {s: weights.get(s, default) for s in counts}
@@ -61,7 +61,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, block
     spark = docs.sparkSession
     plan = spark.createDataFrame(slots, "p_source string, p_turn bigint, p_slot bigint, p_seen array<bigint>")
     rows, share = F.array(*(F.lit(counts[s]).cast("bigint") for s in names)), F.array(*(F.lit(use[s]).cast("bigint") for s in names))
-    weight = F.create_map(*(x for s in names for x in (F.lit(s), F.lit(use[s]).cast("bigint"))))["mix_source"] if names else F.lit(1)
+    weight = F.create_map(*(x for s in names for x in (F.lit(s), F.lit(use[s]).cast("bigint"))))[F.col("mix_source")] if names else F.lit(1)
     d = d.withColumn("_block", F.expr(f"_before_rows div {block_rows}")).withColumn("_weight", weight)
     d = d.withColumn("_cycle", F.expr("_block div _weight")).withColumn("_turn", F.expr("_block % _weight"))
     placed = d.join(F.broadcast(plan), (d["mix_source"] == plan["p_source"]) & (d["_turn"] == plan["p_turn"]))
@@ -76,3 +76,19 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, block
     placed = placed.withColumn("mix_slot", F.col("_cycle") * len(cycle) + F.col("p_slot"))
     placed = placed.withColumn("mix_position", ahead + F.expr(f"_before_rows % {block_rows}"))
     return placed.select(*(c for c in docs.columns if c not in ("mix_source", "mix_slot", "mix_position")), "mix_source", "mix_slot", "mix_position")
+
+
+def in_mix_order(docs: DataFrame, **options) -> DataFrame:
+    """`docs`, its rows stored in mix order: partitions are ranges of the mix position and sorted by it.
+
+    Only doc_id, source and a CRC-32 are scheduled; texts move twice, to meet their position and to be sorted. Written as files,
+    the order is that of file names and of the rows inside them.
+    """
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    key = ["doc_id", "source", "text_crc32"]
+    at = mix_sources(docs.select("doc_id", "source", crc.alias("text_crc32")), **options).groupBy(*key).agg(F.min("mix_position").alias("_at"))
+    at = materialize(at.withColumnsRenamed({k: f"_{k}" for k in key}), "positions")
+    d = docs.withColumn("_crc", crc)
+    same = F.col("_crc").eqNullSafe(F.col("_text_crc32")) & d["doc_id"].eqNullSafe(F.col("_doc_id")) & d["source"].eqNullSafe(F.col("_source"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return d.join(at, same).repartitionByRange(n, "_at").sortWithinPartitions("_at").select(*(d[c] for c in docs.columns))
