@@ -7,11 +7,16 @@ overlap, so no string lies across a border, which is what makes the parse prefix
 distinct phrases, the parse their sequence; only they are shuffled, about one for 76 bytes.
 
 Full suffix order is not needed to find strings of one given length: what counts is which dictionary suffixes agree on
-their first `length` bytes. So the ranks of suffix arrays are replaced by hash classes, in three steps: a core that
-occurs once has only unique strings; a phrase that occurs twice has only repeated ones; a single phrase whose core is
-shared is opened, and its strings are compared with those of the core's other phrases, one copy of each.
+their first `length` bytes. So the ranks of suffix arrays are replaced by hash classes, refined step by step:
 
-Classes are 128 bits (core and phrase, or core and string, 64 bits each), from a hash modulo 2**64.
+1. A core that occurs once has only unique strings.
+2. A phrase that occurs twice has only repeated ones; a phrase that occurs once and whose core is shared is torn.
+3. Torn phrases (and one copy of the others of their core) are cut into blocks of `BLOCK` starts, aligned to the trigger. The bytes common to
+   all strings of a block are its inner part: if it occurs once, all strings are unique. All bytes of a block are its
+   outer part: if it occurs twice, all strings are repeated.
+4. What is left, blocks with a shared inner and different outer parts, is compared string by string, one copy of each.
+
+Classes are at least 128 bits (core with phrase, inner with outer, core with string; 64 bits each, modulo 2**64).
 """
 
 from __future__ import annotations
@@ -23,26 +28,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 from .textkit import _VALUE, mix, powers
 
-LENGTH, CORE = 200, 50
+LENGTH, CORE, BLOCK = 200, 50, 16
 PART = 1 << 19  # bytes of a text parsed at once
 _U = np.uint64
 
 
-def phrases(raw: bytes, length: int, core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(core hash, phrase hash, lo, hi) of the phrases of a text; a long text is parsed in parts, which cuts phrases at
+def phrases(raw: bytes, length: int, core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(core hash, phrase hash, place) of the phrases of a text; a long text is parsed in parts, which cuts phrases at
     the borders of parts but loses no string."""
     out = []
     for at in range(0, max(1, len(raw) - length + 1), PART):
         part = raw[at : at + PART + length - 1]
         if len(part) >= length:
-            f, c, lo, hi = _phrases(part, length, core)
-            out.append((f, c, lo + at, hi + at))
+            f, c, lo, q, hi = _phrases(part, length, core)
+            out.append((f, c, _pack(lo + at, q + at, hi + at)))
     if not out:
         z = np.zeros(0, _U)
-        return z, z, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return z, z, np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -72,60 +77,104 @@ def _phrases(raw: bytes, length: int, core: int):
     hi = np.append(lo[1:], len(q)) - 1
     q = q[lo]
     whole = mix((s[hi + length] - s[lo]) * down[lo] + mix((q - lo) * 65536 + (hi - lo)))
-    return h[q], whole, lo, hi
+    return h[q], whole, lo, q, hi
+
+
+def _pack(lo: np.ndarray, q: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return lo << 20 | (q - lo) << 10 | (hi - lo)
+
+
+def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lo = at >> 20
+    return lo, lo + (at >> 10 & 1023), lo + (at & 1023)
 
 
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _hashes(raw: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of substrings of a text, `start` ascending; long texts one part at a time."""
+    out = np.empty(len(start), _U)
+    most = int(size.max()) if len(size) else 0
+    for at in range(0, len(raw), PART):
+        here = slice(*np.searchsorted(start, (at, at + PART)))
+        if here.start < here.stop:
+            s, down = _prefix(raw[at : at + PART + most])
+            x = start[here] - at
+            out[here] = (s[x + size[here]] - s[x]) * down[x] + size[here].astype(_U)
+    return mix(out)
+
+
+def _gathered(rows: Iterator[pd.DataFrame], most: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Frames of about `most` rows."""
+    held, n = [], 0
+    for df in rows:
+        held.append(df)
+        n += len(df)
+        if n > most:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
+
+
 def _parsed(length: int, core: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            held, size = [], 0
             for doc_id, node, text in zip(pdf["doc_id"], pdf["node"], pdf["text"], strict=True):
-                f, c, lo, hi = phrases(_raw(text), length, core)
-                if len(f):
-                    held.append(pd.DataFrame({"doc_id": doc_id, "node": [node] * len(f), "core": f.view(np.int64), "phrase": c.view(np.int64), "lo": lo, "hi": hi}))
-                    size += len(f)
-                if size > 20_000:
-                    yield pd.concat(held)
-                    held, size = [], 0
-            if held:
-                yield pd.concat(held)
+                f, c, at = phrases(_raw(text), length, core)
+                yield pd.DataFrame({"doc_id": pd.Series([doc_id] * len(f), dtype=pdf["doc_id"].dtype), "node": node, "core": f.view(np.int64), "phrase": c.view(np.int64), "at": at})
+
+    return lambda batches: _gathered(x for x in frames(batches) if len(x))
+
 
-    return run
+def _listed(pdf: pd.DataFrame) -> Iterator[tuple[object, int, bytes, list[np.ndarray]]]:
+    """doc_id, node, bytes, and the columns of the row's list, in order of place."""
+    for doc_id, node, text, rows in zip(pdf["doc_id"], pdf["node"], pdf["text"], pdf["rows"], strict=True):
+        rows = sorted(tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in rows)
+        yield doc_id, node, _raw(text), [np.array(x) for x in zip(*rows, strict=True)]
 
 
-def _opened(length: int):
-    """Every string of the listed phrases: core, string hash, and for single phrases where it starts."""
+def _blocks(length: int):
+    """Blocks of the listed phrases (at, core): inner and outer hash, the starts `at` to `at + n - 1`."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            held, size = [], 0
-            for node, text, spans in zip(pdf["node"], pdf["text"], pdf["spans"], strict=True):
-                raw = _raw(text)
-                spans = sorted(tuple(x) if not isinstance(x, dict) else (x["lo"], x["hi"], x["core"], x["single"]) for x in spans)
-                lo, hi, core, single = (np.array(x) for x in zip(*spans, strict=True))
-                n = hi - lo + 1
-                p = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                h = np.empty(len(p), _U)
-                for at in range(0, len(raw), PART):  # hashes of one part at a time
-                    here = slice(*np.searchsorted(p, (at, at + PART)))
-                    if here.start < here.stop:
-                        s, down = _prefix(raw[at : at + PART + length])
-                        x = p[here] - at
-                        h[here] = mix((s[x + length] - s[x]) * down[x])
-                one = np.repeat(single, n)
-                held.append(pd.DataFrame({"core": np.repeat(core, n), "string": h.view(np.int64), "node": np.where(one, node, None), "p": p.astype(np.int64)}))
-                size += len(p)
-                if size > 50_000:
-                    yield pd.concat(held)
-                    held, size = [], 0
-            if held:
-                yield pd.concat(held)
-
-    return run
+            for doc_id, node, raw, (at, core) in _listed(pdf):
+                lo, q, hi = _unpack(at)
+                first, last = (lo - q) // BLOCK, (hi - q) // BLOCK
+                n = last - first + 1
+                i = np.repeat(np.arange(len(lo)), n)
+                k = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                begin = q[i] + k * BLOCK
+                a, b = np.maximum(begin, lo[i]), np.minimum(begin + BLOCK - 1, hi[i])
+                order = np.argsort(begin, kind="stable")
+                i, k, begin, a, b = i[order], k[order], begin[order], a[order], b[order]
+                inner = _hashes(raw, begin + BLOCK - 1, np.full(len(begin), length - BLOCK + 1))
+                again = np.argsort(a, kind="stable")
+                outer = np.empty(len(a), _U)
+                outer[again] = _hashes(raw, a[again], (b - a + length)[again])
+                inner = mix(inner ^ core[i].view(_U) ^ mix(k.view(_U)))
+                outer = mix(outer ^ mix((a - begin) * BLOCK + b - begin))
+                yield pd.DataFrame({"doc_id": pd.Series([doc_id] * len(i), dtype=pdf["doc_id"].dtype), "node": node, "inner": inner.view(np.int64), "outer": outer.view(np.int64), "at": a, "n": b - a + 1})
+
+    return lambda batches: _gathered(frames(batches))
+
+
+def _strings(length: int):
+    """The strings of the listed blocks (at, n, inner): inner, string, and where it starts."""
+
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc_id, node, raw, (at, n, inner) in _listed(pdf):
+                p = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                order = np.argsort(p, kind="stable")
+                p, inner = p[order], np.repeat(inner, n)[order]
+                h = _hashes(raw, p, np.full(len(p), length))
+                yield pd.DataFrame({"doc_id": pd.Series([doc_id] * len(p), dtype=pdf["doc_id"].dtype), "node": node, "inner": inner, "string": h.view(np.int64), "at": p})
+
+    return lambda batches: _gathered(frames(batches))
 
 
 def cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -139,25 +188,52 @@ def cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of it: texts that share a doc_id are told apart."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("node"))
+
+
+def _with_lists(d: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
+    """The texts of `d` that have `rows` (doc_id, node, cols), once each, with a list of them (no more than the text has bytes)."""
+    lists = rows.groupBy("doc_id", "node").agg(F.collect_list(F.struct(*cols)).alias("rows")).withColumnsRenamed({"doc_id": "_d", "node": "_n"})
+    return d.join(lists, d["doc_id"].eqNullSafe(F.col("_d")) & (d["node"] == F.col("_n"))).select("doc_id", "node", "text", "rows")
+
+
+def _classes(rows: DataFrame, outer: str, inner: str, *place: str) -> DataFrame:
+    """For each class (inner, outer) of an inner class with several rows: n rows, the least place, and whether the
+    inner class is torn into several outer ones."""
+    first = F.min(F.struct("doc_id", "node", *place)).alias("first")
+    whole = rows.groupBy(inner, outer).agg(F.count("*").alias("n"), first)
+    shared = whole.groupBy(inner).agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1").select(inner, (F.col("kinds") > 1).alias("torn"))
+    return materialize(whole.join(shared, inner), "classes")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
-    """(node, spans): for the MD5 of each text that has any, the byte spans covered by repeated strings."""
-    d = docs.select("doc_id", "text").withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    """(doc_id, node, spans): for each text that has any, the byte spans covered by repeated strings."""
+    d = _keyed(docs)
     kind = d.schema["doc_id"].dataType.simpleString()
-    parse = d.where(F.octet_length("text") >= length).mapInPandas(_parsed(length, core), f"doc_id {kind}, node binary, core bigint, phrase bigint, lo bigint, hi bigint")
+    parse = d.where(F.octet_length("text") >= length).mapInPandas(_parsed(length, core), f"doc_id {kind}, node bigint, core bigint, phrase bigint, at bigint")
     parse = materialize(parse, "parse")
-    # cores that occur more than once, and whether in more than one phrase
-    cores = parse.groupBy("core").agg(F.count("*").alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b")).where("n > 1").select("core", (F.col("a") != F.col("b")).alias("torn"))
-    again = materialize(parse.join(cores, "core"), "again")
-    counts = again.groupBy("core", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "node", "lo", "hi")).alias("first"), F.max("torn").alias("torn"))
-    counts = materialize(counts, "phrases")
-    whole = again.join(counts.where("n > 1").select("core", "phrase"), ["core", "phrase"]).select("node", "lo", (F.col("hi") + length).alias("to")).distinct()
-    spans = counts.where("torn").select("first.doc_id", "first.node", F.struct("first.lo", "first.hi", "core", (F.col("n") == 1).alias("single")).alias("x")).groupBy("doc_id", "node").agg(F.collect_list("x").alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("d2"), F.col("node").alias("n2"), "spans")
-    text = d.join(spans, d["doc_id"].eqNullSafe(spans["d2"]) & (d["node"] == spans["n2"])).select("node", "text", "spans")
-    strings = materialize(text.mapInPandas(_opened(length), "core bigint, string bigint, node binary, p bigint"), "strings")
-    twice = strings.groupBy("core", "string").agg(F.count("*").alias("n")).where("n > 1").select("core", "string")
-    own = strings.where("node is not null").join(twice, ["core", "string"]).select("node", F.col("p").alias("lo"), (F.col("p") + length).alias("to"))
-    return whole.unionByName(own).distinct().groupBy("node").agg(F.collect_list(F.struct("lo", "to")).alias("spans"))
+    phrase = _classes(parse, "phrase", "core", "at")
+    lo = F.expr("shiftright(at, 20)")
+    span = ("doc_id", "node", lo.alias("lo"), (lo + F.expr("at & 1023") + length).alias("to"))
+    whole = materialize(parse.join(phrase.where("n > 1").select("core", "phrase"), ["core", "phrase"]).select(*span), "whole")
+    discard(parse)
+
+    torn = phrase.where("torn").select("core", "first.*")
+    blocks = _with_lists(d, torn, "at", "core").mapInPandas(_blocks(length), f"doc_id {kind}, node bigint, inner bigint, outer bigint, at bigint, n bigint")
+    blocks = materialize(blocks, "blocks")
+    block = _classes(blocks, "outer", "inner", "at", F.col("n").alias("size"))
+    part = blocks.join(block.where("n > 1").select("inner", "outer"), ["inner", "outer"]).select("doc_id", "node", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("to"))
+    part = materialize(part, "part")
+    discard(blocks)
+
+    mixed = block.where("torn").select("inner", "first.*")
+    strings = _with_lists(d, mixed, "at", "size", "inner").mapInPandas(_strings(length), f"doc_id {kind}, node bigint, inner bigint, string bigint, at bigint")
+    strings = materialize(strings, "strings")
+    twice = strings.groupBy("inner", "string").agg(F.count("*").alias("n")).where("n > 1").select("inner", "string")
+    single = strings.join(twice, ["inner", "string"]).select("doc_id", "node", F.col("at").alias("lo"), (F.col("at") + length).alias("to"))
+    return whole.unionByName(part).unionByName(single).distinct().groupBy("doc_id", "node").agg(F.collect_list(F.struct("lo", "to")).alias("spans"))
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,8 +259,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> D
     the remaining bytes, which may cut a character. A null text is empty; texts shorter than `length` are untouched; a
     repeated row is a repetition like any other; null doc_ids are kept; an empty table gives no rows.
     """
-    d = docs.select("doc_id", "text").withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    d = _keyed(docs)
     kind = d.schema["doc_id"].dataType.simpleString()
-    joined = d.join(repeated_spans(docs, length, core), "node", "left").select("doc_id", "text", "spans")
+    spans = materialize(repeated_spans(docs, length, core), "spans").withColumnsRenamed({"doc_id": "_d", "node": "_n"})
+    joined = d.join(spans, d["doc_id"].eqNullSafe(F.col("_d")) & (d["node"] == F.col("_n")), "left").select("doc_id", "text", "spans")
     return joined.mapInPandas(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
-

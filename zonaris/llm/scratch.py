@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -30,17 +31,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     _written.append((spark, path))
+    gc.collect()  # the written plan is garbage now; once it is collected, Spark's cleaner drops its shuffle files
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that `materialize` returned and that nothing reads any more."""
+    folders = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in df.inputFiles()}
+    for entry in [x for x in _written if x[1].split(":", 1)[-1].lstrip("/") in folders]:
+        _delete(*entry)
+        _written.remove(entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_scratch() -> None:
     """Delete every table that `materialize` wrote; results that still read them must be written before."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended already: nothing is left to delete with
             return
 
