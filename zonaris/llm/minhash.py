@@ -13,8 +13,8 @@ position, the probability of the weighted Jaccard similarity.
 
 Candidates share a band. They are not expanded into pairs: texts with the same multiset are one node; each node is first
 verified against one hub of its buckets, then against the hubs of buckets that still hold several components, and at
-last every pair of a bucket that is still in two components, with one side outside the bucket's largest component, is
-verified. A pair that is skipped is one whose ends are in one component already, so no link is lost to the order.
+last every pair of texts of such buckets that are still in two components and can be similar by an exact prefix filter
+(`torn_pairs`) is verified. The hub is the text that shares the most buckets' members, so it is the centre of a group of near copies. A pair that is skipped is one whose ends are in one component already, so no link is lost to the order.
 """
 
 from __future__ import annotations
@@ -129,6 +129,26 @@ def _expanded(shingle: int):
     return run
 
 
+def torn_pairs(items: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (node, p) of different components that can be similar, without expanding buckets.
+
+    Prefix filter: order items by how many of `nodes` have them, rare ones first. Two sets of sizes n with a similarity of at
+    least t share one of the first n - ceil(t * n) + 1 items of each. An edit makes items that no other text has, so texts that were
+    edited too much for any partner have only unique items there, and drop out. Of the others, those that share an item
+    pair up, but only outside the item's largest component.
+    """
+    held = materialize(items.join(nodes, "node").select("node", "comp", F.size("items").alias("n"), F.explode("items").alias("item")), "torn_items")
+    common = held.groupBy("item").agg(F.count("*").alias("df"))
+    ranked = held.join(common, "item").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("order"))
+    first = F.expr(f"slice(order, 1, n - cast(ceil(n * {threshold} - 1e-9) as int) + 1)")
+    prefix = ranked.select("node", "comp", F.explode(first).alias("x")).where("x.df > 1").select("node", "comp", F.col("x.item").alias("item"))
+    prefix = materialize(prefix, "prefixes")
+    per = prefix.groupBy("item", "comp").agg(F.count("*").alias("n"))
+    top = per.groupBy("item").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    rest = prefix.join(top, "item").where("comp <> top").select("item", F.col("node").alias("p"), F.col("comp").alias("p_comp"))
+    return prefix.join(rest, "item").where("comp <> p_comp").select("node", "p")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """One row (doc_id, class_id, n_links) for every row of `docs` (doc_id, text; further columns are ignored).
 
@@ -142,8 +162,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     kind = d.schema["doc_id"].dataType.simpleString()
     sig = materialize(d.mapInPandas(_signatures(bands, rows, shingle), f"doc_id {kind}, node binary, keys array<bigint>"), "signatures")
     node_key = sig.where("node is not null").select("node", F.explode("keys").alias("key")).distinct()
-    bucket = node_key.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("hub")).where("n > 1")
-    member = materialize(node_key.join(bucket, "key").select("key", "node", "hub"), "buckets")
+    bucket = node_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(node_key.join(bucket, "key"), "buckets")
+    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))  # a text amid many near copies shares the most
+    ranked = materialize(shared.select("key", "node").join(degree, "node"), "ranked")
+    hub = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    member = materialize(ranked.join(hub, "key"), "members")
 
     ids = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(member.select("node").distinct(), "node", "left_semi")
     texts = d.join(ids, d["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "text")
@@ -160,20 +184,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         return pairs.join(one, "a").join(two, "b").where(close & alike).select("a", "b")
 
     pair = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
-    first = member.where("hub <> node").groupBy("node").agg(F.min(F.struct(F.xxhash64("hub").alias("h"), "hub"))["hub"].alias("hub"))
+    first = member.groupBy("node").agg(F.max("hub")["node"].alias("hub")).where("hub <> node")
     links = materialize(verified(first.select(*pair("node", "hub")).distinct()), "links")
-    for last in (False, True):
+    for hub_of in (F.struct("degree", "node", "comp"), F.struct(F.xxhash64("node", "key"), "node", "comp"), None):
         comp = components(links)
-        held = member.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        torn = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "comp")).alias("hub")).where("lo <> hi")
+        held = member.select("key", "node", "degree").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        torn = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("degree", "node", "comp") if hub_of is None else hub_of).alias("hub")).where("lo <> hi")
         held = materialize(held.join(torn.select("key", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "key"), "torn")
-        if not last:
+        if hub_of is not None:
             tried = held.where("comp <> hub_comp").select(*pair("node", "hub")).distinct()
         else:
-            sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
-            top = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"))
-            rest = held.join(top, "key").where("comp <> top").select("key", F.col("node").alias("p"), F.col("comp").alias("p_comp"))
-            tried = held.join(rest, "key").where("comp <> p_comp").select(*pair("node", "p")).distinct()
+            tried = torn_pairs(items, held.select("node", "comp").distinct(), threshold).select(*pair("node", "p")).distinct()
         links = materialize(links.unionByName(verified(tried)).distinct(), "links")
     comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
