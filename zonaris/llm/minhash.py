@@ -141,12 +141,14 @@ def torn_pairs(items: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     common = held.groupBy("item").agg(F.count("*").alias("df"))
     ranked = held.join(common, "item").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("order"))
     first = F.expr(f"slice(order, 1, n - cast(ceil(n * {threshold} - 1e-9) as int) + 1)")
-    prefix = ranked.select("node", "comp", F.explode(first).alias("x")).where("x.df > 1").select("node", "comp", F.col("x.item").alias("item"))
+    prefix = ranked.select("node", "comp", "n", F.posexplode(first).alias("i", "x")).where("x.df > 1").select("node", "comp", F.col("x.item").alias("item"), (F.col("n") - F.col("i")).alias("left"), "n")
     prefix = materialize(prefix, "prefixes")
     per = prefix.groupBy("item", "comp").agg(F.count("*").alias("n"))
     top = per.groupBy("item").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    rest = prefix.join(top, "item").where("comp <> top").select("item", F.col("node").alias("p"), F.col("comp").alias("p_comp"))
-    return prefix.join(rest, "item").where("comp <> p_comp").select("node", "p")
+    rest = prefix.join(top, "item").where("comp <> top").select("item", F.col("node").alias("p"), F.col("comp").alias("p_comp"), F.col("left").alias("p_left"), F.col("n").alias("p_n"))
+    # at their first common item, what is left of the smaller rest bounds the overlap; a similar pair passes there
+    enough = F.least("left", "p_left") >= threshold / (1 + threshold) * (F.col("n") + F.col("p_n")) - 1e-9
+    return prefix.join(rest, "item").where((F.col("comp") != F.col("p_comp")) & enough).select("node", "p")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
