@@ -5,11 +5,14 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_BYTES, PIECE_CHARS = 1 << 20, 1 << 16
+from .textkit import chunks
+
+BATCH_CHARS, PIECE_CHARS = 1 << 20, 1 << 16
 _loaded: dict[tuple, object] = {}
 
 
@@ -46,8 +49,8 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, special: tuple[
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of `docs` (doc_id, text; further columns are ignored).
 
     `ranks_path` is a file of `base64-token rank` lines, `pattern` its pre-tokeniser, `special` the strings that are one
-    token wherever they stand in a text. A null text is empty and has 0 tokens; nothing is truncated or padded. Rows are
-    encoded one after the other in pieces, so a worker holds one piece's tokens at a time. Repeated rows and null doc_ids are kept; an
+    token wherever they stand in a text. A null text is empty and has 0 tokens; nothing is truncated or padded. Pieces of
+    all rows are encoded in batches of about `BATCH_CHARS` characters, so a worker holds one batch's tokens at a time. Repeated rows and null doc_ids are kept; an
     empty table gives no rows.
     """
     names = {s for s, _ in special}
@@ -55,7 +58,11 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, special: tuple[
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = byte_bpe(ranks_path, pattern, special)
         for pdf in batches:
-            n = [sum(len(enc.encode(p, allowed_special=names, disallowed_special=())) for p in pieces(t or "")) for t in pdf["text"]]
+            n = np.zeros(len(pdf), np.int64)
+            parts = [(i, p) for i, t in enumerate(pdf["text"]) for p in pieces(t or "")]
+            for s in chunks([len(p) for _, p in parts], BATCH_CHARS):
+                coded = enc.encode_batch([p for _, p in parts[s]], num_threads=1, allowed_special=names, disallowed_special=())
+                np.add.at(n, [i for i, _ in parts[s]], [len(x) for x in coded])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": n})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
