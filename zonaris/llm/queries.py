@@ -96,4 +96,28 @@ QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: crc32 (op5) has no DuckDB form; op1 to op4, op6, op7, op9, op10 and the pipeline are tested against brute force, held-out accuracy and round trips.
+ORACLE_SQL: dict[str, str] = {
+    "op8_source_mixing": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id NULLS FIRST) - 1 AS r FROM documents
+        ), src AS (
+            SELECT s, CAST(CASE s WHEN 'src0' THEN 4 WHEN 'src1' THEN 2 WHEN 'src2' THEN 2 ELSE 1 END AS BIGINT) AS e FROM d GROUP BY s
+        ), names AS (
+            SELECT list(s ORDER BY s) AS ns, list(e ORDER BY s) AS es, CAST(sum(e) AS BIGINT) AS q FROM src
+        ), step(t, done, pick) AS (
+            SELECT CAST(0 AS BIGINT), list_transform(es, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM names
+            UNION ALL
+            SELECT t + 1, list_transform(range(1, len(done) + 1), lambda i: done[i] + CAST(i = p AS BIGINT)), p FROM (
+                SELECT t, done, list_min(list_transform(
+                    list_filter(range(1, len(done) + 1), lambda i: done[i] < es[i] AND done[i] * q // es[i] <= t),
+                    lambda i: ((done[i] + 1) * q + es[i] - 1) // es[i] * 1000000 + i)) % 1000000 AS p
+                FROM step, names WHERE t < q) AS x
+        ), slots AS (
+            SELECT t - 1 AS slot, ns[pick] AS s, done[pick] - 1 AS turn FROM step, names WHERE t > 0
+        ), placed AS (
+            SELECT doc_id, d.s, r, (r // 16 // e) * q + slot AS mix_slot
+            FROM d JOIN src ON d.s = src.s JOIN slots ON slots.s = d.s AND slots.turn = (r // 16) % e, names
+        )
+        SELECT doc_id, s AS mix_source, mix_slot, row_number() OVER (ORDER BY mix_slot, r) - 1 AS mix_position FROM placed""",
+}
