@@ -87,7 +87,7 @@ def _rows(texts: list[str | None], window: int, literals: int, wanted: np.ndarra
         hit = wanted[i] == h if len(wanted) else np.zeros(len(h), bool)
         text, pos, h, at = text[hit], pos[hit], h[hit], at[hit]
     slots = [value[a : a + window][value[a : a + window] > 0].view(np.int64) for a in at]
-    return text, {"pos": pos.astype(np.int64), "key": h.view(np.int64), "slots": slots}
+    return text, {"pos": pos.astype(np.int64), "key": h.view(np.int64), "slots": pd.Series(slots, dtype=object)}
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, literals: int = LITERALS, filter_windows: int = FILTER_WINDOWS) -> DataFrame:
