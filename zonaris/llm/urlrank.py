@@ -88,7 +88,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     rank = propagate(materialize(host_edges(p), "edges"), seeds, damping, steps)
     wide = rank.groupBy("host").agg(*(F.sum(F.when(F.col("side") == s, F.col("rank")).otherwise(0.0)).alias(n) for s, n in (("t", "trust"), ("d", "distrust"))))
     wide = materialize(wide, "hosts")
-    mean = wide.agg((F.lit(1.0) / F.count("*"))).first()[0] or 0.0
+    mean = 1.0 / max(wide.count(), 1)
     bad = (F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") > floor * mean)
     wide = wide.select(F.col("host").alias("h"), "trust", "distrust", bad.alias("bad"))
     out = p.drop("html").join(wide, F.col("host") == F.col("h"), "left")
