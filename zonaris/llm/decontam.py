@@ -95,7 +95,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
 
     `docs` has doc_id and text, `benchmark` item_id and text; further columns are ignored. coverage is the share of the item's
     windows (with enough literal words) found with consistent slots; reworded tells that some slot has another value.
-    Items without such windows, null texts and empty tables match nothing. Repeated rows are judged as one document;
+    Items without such windows, null texts and empty tables match nothing; a null id is an id like any other. Repeated rows are judged as one document;
     texts that share a doc_id are judged apart and the best is told. Hashes of the benchmark are sent to tasks as a
     filter only while there are at most `filter_windows`; above that the windows are joined without it.
     """
@@ -128,11 +128,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
     votes = hit.select(*pair, F.inline("pairs")).groupBy(*pair, "a", "b").agg(F.count("*").alias("n"))
     chosen = votes.groupBy(*pair, "a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
     agreed = chosen.groupBy(*pair).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("of"))  # at most the slots of one item
-    judged = hit.join(agreed.withColumnsRenamed({c: f"r_{c}" for c in pair}), F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & F.col("node").eqNullSafe(F.col("r_node")) & (F.col("item_id") == F.col("r_item_id")), "left")
+    judged = hit.join(agreed.withColumnsRenamed({c: f"r_{c}" for c in pair}), F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & F.col("node").eqNullSafe(F.col("r_node")) & F.col("item_id").eqNullSafe(F.col("r_item_id")), "left")
     judged = judged.withColumn("fits", F.forall("pairs", lambda p: F.col("of")[p["a"]] == p["b"])).withColumn("changed", F.exists("pairs", lambda p: p["a"] != p["b"]))
     per = judged.where("fits").groupBy(*pair).agg(F.countDistinct("item_pos").alias("n"), F.max("changed").alias("reworded"))
-    whole = items.groupBy("item_id").agg(F.countDistinct("pos").alias("of"))
-    out = per.join(whole, "item_id").withColumn("coverage", F.col("n") / F.col("of")).where(F.col("coverage") >= threshold)
+    whole = items.groupBy(F.col("item_id").alias("w_item_id")).agg(F.countDistinct("pos").alias("of"))
+    out = per.join(whole, F.col("item_id").eqNullSafe(F.col("w_item_id"))).withColumn("coverage", F.col("n") / F.col("of")).where(F.col("coverage") >= threshold)
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "reworded")).alias("best")).select("doc_id", "item_id", "best.coverage", "best.reworded")
 
 
