@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import math
+import re
 import wave
 import zlib
 from collections import Counter, defaultdict
@@ -167,7 +168,14 @@ def test_op3_phrases_are_greedy_longest_matches():
 
 def brute_cover(texts: dict[int, bytes], length: int) -> dict[int, list[tuple[int, int]]]:
     seen = Counter(hash(b[k : k + length]) for b in texts.values() for k in range(len(b) - length + 1))
-    return {i: repeats.cover([(k, k + length) for k in range(len(b) - length + 1) if seen[hash(b[k : k + length])] > 1]) for i, b in texts.items()}
+    out = {}
+    for i, b in texts.items():
+        gone = bytearray(len(b) + 1)
+        for k in range(len(b) - length + 1):
+            if seen[hash(b[k : k + length])] > 1:
+                gone[k : k + length] = b"\1" * length
+        out[i] = [m.span() for m in re.finditer(b"\1+", gone)]
+    return out
 
 
 def test_op4_removes_what_brute_force_removes(spark):

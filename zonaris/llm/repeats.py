@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,10 +89,6 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lo, lo + (at >> 10 & 1023), lo + (at & 1023)
 
 
-def _raw(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
-
-
 def _hashes(raw: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hashes of substrings of a text, `start` ascending; long texts one part at a time."""
     out = np.empty(len(start), _U)
@@ -106,86 +102,107 @@ def _hashes(raw: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def _gathered(rows: Iterator[pd.DataFrame], most: int = 50_000) -> Iterator[pd.DataFrame]:
-    """Frames of about `most` rows."""
-    held, n = [], 0
-    for df in rows:
-        held.append(df)
-        n += len(df)
-        if n > most:
-            yield pd.concat(held)
+def _mapped(work, *names: str, most: int = 50_000):
+    """A mapInArrow function: `work` gives (row, columns) for texts of a batch; rows go out about `most` at a time."""
+
+    def rows(batch: pa.RecordBatch, held: list) -> pa.RecordBatch:
+        row = pa.array(np.repeat([r for r, _ in held], [len(c[0]) for _, c in held]))
+        cols = [pa.array(np.concatenate(x)) for x in zip(*(c for _, c in held), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("node").take(row), *cols], names=["doc_id", "node", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             held, n = [], 0
-    if held:
-        yield pd.concat(held)
+            for row, cols in work(batch):
+                if len(cols[0]):
+                    held.append((row, cols))
+                    n += len(cols[0])
+                if n >= most:
+                    yield rows(batch, held)
+                    held, n = [], 0
+            if held:
+                yield rows(batch, held)
+
+    return run
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    for x in batch.column("text").cast(pa.binary()):
+        yield x.as_py() or b""
+
+
+def _listed(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[np.ndarray]]]:
+    """Row, bytes, and the columns of the row's list in order of the first; a null list is empty."""
+    lists = batch.column("rows")
+    ends, cols = lists.offsets.to_numpy(), [c.to_numpy(zero_copy_only=False) for c in lists.values.flatten()]
+    for row, raw in enumerate(_texts(batch)):
+        part = [c[ends[row] : ends[row + 1]] for c in cols]
+        order = np.argsort(part[0], kind="stable")
+        yield row, raw, [c[order] for c in part]
 
 
 def _parsed(length: int, core: int):
-    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc_id, node, text in zip(pdf["doc_id"], pdf["node"], pdf["text"], strict=True):
-                f, c, at = phrases(_raw(text), length, core)
-                yield pd.DataFrame({"doc_id": pd.Series([doc_id] * len(f), dtype=pdf["doc_id"].dtype), "node": node, "core": f.view(np.int64), "phrase": c.view(np.int64), "at": at})
-
-    return lambda batches: _gathered(x for x in frames(batches) if len(x))
-
-
-def _listed(pdf: pd.DataFrame) -> Iterator[tuple[object, int, bytes, list[np.ndarray]]]:
-    """doc_id, node, bytes, and the columns of the row's list, in order of place."""
-    for doc_id, node, text, rows in zip(pdf["doc_id"], pdf["node"], pdf["text"], pdf["rows"], strict=True):
-        rows = sorted(tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in rows)
-        yield doc_id, node, _raw(text), [np.array(x) for x in zip(*rows, strict=True)]
-
-
-def _blocks(length: int):
-    """Blocks of the listed phrases (at, core): inner and outer hash, the starts `at` to `at + n - 1`."""
-
-    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc_id, node, raw, (at, core) in _listed(pdf):
-                lo, q, hi = _unpack(at)
-                first, last = (lo - q) // BLOCK, (hi - q) // BLOCK
-                n = last - first + 1
-                i = np.repeat(np.arange(len(lo)), n)
-                k = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                begin = q[i] + k * BLOCK
-                a, b = np.maximum(begin, lo[i]), np.minimum(begin + BLOCK - 1, hi[i])
-                order = np.argsort(begin, kind="stable")
-                i, k, begin, a, b = i[order], k[order], begin[order], a[order], b[order]
-                inner = _hashes(raw, begin + BLOCK - 1, np.full(len(begin), length - BLOCK + 1))
-                again = np.argsort(a, kind="stable")
-                outer = np.empty(len(a), _U)
-                outer[again] = _hashes(raw, a[again], (b - a + length)[again])
-                inner = mix(inner ^ core[i].view(_U) ^ mix(k.view(_U)))
-                outer = mix(outer ^ mix((a - begin) * BLOCK + b - begin))
-                yield pd.DataFrame({"doc_id": pd.Series([doc_id] * len(i), dtype=pdf["doc_id"].dtype), "node": node, "inner": inner.view(np.int64), "outer": outer.view(np.int64), "at": a, "n": b - a + 1})
-
-    return lambda batches: _gathered(frames(batches))
-
-
-def _strings(length: int):
-    """The strings of the listed blocks (at, n, inner): inner, string, and where it starts."""
-
-    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc_id, node, raw, (at, n, inner) in _listed(pdf):
-                p = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                order = np.argsort(p, kind="stable")
-                p, inner = p[order], np.repeat(inner, n)[order]
-                h = _hashes(raw, p, np.full(len(p), length))
-                yield pd.DataFrame({"doc_id": pd.Series([doc_id] * len(p), dtype=pdf["doc_id"].dtype), "node": node, "inner": inner, "string": h.view(np.int64), "at": p})
-
-    return lambda batches: _gathered(frames(batches))
-
-
-def cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of half-open spans, as disjoint spans that do not touch."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    def work(batch: pa.RecordBatch):
+        for row, raw in enumerate(_texts(batch)):
+            f, c, at = phrases(raw, length, core)
+            yield row, (f.view(np.int64), c.view(np.int64), at)
+
+    return _mapped(work, "core", "phrase", "at")
+
+
+def _blocks(length: int, step: int = 10_000):
+    """Blocks of the listed phrases (at, core), `step` phrases at once: inner and outer hash, the starts `at` to `at + n - 1`."""
+
+    def blocks(raw: bytes, at: np.ndarray, core: np.ndarray):
+        lo, q, hi = _unpack(at)
+        first, last = (lo - q) // BLOCK, (hi - q) // BLOCK
+        n = last - first + 1
+        i = np.repeat(np.arange(len(lo)), n)
+        k = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begin = q[i] + k * BLOCK
+        a, b = np.maximum(begin, lo[i]), np.minimum(begin + BLOCK - 1, hi[i])
+        order = np.argsort(begin, kind="stable")
+        i, k, begin, a, b = i[order], k[order], begin[order], a[order], b[order]
+        inner = _hashes(raw, begin + BLOCK - 1, np.full(len(begin), length - BLOCK + 1))
+        again = np.argsort(a, kind="stable")
+        outer = np.empty(len(a), _U)
+        outer[again] = _hashes(raw, a[again], (b - a + length)[again])
+        inner = mix(inner ^ core[i].view(_U) ^ mix(k.view(_U)))
+        outer = mix(outer ^ mix((a - begin) * BLOCK + b - begin))
+        return inner.view(np.int64), outer.view(np.int64), a, b - a + 1
+
+    def work(batch: pa.RecordBatch):
+        for row, raw, (at, core) in _listed(batch):
+            for x in range(0, len(at), step):
+                yield row, blocks(raw, at[x : x + step], core[x : x + step])
+
+    return _mapped(work, "inner", "outer", "at", "n")
+
+
+def _strings(length: int, step: int = 10_000):
+    """The strings of the listed blocks (at, n, inner), `step` blocks at once: inner, string, and where it starts."""
+
+    def strings(raw: bytes, at: np.ndarray, n: np.ndarray, inner: np.ndarray):
+        p = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        order = np.argsort(p, kind="stable")
+        p, inner = p[order], np.repeat(inner, n)[order]
+        return inner, _hashes(raw, p, np.full(len(p), length)).view(np.int64), p
+
+    def work(batch: pa.RecordBatch):
+        for row, raw, (at, n, inner) in _listed(batch):
+            for x in range(0, len(at), step):
+                yield row, strings(raw, at[x : x + step], n[x : x + step], inner[x : x + step])
+
+    return _mapped(work, "inner", "string", "at")
+
+
+def cover(lo: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of half-open spans, `lo` ascending, as disjoint spans that do not touch."""
+    if not len(lo):
+        return lo, to
+    reach = np.maximum.accumulate(to)
+    first = np.flatnonzero(np.concatenate(([True], lo[1:] > reach[:-1])))
+    return lo[first], reach[np.append(first[1:], len(lo)) - 1]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -200,55 +217,63 @@ def _with_lists(d: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
 
 
 def _classes(rows: DataFrame, outer: str, inner: str, *place: str) -> DataFrame:
-    """For each class (inner, outer) of an inner class with several rows: n rows, the least place, and whether the
-    inner class is torn into several outer ones."""
-    first = F.min(F.struct("doc_id", "node", *place)).alias("first")
-    whole = rows.groupBy(inner, outer).agg(F.count("*").alias("n"), first)
-    shared = whole.groupBy(inner).agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1").select(inner, (F.col("kinds") > 1).alias("torn"))
+    """For each class (inner, outer) of an inner class with several rows: n rows, the place of any one of them, and
+    whether the inner class is torn into several outer ones."""
+    whole = rows.groupBy(inner, outer).agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("doc_id", "node", *place)))
+    shared = whole.groupBy(inner).agg(F.sum("rows").alias("all"), F.count("*").alias("kinds")).where("all > 1").select(inner, (F.col("kinds") > 1).alias("torn"))
     return materialize(whole.join(shared, inner), "classes")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
-    """(doc_id, node, spans): for each text that has any, the byte spans covered by repeated strings."""
+    """(doc_id, node, rows): for each text that has any, the byte spans covered by repeated strings."""
     d = _keyed(docs)
     kind = d.schema["doc_id"].dataType.simpleString()
-    parse = d.where(F.octet_length("text") >= length).mapInPandas(_parsed(length, core), f"doc_id {kind}, node bigint, core bigint, phrase bigint, at bigint")
+    parse = d.where(F.octet_length("text") >= length).mapInArrow(_parsed(length, core), f"doc_id {kind}, node bigint, core bigint, phrase bigint, at bigint")
     parse = materialize(parse, "parse")
     phrase = _classes(parse, "phrase", "core", "at")
     lo = F.expr("shiftright(at, 20)")
     span = ("doc_id", "node", lo.alias("lo"), (lo + F.expr("at & 1023") + length).alias("to"))
-    whole = materialize(parse.join(phrase.where("n > 1").select("core", "phrase"), ["core", "phrase"]).select(*span), "whole")
+    whole = materialize(parse.join(phrase.where("rows > 1").select("core", "phrase"), ["core", "phrase"]).select(*span), "whole")
     discard(parse)
 
-    torn = phrase.where("torn").select("core", "first.*")
-    blocks = _with_lists(d, torn, "at", "core").mapInPandas(_blocks(length), f"doc_id {kind}, node bigint, inner bigint, outer bigint, at bigint, n bigint")
+    torn = phrase.where("torn").select("core", "doc_id", "node", "at")
+    blocks = _with_lists(d, torn, "at", "core").mapInArrow(_blocks(length), f"doc_id {kind}, node bigint, inner bigint, outer bigint, at bigint, n bigint")
     blocks = materialize(blocks, "blocks")
-    block = _classes(blocks, "outer", "inner", "at", F.col("n").alias("size"))
-    part = blocks.join(block.where("n > 1").select("inner", "outer"), ["inner", "outer"]).select("doc_id", "node", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("to"))
+    block = _classes(blocks, "outer", "inner", "at", "n")
+    part = blocks.join(block.where("rows > 1").select("inner", "outer"), ["inner", "outer"]).select("doc_id", "node", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("to"))
     part = materialize(part, "part")
     discard(blocks)
 
-    mixed = block.where("torn").select("inner", "first.*")
-    strings = _with_lists(d, mixed, "at", "size", "inner").mapInPandas(_strings(length), f"doc_id {kind}, node bigint, inner bigint, string bigint, at bigint")
+    mixed = block.where("torn").select("inner", "doc_id", "node", "at", "n")
+    strings = _with_lists(d, mixed, "at", "n", "inner").mapInArrow(_strings(length), f"doc_id {kind}, node bigint, inner bigint, string bigint, at bigint")
     strings = materialize(strings, "strings")
     twice = strings.groupBy("inner", "string").agg(F.count("*").alias("n")).where("n > 1").select("inner", "string")
     single = strings.join(twice, ["inner", "string"]).select("doc_id", "node", F.col("at").alias("lo"), (F.col("at") + length).alias("to"))
-    return whole.unionByName(part).unionByName(single).distinct().groupBy("doc_id", "node").agg(F.collect_list(F.struct("lo", "to")).alias("spans"))
+    return whole.unionByName(part).unionByName(single).groupBy("doc_id", "node").agg(F.collect_set(F.struct("lo", "to")).alias("rows"))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
+    def rows(ids: pa.Array, held: list) -> pa.RecordBatch:
+        size, gone, a, b, kept = zip(*held, strict=True)
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in a])))
+        spans = pa.StructArray.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], fields=list(span))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
+        return pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), lists, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
-            raw = _raw(text)
-            gone = cover([(x["lo"], x["to"]) if isinstance(x, dict) else (x[0], x[1]) for x in spans]) if spans is not None else []
-            at, kept = 0, []
-            for a, b in gone:
-                kept.append(raw[at:a])
-                at = b
-            kept.append(raw[at:])
-            rows.append((len(raw), sum(b - a for a, b in gone), [{"start": a, "end": b} for a, b in gone], b"".join(kept)))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), **{k: [r[i] for r in rows] for i, k in enumerate(("n_bytes", "n_removed", "spans", "kept"))}})
+    for batch in batches:
+        held, n, at = [], 0, 0
+        for row, raw, (lo, to) in _listed(batch):
+            a, b = cover(lo, to)
+            keep = zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True)
+            held.append((len(raw), int((b - a).sum()), a, b, b"".join(raw[x:y] for x, y in keep)))
+            n += len(raw)
+            if n >= most:
+                yield rows(batch.column("doc_id").slice(at, len(held)), held)
+                held, n, at = [], 0, row + 1
+        if held:
+            yield rows(batch.column("doc_id").slice(at, len(held)), held)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
@@ -262,5 +287,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> D
     d = _keyed(docs)
     kind = d.schema["doc_id"].dataType.simpleString()
     spans = materialize(repeated_spans(docs, length, core), "spans").withColumnsRenamed({"doc_id": "_d", "node": "_n"})
-    joined = d.join(spans, d["doc_id"].eqNullSafe(F.col("_d")) & (d["node"] == F.col("_n")), "left").select("doc_id", "text", "spans")
-    return joined.mapInPandas(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    joined = d.join(spans, d["doc_id"].eqNullSafe(F.col("_d")) & (d["node"] == F.col("_n")), "left").select("doc_id", "text", "rows")
+    return joined.mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
