@@ -156,3 +156,8 @@ def split_slivers(shares: DataFrame, key: str, percent: float = 0.5, area: float
     small = (F.col("share") < percent) & (F.col("area") < area)
     solid = F.sum((~small).cast("int")).over(Window.partitionBy(key))
     return shares.withColumn("sliver", small & (solid > 0))
+
+
+def extent(boxes: DataFrame, key: str) -> DataFrame:
+    """(key, x0, y0, x1, y1): the box around each key's boxes."""
+    return boxes.groupBy(key).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
