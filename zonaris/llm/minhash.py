@@ -213,8 +213,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay when one document of each class does: the one with the least doc_id.
 
-    Rows that share both doc_id and class are one document; of repeats the least text stays. Rows without words, or with a null
-    doc_id, are kept.
+    Rows that share a doc_id are one document: they stay or go together. Rows without words, or with a null doc_id, are
+    kept.
     """
     classes = near_duplicates(docs, **options)
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
