@@ -278,6 +278,27 @@ def test_op9_finds_planted_and_reworded_items_only(spark):
     assert every == got
 
 
+QUESTION = "In the long walk problem Anna buys 12 apples for 3 dollars each and gives 5 apples to Boris before noon. How many apples are left now?"
+
+
+def leaks_of(spark, texts: dict[int, str], items: dict[int, str] | None = None) -> dict[tuple[int, int], tuple[float, bool]]:
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
+    bench = spark.createDataFrame(sorted((items or {10: QUESTION}).items()), "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]): (r["coverage"], r["reworded"]) for r in decontam.leaks(docs, bench).collect()}
+
+
+def test_op9_judges_each_copy_by_itself(spark):
+    one = QUESTION.replace("Anna", "Clara").replace("12", "40").replace("5 apples", "9 apples").replace("3 dollars", "8 dollars")
+    two = QUESTION.replace("Boris", "David").replace("12", "77").replace("5 apples", "6 apples").replace("3 dollars", "2 dollars")
+    longer = one.replace("buys 40", "now gladly buys 40")
+    outvoting = " ".join(f"In the long walk problem Anna buys {k} apples for {k} dollars each and leaves again." for k in [90] * 3 + list(range(100, 120)))
+    spread = " ".join(f"Then she gives {k} apples to Emil before noon." for k in range(20))
+    texts = {1: f"{one} {two}", 2: f"{QUESTION} {one} {two}", 3: f"{outvoting} {spread} {QUESTION} {spread}", 4: f"{two} {longer}", 5: f"{outvoting} {spread}"}
+    got = leaks_of(spark, texts)
+    assert {d: r for (d, _), (_, r) in got.items()} == {1: True, 2: False, 3: False, 4: True}
+    assert [got[d, 10][0] for d in (1, 2, 3)] == [1.0] * 3
+
+
 def test_op9_finds_every_verbatim_item(spark):
     items = dict(duckdb.sql(f"select item_id, text from '{SMALL}/benchmark.parquet'").fetchall())
     want = {(d, i) for d, t in texts_of().items() for i, x in items.items() if x and len(plain_words(x)) >= 8 and x in (t or "")}

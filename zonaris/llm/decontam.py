@@ -2,9 +2,13 @@
 
 A text's words become a template: numbers, names and units turn into typed placeholders (slots), other words stay as they are.
 Windows of `window` template words are hashed and joined with the benchmark's. A pair of document and item is kept when
-windows that hold at least `threshold` of the item's windows match and fill the slots consistently: over the pair, each value of
-the item's slots must stand for one value of the document, the most frequent one. So a question that was given other
-numbers or names is found, and text that only has the same shape is not.
+windows that hold at least `threshold` of the item's windows match and fill the slots consistently: within one alignment,
+each value of the item's slots must stand for one value of the document, the most frequent one. So a question that was given
+other numbers or names is found, and text that only has the same shape is not.
+
+The alignment of a matched window is its position in the document minus that in the item. Slots are judged at each single
+alignment (a copy with as many words), within overlapping ranges of alignments (`RANGES`: words were put in or left out) and
+over the whole document (parts far apart); the best counts. So copies in one document do not vote on each other's slots.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ WINDOW, THRESHOLD, LITERALS = 5, 0.8, 2
 #: The benchmark's window hashes are sent to all tasks as a filter while there are at most so many (8 bytes each).
 FILTER_WINDOWS = 2_000_000
 BATCH_BYTES = 4 << 20
+#: Widths of the ranges of alignments, in words; each is laid twice, shifted by half, so that no border parts a drift of half a width.
+RANGES = (8, 32, 128)
 #: Units of measure and currency words that follow a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
@@ -94,7 +100,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
     """(doc_id, item_id, coverage, reworded) for each document and benchmark item that it contains.
 
     `docs` has doc_id and text, `benchmark` item_id and text; further columns are ignored. coverage is the share of the item's
-    windows (with enough literal words) found with consistent slots; reworded tells that some slot has another value.
+    windows (with enough literal words) found with consistent slots; reworded tells that some slot has another value (of
+    alignments with equal coverage, one without such a slot is told).
     Items without such windows, null texts and empty tables match nothing; a null id is an id like any other. Repeated rows are judged as one document;
     texts that share a doc_id are judged apart and the best is told. Hashes of the benchmark are sent to tasks as a
     filter only while there are at most `filter_windows`; above that the windows are joined without it.
@@ -122,18 +129,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
     d = docs.select("doc_id", "text").withColumn("node", F.xxhash64("text"))
     found = d.mapInPandas(of_docs, f"doc_id {kind}, node bigint, pos bigint, key bigint, slots array<bigint>")
     side = items.select("item_id", F.col("pos").alias("item_pos"), "key", F.col("slots").alias("item_slots"))
-    hit = found.join(side, "key").select("doc_id", "node", "item_id", "item_pos", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs"))
+    zipped = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs")
+    hit = found.join(side, "key").select("doc_id", "node", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), zipped)
     hit = materialize(hit.distinct(), "hits")
     pair = ["doc_id", "node", "item_id"]
-    votes = hit.select(*pair, F.inline("pairs")).groupBy(*pair, "a", "b").agg(F.count("*").alias("n"))
-    chosen = votes.groupBy(*pair, "a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
-    agreed = chosen.groupBy(*pair).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("of"))  # at most the slots of one item
-    judged = hit.join(agreed.withColumnsRenamed({c: f"r_{c}" for c in pair}), F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & F.col("node").eqNullSafe(F.col("r_node")) & F.col("item_id").eqNullSafe(F.col("r_item_id")), "left")
-    judged = judged.withColumn("fits", F.forall("pairs", lambda p: F.col("of")[p["a"]] == p["b"])).withColumn("changed", F.exists("pairs", lambda p: p["a"] != p["b"]))
-    per = judged.where("fits").groupBy(*pair).agg(F.countDistinct("item_pos").alias("n"), F.max("changed").alias("reworded"))
-    whole = items.groupBy(F.col("item_id").alias("w_item_id")).agg(F.countDistinct("pos").alias("of"))
-    out = per.join(whole, F.col("item_id").eqNullSafe(F.col("w_item_id"))).withColumn("coverage", F.col("n") / F.col("of")).where(F.col("coverage") >= threshold)
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "reworded")).alias("best")).select("doc_id", "item_id", "best.coverage", "best.reworded")
+    whole = items.groupBy("item_id").agg(F.countDistinct("pos").alias("of"))
+    # no choice of slots lifts a pair above the share of the item's windows that it hits at all
+    may = _join(hit.groupBy(*pair).agg(F.countDistinct("item_pos").alias("n")), whole, ["item_id"]).where(F.col("n") / F.col("of") >= threshold)
+    hit = _join(hit, may.select(*pair, "of"), pair)
+    laid = [(0, F.lit(0)), (1, F.col("shift")), *((w, F.floor((2 * F.col("shift") + k * w) / (2 * w)) * 2 + k) for w in RANGES for k in (0, 1))]
+    at = [F.struct(F.lit(w).alias("width"), n.cast("bigint").alias("place")) for w, n in laid]
+    place = [*pair, "width", "place"]
+    hit = hit.select(*pair, "of", "item_pos", "pairs", F.inline(F.array(*at))).distinct()
+    may = hit.groupBy(*place).agg(F.countDistinct("item_pos").alias("n"), F.max("of").alias("most")).where(F.col("n") / F.col("most") >= threshold)
+    hit = materialize(_join(hit, may.select(*place), place), "aligned")
+    votes = hit.select(*place, F.inline("pairs")).groupBy(*place, "a", "b").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy(*place, "a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
+    agreed = chosen.groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("agreed"))  # at most the slots of one item
+    judged = _join(hit, agreed, place, "left")
+    judged = judged.withColumn("fits", F.forall("pairs", lambda p: F.col("agreed")[p["a"]] == p["b"])).withColumn("changed", F.exists("pairs", lambda p: p["a"] != p["b"]))
+    per = judged.where("fits").groupBy(*place).agg(F.countDistinct("item_pos").alias("n"), F.max("of").alias("of"), F.max("changed").alias("reworded"))
+    out = per.withColumn("coverage", F.col("n") / F.col("of")).where(F.col("coverage") >= threshold)
+    best = F.max(F.struct("coverage", (~F.col("reworded")).alias("verbatim"))).alias("best")  # of equal ones, the copy without other values
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.coverage", (~F.col("best.verbatim")).alias("reworded"))
+
+
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """`left` with the further columns of `right`, joined on keys that may be null."""
+    r = right.withColumnsRenamed({c: f"r_{c}" for c in keys})
+    on = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in keys]
+    return left.join(r, on, how).drop(*(f"r_{c}" for c in keys))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
