@@ -299,6 +299,15 @@ def test_op9_judges_each_copy_by_itself(spark):
     assert [got[d, 10][0] for d in (1, 2, 3)] == [1.0] * 3
 
 
+def test_op9_finds_named_items_whatever_the_capitals_around(spark):
+    filler = "Some clean words stand here without any link to the question. " * 5
+    changed = QUESTION.replace("12", "40").replace("5 apples", "9 apples")
+    texts = {1: f"{filler.title()} {QUESTION} {filler.title()}", 2: f"{filler.upper()} {QUESTION}", 3: QUESTION.lower(), 4: QUESTION.upper(), 5: f"{filler} {changed.lower()}", 6: QUESTION, 7: filler.title()}
+    got = leaks_of(spark, texts)
+    assert got == {(d, 10): (1.0, d == 5) for d in range(1, 7)}
+    assert leaks_of(spark, {1: f"{filler} {QUESTION}"}, {10: QUESTION.title()}) == {(1, 10): (1.0, False)}
+
+
 def test_op9_finds_every_verbatim_item(spark):
     items = dict(duckdb.sql(f"select item_id, text from '{SMALL}/benchmark.parquet'").fetchall())
     want = {(d, i) for d, t in texts_of().items() for i, x in items.items() if x and len(plain_words(x)) >= 8 and x in (t or "")}

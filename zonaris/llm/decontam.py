@@ -9,6 +9,9 @@ other numbers or names is found, and text that only has the same shape is not.
 The alignment of a matched window is its position in the document minus that in the item. Slots are judged at each single
 alignment (a copy with as many words), within overlapping ranges of alignments (`RANGES`: words were put in or left out) and
 over the whole document (parts far apart); the best counts. So copies in one document do not vote on each other's slots.
+
+Where capitals tell nothing (headlines, lower case), names cannot be told from other words. So a window that holds names
+is hashed a second time with its names as literal words, in lower case, and an item's window may be found by either hash.
 """
 
 from __future__ import annotations
@@ -67,33 +70,50 @@ def template(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.where(kind > 0, _SLOT[np.maximum(kind, 1) - 1], w.hash), kind
 
 
-def windows(texts: list[str | None], window: int = WINDOW, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, hash, first word, words) of all windows with at least `literals` literal words, and the words' values.
+def windows(texts: list[str | None], window: int = WINDOW, literals: int = LITERALS, base: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, hash, first word, plain, words, kinds) of all windows with at least `literals` literal words, and the words' hashes and kinds.
 
-    A text of fewer words than a window has none.
+    A window with names is told twice, the second time (plain) with them as literal words; with `base` only if it has
+    enough literal words besides. A text of fewer words than a window has none.
     """
     w = words(texts)
     t, kind = template(w)
     n = len(t)
     at = np.flatnonzero(w.text[window - 1 :] == w.text[: max(0, n - window + 1)]) if n >= window else np.zeros(0, np.int64)
-    h, lit = np.zeros(len(at), _U), np.zeros(len(at), np.int64)
+    h, lit, names = np.zeros(len(at), _U), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     for k in range(window):
-        h += t[at + k] * mix(np.array([201 + k], _U))[0]
+        h += t[at + k] * _place(k)
         lit += kind[at + k] == 0
+        names += kind[at + k] == 3
     ok = lit >= literals
-    at, h = at[ok], mix(h[ok])
-    value = np.where(kind > 0, w.hash, _U(0))
-    return w.text[at], at - w.starts()[w.text[at]], h, at, value
+    also = np.flatnonzero((names > 0) & (ok if base else lit + names >= literals))
+    plain_at, g = at[also], h[also]
+    for k in range(window):
+        j = plain_at + k
+        g += np.where(kind[j] == 3, w.hash[j] - t[j], _U(0)) * _place(k)
+    at, h = np.concatenate((at[ok], plain_at)), mix(np.concatenate((h[ok], g)))
+    plain = np.arange(len(at)) >= int(ok.sum())
+    return w.text[at], at - w.starts()[w.text[at]], h, at, plain, w.hash, kind
+
+
+def _place(k: int) -> np.uint64:
+    return mix(np.array([201 + k], _U))[0]
 
 
-def _rows(texts: list[str | None], window: int, literals: int, wanted: np.ndarray | None) -> tuple[np.ndarray, dict]:
-    text, pos, h, at, value = windows(texts, window, literals)
+def _rows(texts: list[str | None], window: int, literals: int, wanted: np.ndarray | None, base: bool = False) -> tuple[np.ndarray, dict]:
+    """Text index and columns of the windows. `slots` are the values of the slots in their order; `names` those of a plain
+    window's names, which stand for themselves."""
+    text, pos, h, at, plain, value, kind = windows(texts, window, literals, base)
     if wanted is not None:
         i = np.minimum(np.searchsorted(wanted, h), max(0, len(wanted) - 1))
         hit = wanted[i] == h if len(wanted) else np.zeros(len(h), bool)
-        text, pos, h, at = text[hit], pos[hit], h[hit], at[hit]
-    slots = [value[a : a + window][value[a : a + window] > 0].view(np.int64) for a in at]
-    return text, {"pos": pos.astype(np.int64), "key": h.view(np.int64), "slots": pd.Series(slots, dtype=object)}
+        text, pos, h, at, plain = text[hit], pos[hit], h[hit], at[hit], plain[hit]
+    slots, names = [], []
+    for a, p in zip(at.tolist(), plain.tolist(), strict=True):
+        v, k = value[a : a + window].view(np.int64), kind[a : a + window]
+        slots.append(v[(k > 0) & (k < 3)] if p else v[k > 0])
+        names.append(v[k == 3] if p else v[:0])
+    return text, {"pos": pos.astype(np.int64), "key": h.view(np.int64), "slots": pd.Series(slots, dtype=object), "names": pd.Series(names, dtype=object)}
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, literals: int = LITERALS, filter_windows: int = FILTER_WINDOWS) -> DataFrame:
@@ -111,10 +131,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
 
     def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text, rows = _rows(pdf["text"].tolist(), window, literals, None)
+            text, rows = _rows(pdf["text"].tolist(), window, literals, None, base=True)
             yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[text], **rows})
 
-    items = benchmark.select("item_id", "text").mapInPandas(of_items, f"item_id {item_kind}, pos bigint, key bigint, slots array<bigint>")
+    items = benchmark.select("item_id", "text").mapInPandas(of_items, f"item_id {item_kind}, pos bigint, key bigint, slots array<bigint>, names array<bigint>")
     items = materialize(items.dropDuplicates(["item_id", "pos", "key"]), "items")
     known = [r["key"] for r in items.select("key").distinct().limit(filter_windows + 1).collect()]
     wanted = None if len(known) > filter_windows else docs.sparkSession.sparkContext.broadcast(np.sort(np.array(known, np.int64).view(_U)))
@@ -127,9 +147,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[text], "node": part["node"].to_numpy()[text], **rows})
 
     d = docs.select("doc_id", "text").withColumn("node", F.xxhash64("text"))
-    found = d.mapInPandas(of_docs, f"doc_id {kind}, node bigint, pos bigint, key bigint, slots array<bigint>")
-    side = items.select("item_id", F.col("pos").alias("item_pos"), "key", F.col("slots").alias("item_slots"))
-    zipped = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs")
+    found = d.mapInPandas(of_docs, f"doc_id {kind}, node bigint, pos bigint, key bigint, slots array<bigint>, names array<bigint>").drop("names")
+    side = items.select("item_id", F.col("pos").alias("item_pos"), "key", F.col("slots").alias("item_slots"), "names")
+    zipped = F.concat(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), F.arrays_zip(F.col("names").alias("a"), F.col("names").alias("b")))
+    zipped = F.array_sort(zipped).alias("pairs")  # one order, so that a window found by both hashes counts once
     hit = found.join(side, "key").select("doc_id", "node", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), zipped)
     hit = materialize(hit.distinct(), "hits")
     pair = ["doc_id", "node", "item_id"]
