@@ -308,6 +308,15 @@ def test_op9_finds_named_items_whatever_the_capitals_around(spark):
     assert leaks_of(spark, {1: f"{filler} {QUESTION}"}, {10: QUESTION.title()}) == {(1, 10): (1.0, False)}
 
 
+def test_op9_finds_short_items_and_items_of_numbers(spark):
+    items = {10: "Boris", 11: "How many apples?", 12: "12 + 17 = 29", 13: "12 17 29 41 53 67 71 83 97 10", 14: "Is 7 9 11 13 15 17 19", 15: "Who was Ada?", 16: "... !"}
+    filler = "Some clean words stand here without any link to the question. " * 5
+    texts = {i: f"{filler} so {x} {filler}" for i, x in items.items()}
+    texts |= {20: "how apples many", 21: "17 12 29 53 41 67 83 71", 22: "", 23: "WHO WAS ADA", 24: f"{filler} 12 17 29 {filler} 12 17 29", 25: "is 7 9 11 13 15 17 20"}
+    got = leaks_of(spark, texts, items)
+    assert got == {x: (1.0, False) for x in [*((i, i) for i in range(10, 16)), (23, 15), (24, 12), (13, 12)]}
+
+
 def test_op9_finds_every_verbatim_item(spark):
     items = dict(duckdb.sql(f"select item_id, text from '{SMALL}/benchmark.parquet'").fetchall())
     want = {(d, i) for d, t in texts_of().items() for i, x in items.items() if x and len(plain_words(x)) >= 8 and x in (t or "")}

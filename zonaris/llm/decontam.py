@@ -12,6 +12,9 @@ over the whole document (parts far apart); the best counts. So copies in one doc
 
 Where capitals tell nothing (headlines, lower case), names cannot be told from other words. So a window that holds names
 is hashed a second time with its names as literal words, in lower case, and an item's window may be found by either hash.
+
+An item without a window of enough literal words (short, or mostly numbers) is looked for by raw windows: runs of its words
+as they are, slots included, of the window's length or, if the item is shorter, of all its words.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .textkit import Words, chunks, mix, words
+from .textkit import Words, chunks, mix, salt, words
 
 WINDOW, THRESHOLD, LITERALS = 5, 0.8, 2
 #: The benchmark's window hashes are sent to all tasks as a filter while there are at most so many (8 bytes each).
@@ -116,13 +119,37 @@ def _rows(texts: list[str | None], window: int, literals: int, wanted: np.ndarra
     return text, {"pos": pos.astype(np.int64), "key": h.view(np.int64), "slots": pd.Series(slots, dtype=object), "names": pd.Series(names, dtype=object)}
 
 
+def raw_windows(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, hash) of all runs of `length` words, compared as they are."""
+    n = len(w.hash)
+    at = np.flatnonzero(w.text[length - 1 :] == w.text[: n - length + 1]) if n >= length else np.zeros(0, np.int64)
+    h = np.full(len(at), salt(300 + length))
+    for k in range(length):
+        h += w.hash[at + k] * _place(k)
+    return w.text[at], at - w.starts()[w.text[at]], mix(h)
+
+
+def _raw_rows(texts: list[str | None], lengths: list[int], wanted: np.ndarray | None, window: int) -> Iterator[tuple[np.ndarray, dict]]:
+    w = words(texts) if lengths else None
+    for m in lengths:
+        text, pos, h = raw_windows(w, m)
+        if wanted is not None:
+            hit = np.isin(h, wanted)
+            text, pos, h = text[hit], pos[hit], h[hit]
+        if m < window:  # all of an item: a text's first one tells everything
+            first = np.sort(np.unique(np.stack((text.astype(_U), h)), axis=1, return_index=True)[1])
+            text, pos, h = text[first], pos[first], h[first]
+        none = pd.Series([np.zeros(0, np.int64)] * len(h), dtype=object)
+        yield text, {"pos": pos.astype(np.int64), "key": h.view(np.int64), "slots": none, "names": none}
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, literals: int = LITERALS, filter_windows: int = FILTER_WINDOWS) -> DataFrame:
     """(doc_id, item_id, coverage, reworded) for each document and benchmark item that it contains.
 
     `docs` has doc_id and text, `benchmark` item_id and text; further columns are ignored. coverage is the share of the item's
     windows (with enough literal words) found with consistent slots; reworded tells that some slot has another value (of
     alignments with equal coverage, one without such a slot is told).
-    Items without such windows, null texts and empty tables match nothing; a null id is an id like any other. Repeated rows are judged as one document;
+    Items without such windows are found by their words as they are. Texts without words, null texts and empty tables match nothing; a null id is an id like any other. Repeated rows are judged as one document;
     texts that share a doc_id are judged apart and the best is told. Hashes of the benchmark are sent to tasks as a
     filter only while there are at most `filter_windows`; above that the windows are joined without it.
     """
@@ -132,19 +159,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
     def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             text, rows = _rows(pdf["text"].tolist(), window, literals, None, base=True)
-            yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[text], **rows})
-
-    items = benchmark.select("item_id", "text").mapInPandas(of_items, f"item_id {item_kind}, pos bigint, key bigint, slots array<bigint>, names array<bigint>")
+            yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[text], **rows, "raw": 0})
+            poor = pdf.iloc[np.setdiff1d(np.arange(len(pdf)), text)]
+            size = np.diff(words(poor["text"].tolist()).starts())
+            for m in range(1, window + 1):
+                part = poor[np.minimum(size, window) == m]
+                for text, rows in _raw_rows(part["text"].tolist(), [m], None, window):
+                    yield pd.DataFrame({"item_id": part["item_id"].to_numpy()[text], **rows, "raw": m})
+
+    items = benchmark.select("item_id", "text").mapInPandas(of_items, f"item_id {item_kind}, pos bigint, key bigint, slots array<bigint>, names array<bigint>, raw int")
     items = materialize(items.dropDuplicates(["item_id", "pos", "key"]), "items")
     known = [r["key"] for r in items.select("key").distinct().limit(filter_windows + 1).collect()]
     wanted = None if len(known) > filter_windows else docs.sparkSession.sparkContext.broadcast(np.sort(np.array(known, np.int64).view(_U)))
 
+    lengths = sorted(r["raw"] for r in items.where("raw > 0").select("raw").distinct().collect())  # at most `window` values
+
     def of_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for s in chunks([len(t or "") for t in pdf["text"]], BATCH_BYTES):
                 part = pdf.iloc[s]
                 text, rows = _rows(part["text"].tolist(), window, literals, None if wanted is None else wanted.value)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[text], "node": part["node"].to_numpy()[text], **rows})
+                for text, rows in _raw_rows(part["text"].tolist(), lengths, None if wanted is None else wanted.value, window):
+                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[text], "node": part["node"].to_numpy()[text], **rows})
 
     d = docs.select("doc_id", "text").withColumn("node", F.xxhash64("text"))
     found = d.mapInPandas(of_docs, f"doc_id {kind}, node bigint, pos bigint, key bigint, slots array<bigint>, names array<bigint>").drop("names")
