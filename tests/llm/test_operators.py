@@ -166,6 +166,23 @@ def test_op3_phrases_are_greedy_longest_matches():
         assert model.phrases(codes[:, None])[0, 0] == greedy(f" {t} ".replace("  ", " "))
 
 
+def test_op3_every_letter_of_a_large_alphabet_counts():
+    rng = np.random.default_rng(5)
+    one, two = (["".join(chr(c) for c in rng.integers(0x4E00 + k, 0x4E00 + k + 3000, 3)) for _ in range(1500)] for k in (0, 1500))
+    texts = {"one": " ".join(rng.choice(one, 6000)), "two": " ".join(rng.choice(two, 4000)), "latin": "some words in plain letters " * 100}
+    model = langid.Model(texts)
+    tests = [(k, " ".join(rng.choice(w, 4))) for k, w in (("one", one), ("two", two)) for _ in range(100)]
+    got = model.predict([t for _, t in tests])
+    assert sum(k == g for (k, _), (g, _) in zip(tests, got, strict=True)) >= 198
+    src = langid.letters(texts["one"]).astype("<u4").tobytes().decode("utf-32-le")
+    t = "".join(src[a : a + 7] for a in range(0, 500, 50)) + "".join(map(chr, range(0x3041, 0x3050)))
+    n, at, t = 0, 0, langid.letters(t).astype("<u4").tobytes().decode("utf-32-le")
+    while at < len(t):
+        size = next((k for k in range(len(t) - at, 0, -1) if t[at : at + k] in src), 1)
+        n, at = n + 1, at + size
+    assert model.phrases(model.code[langid.letters(t)][:, None])[0, model.langs.index("one")] == n
+
+
 def brute_cover(texts: dict[int, bytes], length: int) -> dict[int, list[tuple[int, int]]]:
     seen = Counter(hash(b[k : k + length]) for b in texts.values() for k in range(len(b) - length + 1))
     out = {}

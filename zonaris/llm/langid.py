@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 #: Bounds of the training sample of one language: documents asked of the table, and characters that are used.
 TRAIN_DOCS, TRAIN_CHARS = 400, 60_000
 LANE, LANES = 256, 16_384
+#: Width of the dense tables of transitions; code points beyond it are looked up in sorted keys.
 ALPHABET = 96
 _lower: list[np.ndarray] = []
 _models: dict[str, Model] = {}
@@ -49,66 +50,88 @@ def letters(text: str | None) -> np.ndarray:
     return t if len(t) > 1 else t[:0]
 
 
-def suffix_automaton(seq: list[int], width: int) -> np.ndarray:
-    """Transitions (states, width) of the suffix automaton of `seq`, -1 where there is none; state 0 is the root."""
-    step, link, length = np.full((2 * len(seq) + 2, width), -1, np.int32), [-1], [0]
+def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
+    """Transitions by character of the states of the suffix automaton of `seq`; state 0 is the root."""
+    step, link, length = [{}], [-1], [0]
     last = 0
     for c in seq:
         cur = len(link)
+        step.append({})
         link.append(0)
         length.append(length[last] + 1)
         p = last
-        while p >= 0 and step[p, c] < 0:
-            step[p, c] = cur
+        while p >= 0 and c not in step[p]:
+            step[p][c] = cur
             p = link[p]
         if p >= 0:
-            q = int(step[p, c])
+            q = step[p][c]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
                 twin = len(link)
                 link.append(link[q])
                 length.append(length[p] + 1)
-                step[twin] = step[q]
-                while p >= 0 and step[p, c] == q:
-                    step[p, c] = twin
+                step.append(dict(step[q]))
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = twin
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    return step[: len(link)].copy()
+    return step
 
 
 class Model:
-    """The automata of all languages, over one alphabet; what is not in it is matched by nothing."""
+    """The automata of all languages, over every code point of their texts; any other is matched by nothing.
+
+    The most frequent code points have a dense table of transitions, the others sorted (state, code) keys.
+    """
 
     def __init__(self, texts: Mapping[str, str]):
         self.langs = sorted(texts)
         seqs = [letters(texts[x]) for x in self.langs]
         points, n = np.unique(np.concatenate(seqs) if seqs else np.zeros(0, np.uint32), return_counts=True)
-        points = points[np.argsort(-n, kind="stable")][: ALPHABET - 1]
-        self.code = np.full(0x110000, len(points), np.int32)
-        self.code[points] = np.arange(len(points))
-        self.width = len(points) + 1
+        points = points[np.argsort(-n, kind="stable")]
+        self.points = len(points)
+        self.code = np.full(0x110000, self.points, np.int32)
+        self.code[points] = np.arange(self.points)
+        self.dense = min(self.points, ALPHABET - 1)
+        self.width = self.dense + 1
         self.bits = np.array([np.log2(max(2, len(s))) for s in seqs])
-        self.steps = []
-        for s in seqs:
-            a = suffix_automaton(self.code[s].tolist(), self.width)
-            a[:, -1] = -1
-            self.steps.append(a.ravel())
+        self.steps = [self._tables(suffix_automaton(self.code[s].tolist())) for s in seqs]
+
+    def _tables(self, step: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Dense table, keys and targets of the other transitions, and the root's transitions by code."""
+        edges = np.array([(s, c, to) for s, d in enumerate(step) for c, to in d.items()], np.int64).reshape(-1, 3)
+        table = np.full((len(step), self.width), -1, np.int32)
+        often = edges[:, 1] < self.dense
+        s, c, to = edges[often].T
+        table[s, c] = to
+        s, c, to = edges[~often].T
+        keys = s * (self.points + 1) + c
+        order = np.argsort(keys)
+        root = np.full(self.points + 1, -1, np.int32)
+        root[list(step[0])] = list(step[0].values())
+        return table.ravel(), np.append(keys[order], np.iinfo(np.int64).max), np.append(to[order], -1).astype(np.int32), root
 
     def phrases(self, lanes: np.ndarray) -> np.ndarray:
         """Phrases (lanes, languages); `lanes` is (positions, lanes) of codes, -1 after the end, longest lanes first."""
         live = (lanes >= 0).sum(1)
+        rare = [np.flatnonzero((row[:m] >= self.dense) & (row[:m] < self.points)) for row, m in zip(lanes, live, strict=True)]
+        often = np.minimum(lanes, self.dense)
         out = np.zeros((lanes.shape[1], len(self.langs)), np.int64)
-        for k, step in enumerate(self.steps):
+        for k, (step, keys, targets, root) in enumerate(self.steps):
             state, n = np.zeros(lanes.shape[1], np.int32), out[:, k]
-            for row, m in zip(lanes, live, strict=True):
+            for row, low, other, m in zip(lanes, often, rare, live, strict=True):
                 c = row[:m]
-                to = step[state[:m] * self.width + c]
+                to = step[state[:m] * self.width + low[:m]]
+                if len(other):
+                    key = state[other].astype(np.int64) * (self.points + 1) + c[other]
+                    at = np.searchsorted(keys, key)
+                    to[other] = np.where(keys[at] == key, targets[at], -1)
                 cut = np.flatnonzero(to < 0)
                 if len(cut):  # a phrase ends here; the character starts the next one, or is one by itself
                     n[cut] += state[cut] > 0
-                    to[cut] = step[c[cut]]
+                    to[cut] = root[c[cut]]
                     lone = cut[to[cut] < 0]
                     n[lone] += 1
                     to[lone] = 0
