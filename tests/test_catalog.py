@@ -14,3 +14,10 @@ def test_query(spark, name):
         assert compare(df, catalog.ORACLE_SQL[name], connect(SMALL)) == ""
     else:
         assert df.columns and df.count() >= 0
+
+
+def test_the_last_state_is_of_all_orders(spark):
+    larger = "/root/testdata/sf0.01"
+    df = catalog.QUERIES["as_of_last_state"](spark, larger)
+    assert compare(df, catalog.ORACLE_SQL["as_of_last_state"], connect(larger)) == ""
+    assert df.where("o_orderkey > 2000").count() > 0

@@ -165,6 +165,14 @@ def as_of_state(spark, sf_dir):
     return V.state_as_of(d, "o_custkey", "o_orderkey", 2000, "act_count")
 
 
+@query("with s as (select o_custkey, o_orderkey, case when o_orderstatus='P' then 0 else 1 end as act_count from orders where o_orderkey<=(select max(o_orderkey) from orders)), l as (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as rn from s) select o_custkey, o_orderkey, act_count from l where rn=1 and act_count>0")
+def as_of_last_state(spark, sf_dir):
+    """The same, pinned at the table's last state, so that every order takes part."""
+    d = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("act_count"))
+    last = d.agg(F.max("o_orderkey")).first()[0]
+    return V.state_as_of(d, "o_custkey", "o_orderkey", last, "act_count")
+
+
 @query("select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders) where rn=1")
 def latest_per_key(spark, sf_dir):
     """Each customer's latest order."""
