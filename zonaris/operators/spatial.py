@@ -3,7 +3,7 @@
 Geometries are axis-parallel boxes (x0, y0, x1, y1) or points (x, y) in a metric plane. Every join deals both sides by the grid cells
 they touch, joins equal cells, and keeps a pair only in the cell that holds the lower-left corner of the two boxes'
 intersection, so a pair comes once and no distinct is needed. Refinement is column arithmetic, inside code generation.
-`zonaris.functions.geometry` has the kernels for general polygons.
+There are no kernels for general polygons.
 """
 
 from __future__ import annotations

@@ -286,7 +286,7 @@ def coalesce_dedupe(spark, sf_dir):
 
 @query("select event_id, user_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn=1")
 def upsert_last_wins(spark, sf_dir):
-    """What a merge of two batches leaves."""
+    """What a merge of two batches leaves; nothing is deleted."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts")
     return V.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 <> 0 or event_id is null"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("event_id", "user_id", "value")
 
@@ -452,13 +452,13 @@ def charge_ledger(spark, sf_dir):
 
 @query("select doc_id, md5(text) as hash, octet_length(encode(text)) as n_bytes from documents")
 def manifest_hashes(spark, sf_dir):
-    """Content hashes and sizes."""
+    """Content hashes (MD5) and sizes."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("hash"), F.octet_length("text").cast("bigint").alias("n_bytes"))
 
 
 @query()
 def html_records(spark, sf_dir):
-    """Title, language and links of pages."""
+    """Title, language and counts of links and paragraphs of pages."""
     return T.html_records(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
@@ -470,5 +470,5 @@ def quantities(spark, sf_dir):
 
 @query()
 def doc_segments(spark, sf_dir):
-    """Spans that tile each document."""
+    """Spans that tile each document, without overlap or structure."""
     return T.segments(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -200,6 +200,6 @@ def stream_window_counts(spark, sf_dir):
 
 @query("select user_id, min(event_id) as event_id from events group by 1")
 def stream_first_of_key(spark, sf_dir):
-    """The least id of each key by a stream that keeps one state for each key."""
+    """U8: the least id of each key by a stream that keeps one state for each key."""
     e = W.file_stream(spark, f"{sf_dir}/events.parquet")
     return W.latest_by_batch(e.groupBy("user_id").agg(F.min("event_id").alias("event_id")), ["user_id"])
