@@ -9,7 +9,8 @@ counts. The levels are held as dyadic blocks [0,1), [1,2), [2,4), ...; a block's
 width and each point is then placed at a level inside it, which is the chain of binary splits taken at once, so a
 shingle of count w needs about log2(w) blocks. A point below the shingle's count competes for one of the `bands * rows`
 registers; a process stops as soon as it has passed the largest register of its text. Equal registers have, for each
-position, the probability of the weighted Jaccard similarity.
+position, the probability of the weighted Jaccard similarity. A register keeps the integer name of its point, and names are
+what is compared, so texts agree whatever the last bits of a logarithm are on the machine that made them.
 
 Candidates share a band. They are not expanded into pairs: texts with the same multiset are one node; each node is first
 verified against one hub of its buckets, then against the hubs of buckets that still hold several components, and at
@@ -19,19 +20,17 @@ last every pair of texts of such buckets that are still in two components and ca
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import lists, struct, text_function
 from .components import components
 from .scratch import materialize
-from .textkit import chunks, mix, salt, shingles, unit, words
+from .textkit import mix, salt, shingles, unit, words
 
 THRESHOLD, BANDS, ROWS, SHINGLE = 0.8, 20, 5, 5
-BATCH_BYTES = 4 << 20
 _U = np.uint64
 _G = _U(0x9E3779B97F4A7C15)
 
@@ -48,8 +47,8 @@ def multisets(texts: list[str | None], n: int = SHINGLE) -> tuple[np.ndarray, np
 
 
 def bag_min_hash(text: np.ndarray, item: np.ndarray, count: np.ndarray, n_texts: int, m: int) -> np.ndarray:
-    """Registers (n_texts, m) of arrival times; infinite for texts without items."""
-    reg = np.full(n_texts * m, np.inf)
+    """Registers (n_texts, m): the name of the first point of each; 0 for texts without items."""
+    reg, name = np.full(n_texts * m, np.inf), np.zeros(n_texts * m, _U)
     rows, seeds, lows, widths, tops = [], [], [], [], []
     lo, width = 0, 1
     while len(item):  # dyadic blocks of levels
@@ -59,32 +58,32 @@ def bag_min_hash(text: np.ndarray, item: np.ndarray, count: np.ndarray, n_texts:
         more = count > lo
         text, item, count = text[more], item[more], count[more]
     if not rows:
-        return reg.reshape(n_texts, m)
+        return name.reshape(n_texts, m)
     row, seed, low, rate, top = (np.concatenate(x) for x in (rows, seeds, lows, widths, tops))
     time, step = np.zeros(len(row)), 0
     while len(row):
         step += 1
         time = time - np.log(unit(mix(seed + salt(3 * step)))) / rate
         at = mix(seed + salt(3 * step + 1))
+        place, point, when = row * m + (at % _U(m)).astype(np.int64), at, time
         if step == 1 or (rate > 1).any():
-            level = low + (unit(mix(at + _G)) * rate).astype(np.int64)
-            ok = level < top
-            np.minimum.at(reg, (row * m + (at % _U(m)).astype(np.int64))[ok], time[ok])
-        else:
-            np.minimum.at(reg, row * m + (at % _U(m)).astype(np.int64), time)
+            ok = low + (unit(mix(at + _G)) * rate).astype(np.int64) < top
+            place, point, when = place[ok], at[ok], time[ok]
+        np.minimum.at(reg, place, when)
+        first = when == reg[place]
+        name[place[first]] = point[first]
         used = np.unique(row)
         most = np.zeros(n_texts)
         most[used] = reg.reshape(n_texts, m)[used].max(1)
         on = time < most[row]
         row, seed, low, rate, top, time = row[on], seed[on], low[on], rate[on], top[on], time[on]
-    return reg.reshape(n_texts, m)
+    return name.reshape(n_texts, m)
 
 
 def band_keys(reg: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band of each text."""
-    bits = np.ascontiguousarray(reg).view(_U).reshape(len(reg), bands, rows)
     coef = mix(np.arange(1, rows + 1, dtype=_U))
-    return mix((mix(bits) * coef).sum(2, dtype=_U) + np.arange(1, bands + 1, dtype=_U) * _G)
+    return mix((mix(reg.reshape(len(reg), bands, rows)) * coef).sum(2, dtype=_U) + np.arange(1, bands + 1, dtype=_U) * _G)
 
 
 def nodes_of(text: np.ndarray, item: np.ndarray, count: np.ndarray, n_texts: int) -> list[bytes | None]:
@@ -99,34 +98,28 @@ def nodes_of(text: np.ndarray, item: np.ndarray, count: np.ndarray, n_texts: int
     return [raw[16 * i : 16 * i + 16] if at[i + 1] > at[i] else None for i in range(n_texts)]
 
 
-def _slices(texts: pd.Series) -> Iterator[slice]:
-    return chunks([len(t or "") for t in texts], BATCH_BYTES)
-
-
 def _signatures(bands: int, rows: int, shingle: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in (pdf.iloc[s] for s in _slices(pdf["text"])):
-                t, h, c = multisets(part["text"].tolist(), shingle)
-                keys = band_keys(bag_min_hash(t, h, c, len(part), bands * rows), bands, rows).view(np.int64)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "node": nodes_of(t, h, c, len(part)), "keys": list(keys)})
+    """node and band keys of each text."""
+
+    def work(texts: list[str | None]) -> pa.Array:
+        t, h, c = multisets(texts, shingle)
+        keys = band_keys(bag_min_hash(t, h, c, len(texts), bands * rows), bands, rows).view(np.int64)
+        return struct(node=pa.array(nodes_of(t, h, c, len(texts)), pa.binary()), keys=lists(np.arange(len(texts) + 1) * bands, keys.ravel()))
 
-    return run
+    return text_function(work, "node binary, keys array<bigint>")
 
 
 def _expanded(shingle: int):
-    """node and its multiset as a sorted set: the k-th copy of a shingle is an element of its own."""
+    """node of each text and its multiset as a sorted set: the k-th copy of a shingle is an element of its own."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in (pdf.iloc[s] for s in _slices(pdf["text"])):
-                t, h, c = multisets(part["text"].tolist(), shingle)
-                copy = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                e = mix(np.repeat(h, c) + copy.astype(_U) * _G).view(np.int64)
-                at = np.searchsorted(np.repeat(t, c), np.arange(len(part) + 1))
-                yield pd.DataFrame({"want": part["node"], "node": nodes_of(t, h, c, len(part)), "items": [e[at[i] : at[i + 1]] for i in range(len(part))]})
+    def work(texts: list[str | None]) -> pa.Array:
+        t, h, c = multisets(texts, shingle)
+        copy = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        e = mix(np.repeat(h, c) + copy.astype(_U) * _G).view(np.int64)
+        at = np.searchsorted(np.repeat(t, c), np.arange(len(texts) + 1))
+        return struct(node=pa.array(nodes_of(t, h, c, len(texts)), pa.binary()), items=lists(at, e))
 
-    return run
+    return text_function(work, "node binary, items array<bigint>")
 
 
 def torn_pairs(items: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -161,8 +154,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     gives no rows.
     """
     d = docs.select("doc_id", "text")
-    kind = d.schema["doc_id"].dataType.simpleString()
-    sig = materialize(d.mapInPandas(_signatures(bands, rows, shingle), f"doc_id {kind}, node binary, keys array<bigint>"), "signatures")
+    sig = materialize(d.select("doc_id", _signatures(bands, rows, shingle)("text").alias("of")).select("doc_id", "of.*"), "signatures")
     node_key = sig.where("node is not null").select("node", F.explode("keys").alias("key")).distinct()
     bucket = node_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(node_key.join(bucket, "key"), "buckets")
@@ -172,8 +164,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     member = materialize(ranked.join(hub, "key"), "members")
 
     ids = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(member.select("node").distinct(), "node", "left_semi")
-    texts = d.join(ids, d["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "text")
-    items = texts.mapInPandas(_expanded(shingle), "want binary, node binary, items array<bigint>").where("want = node")
+    texts = d.join(ids, d["doc_id"].eqNullSafe(ids["doc_id"])).select(F.col("node").alias("want"), "text")
+    items = texts.select("want", _expanded(shingle)("text").alias("of")).select("want", "of.*").where("want = node")
     # a node's rows are equal; the copies that share its least doc_id are few, and one is kept without gathering them
     items = materialize(items.select("node", "items").dropDuplicates(["node"]), "items")
 
