@@ -4,24 +4,28 @@ For each language a suffix automaton of its training text gives the longest matc
 greedily into longest matches, the text costs c phrases of log2(n) bits against n training characters; the language with
 the fewest phrases, weighted by log2(n) and divided by the text's length, wins.
 
-Text is read as lower-case letters with one space for any run of other characters. Long texts are parsed in lanes of
-`LANE` characters, all of them at once; a lane border ends a phrase in every language alike.
+Text is read as lower-case letters with one space for any run of other characters. To parse many texts at once, each is
+cut into lanes of `LANE` characters that run side by side, first as if a phrase began at each lane. Then every lane runs again
+from the state in which the lane before it ended, until both runs begin a phrase at the same place, from where on they are one. A
+lane that never meets passes its new end state on, so the phrases are those of the parse of the whole text.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample of one language: documents asked of the table, and characters that are used.
+from .arrow import struct, text_function
+
+#: Bounds of the training sample of one language: documents asked of the table, and characters that whole documents fill (one document at least is taken).
 TRAIN_DOCS, TRAIN_CHARS = 400, 60_000
-LANE, LANES = 256, 16_384
-#: Width of the dense tables of transitions; code points beyond it are looked up in sorted keys.
+LANE, BATCH_BYTES = 256, 4 << 20
+#: Width of the dense tables of transitions of branching states; code points beyond it are looked up in sorted keys.
 ALPHABET = 96
 _lower: list[np.ndarray] = []
 _models: dict[str, Model] = {}
@@ -83,7 +87,8 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
 class Model:
     """The automata of all languages, over every code point of their texts; any other is matched by nothing.
 
-    The most frequent code points have a dense table of transitions, the others sorted (state, code) keys.
+    Most states have one transition, which is held as a pair. Of states with more, the most frequent code points have a dense
+    table of transitions, the others sorted (state, code) keys.
     """
 
     def __init__(self, texts: Mapping[str, str]):
@@ -99,60 +104,100 @@ class Model:
         self.bits = np.array([np.log2(max(2, len(s))) for s in seqs])
         self.steps = [self._tables(suffix_automaton(self.code[s].tolist())) for s in seqs]
 
-    def _tables(self, step: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Dense table, keys and targets of the other transitions, and the root's transitions by code."""
-        edges = np.array([(s, c, to) for s, d in enumerate(step) for c, to in d.items()], np.int64).reshape(-1, 3)
-        table = np.full((len(step), self.width), -1, np.int32)
+    def _tables(self, step: list[dict[int, int]]):
+        """Code and target of states with one transition; of the others the row of the dense table, the table, keys and
+        targets of rare codes; the root's transitions by code."""
+        ones = np.array([next(iter(d.items())) if len(d) == 1 else (-1, -1) for d in step], np.int32)
+        forks = [s for s, d in enumerate(step) if len(d) > 1]
+        row = np.zeros(len(step), np.int32)
+        row[forks] = np.arange(1, len(forks) + 1)
+        edges = np.array([(s, c, to) for s in forks for c, to in step[s].items()], np.int64).reshape(-1, 3)
+        table = np.full((len(forks) + 1, self.width), -1, np.int32)
         often = edges[:, 1] < self.dense
         s, c, to = edges[often].T
-        table[s, c] = to
+        table[row[s], c] = to
         s, c, to = edges[~often].T
         keys = s * (self.points + 1) + c
         order = np.argsort(keys)
         root = np.full(self.points + 1, -1, np.int32)
         root[list(step[0])] = list(step[0].values())
-        return table.ravel(), np.append(keys[order], np.iinfo(np.int64).max), np.append(to[order], -1).astype(np.int32), root
-
-    def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """Phrases (lanes, languages); `lanes` is (positions, lanes) of codes, -1 after the end, longest lanes first."""
-        live = (lanes >= 0).sum(1)
-        rare = [np.flatnonzero((row[:m] >= self.dense) & (row[:m] < self.points)) for row, m in zip(lanes, live, strict=True)]
-        often = np.minimum(lanes, self.dense)
-        out = np.zeros((lanes.shape[1], len(self.langs)), np.int64)
-        for k, (step, keys, targets, root) in enumerate(self.steps):
-            state, n = np.zeros(lanes.shape[1], np.int32), out[:, k]
-            for row, low, other, m in zip(lanes, often, rare, live, strict=True):
-                c = row[:m]
-                to = step[state[:m] * self.width + low[:m]]
-                if len(other):
-                    key = state[other].astype(np.int64) * (self.points + 1) + c[other]
-                    at = np.searchsorted(keys, key)
-                    to[other] = np.where(keys[at] == key, targets[at], -1)
-                cut = np.flatnonzero(to < 0)
-                if len(cut):  # a phrase ends here; the character starts the next one, or is one by itself
-                    n[cut] += state[cut] > 0
-                    to[cut] = root[c[cut]]
-                    lone = cut[to[cut] < 0]
-                    n[lone] += 1
-                    to[lone] = 0
-                state[:m] = to
-            n += state > 0
+        return ones[:, 0].copy(), ones[:, 1].copy(), row, table.ravel(), np.append(keys[order], np.iinfo(np.int64).max), np.append(to[order], -1).astype(np.int32), root
+
+    def _step(self, k: int, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after codes `c`, and whether each code begins a phrase (a code that no text has is one by itself)."""
+        code, target, row, table, keys, targets, root = self.steps[k]
+        to = table[row[state] * self.width + np.minimum(c, self.dense)]
+        one = np.flatnonzero(code[state] == c)
+        to[one] = target[state[one]]
+        rare = np.flatnonzero((c >= self.dense) & (c < self.points) & (to < 0))
+        if len(rare):
+            key = state[rare].astype(np.int64) * (self.points + 1) + c[rare]
+            at = np.searchsorted(keys, key)
+            to[rare] = np.where(keys[at] == key, targets[at], -1)
+        begins = (state == 0) | (to < 0)
+        cut = np.flatnonzero(to < 0)
+        to[cut] = np.maximum(root[c[cut]], 0)
+        return to, begins
+
+    def phrases(self, columns: np.ndarray) -> np.ndarray:
+        """Phrases (columns, languages) of sequences of codes in the columns of an array, -1 after the end."""
+        return self.parse([c[c >= 0] for c in columns.T])
+
+    def parse(self, seqs: list[np.ndarray]) -> np.ndarray:
+        """Phrases (texts, languages) of the greedy parse of each sequence of codes."""
+        text, begin, size = (np.array(x, np.int64) for x in zip(*((i, a, min(LANE, len(s) - a)) for i, s in enumerate(seqs) for a in range(0, len(s), LANE)), strict=True)) if any(map(len, seqs)) else (np.zeros(0, np.int64),) * 3
+        out = np.zeros((len(seqs), len(self.langs)), np.int64)
+        if not len(text):
+            return out
+        order = np.argsort(-size, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(begin > 0, place[np.maximum(np.arange(len(order)) - 1, 0)], -1)[order]
+        text, begin, size = text[order], begin[order], size[order]
+        grid = np.full((int(size[0]), len(size)), self.points, np.int32)
+        for j, (i, a, n) in enumerate(zip(text.tolist(), begin.tolist(), size.tolist(), strict=True)):
+            grid[:n, j] = seqs[i][a : a + n]
+        live = len(size) - np.searchsorted(size[::-1], np.arange(len(grid)), "right")
+        for k in range(len(self.langs)):
+            np.add.at(out[:, k], text, self._lanes(k, grid, live, size, before))
         return out
 
+    def _lanes(self, k: int, grid: np.ndarray, live: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each lane (column of `grid`, `size` codes), `before` being the lane ahead of it in its text or -1."""
+        own = np.zeros(grid.shape, bool)
+        state = np.zeros(len(size), np.int32)
+        for i, m in enumerate(live):
+            state[:m], own[i, :m] = self._step(k, state[:m], grid[i, :m])
+        count = own.sum(0)
+        last, extra = state.copy(), np.zeros(len(size), np.int64)
+        todo = np.flatnonzero(before >= 0)
+        while len(todo):
+            now, more, end = last[before[todo]], np.zeros(len(todo), np.int64), state[todo]
+            on = np.arange(len(todo))
+            for i in range(len(grid)):
+                out = size[todo[on]] <= i
+                if out.any():  # never met the first run
+                    end[on[out]] = now[on[out]]
+                    on = on[~out]
+                if not len(on):
+                    break
+                lane = todo[on]
+                now[on], begins = self._step(k, now[on], grid[i, lane])
+                first = own[i, lane]
+                more[on] += begins.astype(np.int64) - first
+                on = on[~(begins & first)]
+            else:
+                end[on] = now[on]
+            changed = end != last[todo]
+            last[todo], extra[todo] = end, more
+            todo = np.flatnonzero(np.isin(before, todo[changed]))
+        return count + extra
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; the score is the runner-up's cost over the sum of the two, 0.5 to 1."""
         seqs = [self.code[letters(t)] for t in texts]
-        cost = np.zeros((len(texts), len(self.langs)))
-        spans = [(len(s[a : a + LANE]), i, a) for i, s in enumerate(seqs) for a in range(0, len(s), LANE)]
-        spans.sort(key=lambda x: -x[0])
-        for at in range(0, len(spans), LANES):
-            part = spans[at : at + LANES]
-            grid = np.full((len(part), part[0][0]), -1, np.int32)
-            for j, (n, i, a) in enumerate(part):
-                grid[j, :n] = seqs[i][a : a + n]
-            np.add.at(cost, [i for _, i, _ in part], self.phrases(np.ascontiguousarray(grid.T)))
         out = []
-        for s, c in zip(seqs, cost * self.bits, strict=True):
+        for s, c in zip(seqs, self.parse(seqs) * self.bits, strict=True):
             if not len(s) or not self.langs:
                 out.append(("und", 0.0))
                 continue
@@ -163,23 +208,27 @@ class Model:
 
 
 def train_texts(labelled: DataFrame, docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """Training text by language from rows (doc_id, text, lang), a bounded sample: of each language about `docs` rows,
-    chosen by a hash of doc_id at a rate set from the language's count, and of their text `chars` characters at most."""
+    """Training text by language from rows (doc_id, text, lang), a bounded sample of whole documents.
+
+    Of each language about `docs` rows are drawn by a hash of doc_id and text, at a rate set from the language's count, and
+    taken in the order of that hash as long as their texts fit into `chars` characters; a text that does not fit is passed
+    over, but one text at least is taken. Rows with a null language or text teach nothing. The driver receives a hash and a length for each drawn row, then the chosen texts.
+    """
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     rate = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, docs / n)))))[F.col("lang")]
-    draw = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    # a document gives at most a twentieth of its language's characters, so that no single one speaks for it
-    share = max(1, chars // 20)
-    found = rows.where(draw < rate).select("lang", "doc_id", F.substring("text", 1, share).alias("text")).orderBy("lang", "doc_id").toLocalIterator()
+    key = F.xxhash64(F.lit("train"), "doc_id", "text")
+    drawn = rows.withColumn("key", key).where(F.pmod("key", F.lit(1 << 20)) / (1 << 20) < rate)
+    used, chosen = dict.fromkeys(counts, 0), set()
+    for r in drawn.select("lang", F.shiftrightunsigned("key", 20).alias("turn"), "key", F.length("text").alias("n")).orderBy("lang", "turn", "key").toLocalIterator():
+        if not used[r["lang"]] or used[r["lang"]] + r["n"] <= chars:
+            used[r["lang"]] += max(1, r["n"])
+            chosen.add(r["key"])
     out: dict[str, list[str]] = {}
-    used = dict.fromkeys(counts, 0)
-    for r in found:
-        if used[r["lang"]] < chars:
-            out.setdefault(r["lang"], []).append(r["text"][: chars - used[r["lang"]]])
-            used[r["lang"]] += len(out[r["lang"]][-1])
+    for r in drawn.where(F.col("key").isin(sorted(chosen))).dropDuplicates(["lang", "key"]).select("lang", "key", "text").orderBy("lang", "key").toLocalIterator():
+        out.setdefault(r["lang"], []).append(r["text"])
     return {k: "\n".join(v) for k, v in out.items()}
 
 
@@ -189,25 +238,15 @@ def identify(docs: DataFrame, texts: Mapping[str, str]) -> DataFrame:
     `texts` is training text by language. A text without letters, or null, is `und` with score 0; ties go to the
     language that sorts first; repeated rows and null doc_ids are kept; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(dict(texts))  # at most TRAIN_CHARS for each language
+    shared = docs.sparkSession.sparkContext.broadcast(dict(texts))  # a bounded sample for each language
     token = base64.b64encode(repr(sorted((k, hash(v)) for k, v in texts.items())).encode()).decode()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(part: list[str | None]) -> pa.Array:
         if token not in _models:
             _models.clear()
             _models[token] = Model(shared.value)
-        model = _models[token]
-        for pdf in batches:
-            rows, held, size = [], [], 0
-            for t in pdf["text"]:
-                held.append(t)
-                size += len(t or "")
-                if size > LANE * LANES:
-                    rows += model.predict(held)
-                    held, size = [], 0
-            rows += model.predict(held)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows]})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+        found = _models[token].predict(part)
+        return struct(lang_pred=pa.array([x for x, _ in found], pa.string()), score=pa.array([x for _, x in found], pa.float64()))
+
+    named = text_function(work, "lang_pred string, score double", BATCH_BYTES)("text")
+    return docs.select("doc_id", named.alias("of")).select("doc_id", "of.*")
