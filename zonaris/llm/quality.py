@@ -3,8 +3,8 @@
 Each text becomes `STATS` (all of it, whatever its length). Standardised, they are mapped by
 sqrt(2/D) * cos(W x + b) with normal W, which approximates a Gaussian kernel. Every partition of labelled rows adds its
 products of features into the normal equations, Spark sums them entry by entry, and the driver solves one (D+1)-square
-system. Raw scores of the labelled rows are then counted in fixed bins, and pooling adjacent violators over the bins
-gives a monotone map from raw score to the share of label 1.
+system. A fifth of the labelled rows, chosen by a hash, is held aside from that fit; their raw scores are counted in fixed bins, and
+pooling adjacent violators over the bins gives a monotone map from raw score to the share of label 1.
 """
 
 from __future__ import annotations
@@ -13,16 +13,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import lists, struct, text_function
 from .scratch import materialize
-from .textkit import chunks, words
+from .textkit import words
 
 STATS = ("log_bytes", "log_words", "word_bytes", "capitals", "digits", "symbols", "spaces", "lines", "stops", "bars", "marks", "non_ascii", "capital_words", "distinct_words", "top_word", "repeated_neighbours", "distinct_lines", "words_a_stop")
 FEATURES, WIDTH, RIDGE, BINS, SEED = 192, 2.0, 1e-3, 400, 7
-BATCH_BYTES = 4 << 20
+ASIDE = 5  # one in so many labelled rows serves for calibration only
 _CLASSES = np.zeros((256, 8))
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*<>=+^~@_\\/{}[]", b" \t\r", b"\n", b".!?", b"|", b"!*#&%$")):
     _CLASSES[list(_chars), _k] = 1
@@ -104,54 +105,59 @@ def isotonic(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats) for each row of `docs` (doc_id, text)."""
+    """(doc_id, stats) for each row of `docs` (doc_id, text; further columns are ignored); an empty or null text has zeros."""
+    k = len(STATS)
+    stats = text_function(lambda t: lists(np.arange(len(t) + 1) * k, statistics(t).ravel()), "array<double>")
+    return docs.select("doc_id", stats("text").alias("stats"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for s in chunks([len(t or "") for t in pdf["text"]], BATCH_BYTES):
-                part = pdf.iloc[s]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "stats": list(statistics(part["text"].tolist()))})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, stats array<double>")
+def _matrix(stats: pa.Array) -> np.ndarray:
+    return stats.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
 
 
 def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE, bins: int = BINS, seed: int = SEED) -> Model:
     """A model from (doc_id, stats) and (doc_id, quality 0/1), over all labelled rows.
 
     A doc_id with several labels counts with their largest; null labels and null doc_ids do not count. Without a labelled row the
-    model gives 0.5 to all, with labels of one kind that label. The driver receives sums only, whose number depends on `features` and `bins`.
+    model gives 0.5 to all, with labels of one kind that label; where the rows held aside, or those left, are none, all serve for both.
+    The driver receives sums only, whose number depends on `features` and `bins`.
     """
     k = len(STATS)
     lab = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
-    rows = materialize(stats.join(lab, "doc_id").select("stats", "y"), "labelled")
-    sums = rows.agg(F.count("*").alias("n"), *(f(F.col("stats")[i]).alias(f"{n}{i}") for i in range(k) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    rows = stats.join(lab, "doc_id").select("stats", "y", (F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(ASIDE)) == 0).alias("aside"))
+    rows = materialize(rows, "labelled")
+    moments = [f(F.col("stats")[i]).alias(f"{n}{i}") for i in range(k) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    sums = rows.agg(F.count("*").alias("n"), F.count_if("aside").alias("held"), *moments).first()
     if not sums["n"]:
         return Model(np.zeros(k), np.ones(k), np.zeros(features + 1), np.array([0.0, 1.0]), np.array([0.5, 0.5]), features, width, seed)
+    split = 0 < sums["held"] < sums["n"]
+    learned, aside = (rows.where("not aside"), rows.where("aside")) if split else (rows, rows)
     mean, scale = (np.array([sums[f"{c}{i}"] for i in range(k)]) for c in "ms")
     scale = np.where(scale > 1e-12, scale, 1.0)
     base = Model(mean, scale, np.zeros(features + 1), np.zeros(2), np.zeros(2), features, width, seed)
     d = features + 1
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = np.zeros((d, d + 1))
-        for pdf in batches:
-            z = base.map(np.stack(pdf["stats"])) if len(pdf) else np.zeros((0, d))
-            a += z.T @ np.column_stack([z, pdf["y"]])
-        yield pd.DataFrame({"i": np.repeat(np.arange(d), d + 1), "j": np.tile(np.arange(d + 1), d), "v": a.ravel()})
+        for b in batches:
+            z = base.map(_matrix(b.column("stats")))
+            a += z.T @ np.column_stack([z, b.column("y").to_numpy()])
+        i, j = np.repeat(np.arange(d, dtype=np.int32), d + 1), np.tile(np.arange(d + 1, dtype=np.int32), d)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(a.ravel())], names=["i", "j", "v"])
 
-    total = rows.mapInPandas(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    total = learned.select("stats", "y").mapInArrow(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
     a = np.zeros((d, d + 1))
     a[total["i"], total["j"]] = total["v"]
-    beta = np.linalg.solve(a[:, :d] + ridge * sums["n"] * np.eye(d) * (np.arange(d) < features)[:, None] + 1e-9 * np.eye(d), a[:, d])
+    n = sums["n"] - sums["held"] if split else sums["n"]
+    beta = np.linalg.solve(a[:, :d] + ridge * n * np.eye(d) * (np.arange(d) < features)[:, None] + 1e-9 * np.eye(d), a[:, d])
     model = Model(mean, scale, beta, np.zeros(2), np.zeros(2), features, width, seed)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"bin": np.clip(np.floor((model.raw(np.stack(pdf["stats"])) + 0.5) / 2 * bins), 0, bins - 1).astype(int), "y": pdf["y"].to_numpy()})
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.clip(np.floor((model.raw(_matrix(b.column("stats"))) + 0.5) / 2 * bins), 0, bins - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("y")], names=["bin", "y"])
 
-    binned = rows.mapInPandas(scored, "bin int, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").toPandas()
+    binned = aside.select("stats", "y").mapInArrow(scored, "bin int, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").toPandas()
     model.edges = (binned["bin"].to_numpy() + 0.5) / bins * 2 - 0.5
     model.values = isotonic(binned["y"].to_numpy(), binned["n"].to_numpy(float))
     return model
@@ -160,14 +166,11 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, width: fl
 def score(stats: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted) for each row of (doc_id, stats)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                s = model.score(np.stack(pdf["stats"]))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "score": s, "predicted": (s >= 0.5).astype(int)})
+    @F.arrow_udf("double")
+    def scored(s: pa.Array) -> pa.Array:
+        return pa.array(model.score(_matrix(s)), pa.float64())
 
-    kind = stats.schema["doc_id"].dataType.simpleString()
-    return stats.mapInPandas(run, f"doc_id {kind}, score double, predicted int")
+    return stats.select("doc_id", scored("stats").alias("score")).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, train: str | None = None) -> DataFrame:
@@ -182,14 +185,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, train: str | None = None
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose score, by a model fitted on all labels, is at least `least`; columns as they are."""
-    stats = materialize(document_statistics(docs), "statistics")
-    model = fit(stats, labels.select("doc_id", "quality"))
+    """The rows of `docs` whose score, by a model fitted on all labels, is at least `least`; columns as they are.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for s in chunks([len(t or "") for t in pdf["text"]], BATCH_BYTES):
-                part = pdf.iloc[s]
-                yield part[model.score(statistics(part["text"].tolist())) >= least]
-
-    return docs.mapInPandas(run, docs.schema)
+    Statistics are computed of the labelled documents to fit, then of each text to judge it. Null and empty texts are judged like
+    any other; null doc_ids and repeated rows are judged by their text; columns may have any name and type; an empty table gives no rows.
+    """
+    labelled = docs.join(labels.where("quality is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    model = fit(document_statistics(labelled), labels.select("doc_id", "quality"))
+    good = text_function(lambda t: pa.array(model.score(statistics(t)), pa.float64()), "double")
+    return docs.where(good("text") >= least)
