@@ -6,13 +6,14 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import text_function
 from .textkit import chunks
 
-BATCH_CHARS, PIECE_CHARS = 1 << 20, 1 << 16
+BATCH_BYTES, PIECE_CHARS = 1 << 20, 1 << 16
 _loaded: dict[tuple, object] = {}
 
 
@@ -49,24 +50,21 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, special: tuple[
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of `docs` (doc_id, text; further columns are ignored).
 
     `ranks_path` is a file of `base64-token rank` lines, `pattern` its pre-tokeniser, `special` the strings that are one
-    token wherever they stand in a text. A null text is empty and has 0 tokens; nothing is truncated or padded. Pieces of
-    all rows are encoded in batches of about `BATCH_CHARS` characters, so a worker holds one batch's tokens at a time. Repeated rows and null doc_ids are kept; an
+    token wherever they stand in a text. A null text is empty and has 0 tokens; nothing is truncated or padded. Texts are encoded in
+    batches of about `BATCH_BYTES` UTF-8 bytes, long ones in pieces, so a worker holds one batch's tokens at a time. Repeated rows and null doc_ids are kept; an
     empty table gives no rows.
     """
     names = {s for s, _ in special}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str | None]) -> pa.Array:
         enc = byte_bpe(ranks_path, pattern, special)
-        for pdf in batches:
-            n = np.zeros(len(pdf), np.int64)
-            parts = [(i, p) for i, t in enumerate(pdf["text"]) for p in pieces(t or "")]
-            for s in chunks([len(p) for _, p in parts], BATCH_CHARS):
-                coded = enc.encode_batch([p for _, p in parts[s]], num_threads=1, allowed_special=names, disallowed_special=())
-                np.add.at(n, [i for i, _ in parts[s]], [len(x) for x in coded])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": n})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    d = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
-    # partitions of equal bytes: the scan already cuts files by bytes; within it, Arrow batches are capped by bytes too
-    out = d.mapInPandas(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+        n = np.zeros(len(texts), np.int64)
+        parts = [(i, p) for i, t in enumerate(texts) for p in pieces(t or "")]
+        for s in chunks([len(p.encode("utf-8", "surrogatepass")) for _, p in parts], BATCH_BYTES):
+            coded = enc.encode_batch([p for _, p in parts[s]], num_threads=1, allowed_special=names, disallowed_special=())
+            np.add.at(n, [i for i, _ in parts[s]], [len(x) for x in coded])
+        return pa.array(n)
+
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    out = docs.select("doc_id", n_bytes.alias("n_bytes"), text_function(work, "bigint", BATCH_BYTES)("text").alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
