@@ -22,17 +22,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import lists, row_function
 from .scratch import materialize
-from .textkit import Words, chunks, mix, salt, words
+from .textkit import Words, mix, salt, words
 
 WINDOW, THRESHOLD, LITERALS = 5, 0.8, 2
 #: The benchmark's window hashes are sent to all tasks as a filter while there are at most so many (8 bytes each).
-FILTER_WINDOWS = 2_000_000
-BATCH_BYTES = 4 << 20
+FILTER_WINDOWS = 200_000
 #: Widths of the ranges of alignments, in words; each is laid twice, shifted by half, so that no border parts a drift of half a width.
 RANGES = (8, 32, 128)
 #: Units of measure and currency words that follow a number.
@@ -111,12 +111,11 @@ def _rows(texts: list[str | None], window: int, literals: int, wanted: np.ndarra
         i = np.minimum(np.searchsorted(wanted, h), max(0, len(wanted) - 1))
         hit = wanted[i] == h if len(wanted) else np.zeros(len(h), bool)
         text, pos, h, at, plain = text[hit], pos[hit], h[hit], at[hit], plain[hit]
-    slots, names = [], []
-    for a, p in zip(at.tolist(), plain.tolist(), strict=True):
-        v, k = value[a : a + window].view(np.int64), kind[a : a + window]
-        slots.append(v[(k > 0) & (k < 3)] if p else v[k > 0])
-        names.append(v[k == 3] if p else v[:0])
-    return text, {"pos": pos.astype(np.int64), "key": h.view(np.int64), "slots": pd.Series(slots, dtype=object), "names": pd.Series(names, dtype=object)}
+    place = at[:, None] + np.arange(window)
+    v, k = value[place].view(np.int64) if len(at) else np.zeros((0, window), np.int64), kind[place] if len(at) else np.zeros((0, window), np.int8)
+    slots = (k > 0) & ((k < 3) | ~plain[:, None])
+    names = (k == 3) & plain[:, None]
+    return text, {"pos": pos.astype(np.int64), "key": h.view(np.int64), **{n: lists(np.concatenate(([0], np.cumsum(m.sum(1)))), v[m]) for n, m in (("slots", slots), ("names", names))}}
 
 
 def raw_windows(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +138,7 @@ def _raw_rows(texts: list[str | None], lengths: list[int], wanted: np.ndarray |
         if m < window:  # all of an item: a text's first one tells everything
             first = np.sort(np.unique(np.stack((text.astype(_U), h)), axis=1, return_index=True)[1])
             text, pos, h = text[first], pos[first], h[first]
-        none = pd.Series([np.zeros(0, np.int64)] * len(h), dtype=object)
+        none = lists(np.zeros(len(h) + 1, np.int64), np.zeros(0, np.int64))
         yield text, {"pos": pos.astype(np.int64), "key": h.view(np.int64), "slots": none, "names": none}
 
 
@@ -156,39 +155,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
 
-    def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text, rows = _rows(pdf["text"].tolist(), window, literals, None, base=True)
-            yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[text], **rows, "raw": 0})
-            poor = pdf.iloc[np.setdiff1d(np.arange(len(pdf)), text)]
-            size = np.diff(words(poor["text"].tolist()).starts())
-            for m in range(1, window + 1):
-                part = poor[np.minimum(size, window) == m]
-                for text, rows in _raw_rows(part["text"].tolist(), [m], None, window):
-                    yield pd.DataFrame({"item_id": part["item_id"].to_numpy()[text], **rows, "raw": m})
-
-    items = benchmark.select("item_id", "text").mapInPandas(of_items, f"item_id {item_kind}, pos bigint, key bigint, slots array<bigint>, names array<bigint>, raw int")
+    def of_items(texts: list[str | None]) -> Iterator[tuple[np.ndarray, dict]]:
+        text, rows = _rows(texts, window, literals, None, base=True)
+        yield text, {**rows, "raw": np.zeros(len(text), np.int32)}
+        poor = np.setdiff1d(np.arange(len(texts)), text)
+        size = np.diff(words([texts[i] for i in poor]).starts())
+        for m in range(1, window + 1):
+            part = poor[np.minimum(size, window) == m]
+            for text, rows in _raw_rows([texts[i] for i in part], [m], None, window):
+                yield part[text], {**rows, "raw": np.full(len(text), m, np.int32)}
+
+    items = benchmark.select("item_id", "text").mapInArrow(row_function(of_items, ["item_id"]), f"item_id {item_kind}, pos bigint, key bigint, slots array<bigint>, names array<bigint>, raw int")
     items = materialize(items.dropDuplicates(["item_id", "pos", "key"]), "items")
     known = [r["key"] for r in items.select("key").distinct().limit(filter_windows + 1).collect()]
     wanted = None if len(known) > filter_windows else docs.sparkSession.sparkContext.broadcast(np.sort(np.array(known, np.int64).view(_U)))
 
     lengths = sorted(r["raw"] for r in items.where("raw > 0").select("raw").distinct().collect())  # at most `window` values
 
-    def of_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for s in chunks([len(t or "") for t in pdf["text"]], BATCH_BYTES):
-                part = pdf.iloc[s]
-                text, rows = _rows(part["text"].tolist(), window, literals, None if wanted is None else wanted.value)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[text], "node": part["node"].to_numpy()[text], **rows})
-                for text, rows in _raw_rows(part["text"].tolist(), lengths, None if wanted is None else wanted.value, window):
-                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[text], "node": part["node"].to_numpy()[text], **rows})
+    def of_docs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, dict]]:
+        yield _rows(texts, window, literals, None if wanted is None else wanted.value)
+        yield from _raw_rows(texts, lengths, None if wanted is None else wanted.value, window)
 
     d = docs.select("doc_id", "text").withColumn("node", F.xxhash64("text"))
-    found = d.mapInPandas(of_docs, f"doc_id {kind}, node bigint, pos bigint, key bigint, slots array<bigint>, names array<bigint>").drop("names")
+    found = d.mapInArrow(row_function(of_docs, ["doc_id", "node"]), f"doc_id {kind}, node bigint, pos bigint, key bigint, slots array<bigint>, names array<bigint>").drop("names")
+    found = materialize(found, "found")
+    text = ["doc_id", "node"]
+    # A text that holds `threshold` of an item's n windows holds one of any n - ceil(threshold * n) + 1 of them, so pairs come from the
+    # windows of each item that the fewest texts and items have; a window that many have is met only inside such pairs.
+    common = found.groupBy("key").agg(F.count("*").alias("hits")).join(items.groupBy("key").agg(F.count("*").alias("uses")), "key", "right")
+    weight = items.join(common, "key").groupBy("item_id", "pos").agg(F.sum(F.coalesce("hits", F.lit(0)) * F.col("uses")).alias("weight"))
+    of_item = Window.partitionBy("item_id")
+    rare = weight.select("item_id", "pos", F.row_number().over(of_item.orderBy("weight", "pos")).alias("nth"), F.count("*").over(of_item).alias("of"))
+    rare = rare.where(F.col("nth") <= F.col("of") - F.ceil(F.col("of") * threshold - 1e-9) + 1).select("item_id", "pos")
+    key_of = _join(items.select("item_id", "pos", "key"), rare, ["item_id", "pos"]).select("item_id", "key").distinct()
+    pairs = materialize(found.select(*text, "key").distinct().join(key_of, "key").select(*text, "item_id").distinct(), "pairs")
     side = items.select("item_id", F.col("pos").alias("item_pos"), "key", F.col("slots").alias("item_slots"), "names")
     zipped = F.concat(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), F.arrays_zip(F.col("names").alias("a"), F.col("names").alias("b")))
     zipped = F.array_sort(zipped).alias("pairs")  # one order, so that a window found by both hashes counts once
-    hit = found.join(side, "key").select("doc_id", "node", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), zipped)
+    near = _join(pairs, found, text)
+    hit = _join(near, side, ["item_id", "key"]).select("doc_id", "node", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), zipped)
     hit = materialize(hit.distinct(), "hits")
     pair = ["doc_id", "node", "item_id"]
     whole = items.groupBy("item_id").agg(F.countDistinct("pos").alias("of"))
@@ -220,6 +225,10 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose doc_id holds no benchmark item; rows with a null doc_id stay."""
+    """The rows of `docs` whose doc_id holds no benchmark item; rows with a null doc_id stay.
+
+    Null and empty texts hold nothing; columns may have any name; repeated rows stay or go together; an empty table of documents gives
+    no rows, an empty benchmark keeps all.
+    """
     bad = leaks(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, "doc_id", "left_anti").select(*(f"`{c.replace('`', '``')}`" for c in docs.columns))
