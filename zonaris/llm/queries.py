@@ -72,7 +72,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as audio samples, sniffed, read back and digested."""
-    return media.digest_media(media.sniff_media(media.store_texts(_table(spark, sf_dir, "documents"))))
+    return media.text_digests(_table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
