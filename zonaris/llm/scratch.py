@@ -13,9 +13,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder is made and set only where it is unset (tests)."""
+    """`spark.checkpoint.dir` of the session. Where it is unset a temporary folder is made and set on a local master (tests); on
+    a cluster, whose machines would each write to a folder of their own, RuntimeError is raised."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="zonaris-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
