@@ -13,33 +13,52 @@ from zonaris.llm.scratch import materialize
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on all labels, scores 0.5 or more."""
+    """Documents that the classifier, fitted on all labels, scores 0.5 or more.
+
+    Null and empty texts are judged like any other, null doc_ids and repeated rows by their text; columns may have any name; an
+    empty table gives no rows.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least doc_id."""
+    """Of each class of near copies the document with the least doc_id.
+
+    Texts without words and rows with a null doc_id stay, rows that share a doc_id stay or go together; columns may have any name; an
+    empty table gives no rows.
+    """
     return minhash.drop_near_duplicates(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts and rows with a null doc_id stay, rows that share a doc_id stay or go together; columns may have any name;
+    an empty table gives no rows, an empty benchmark keeps all.
+    """
     return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, stored in the order of the source mix."""
+    """All documents, stored in the order of the source mix.
+
+    A null source is one of its own; null ids and texts and repeated rows are placed like any other; columns may have any name; an empty
+    table gives no rows.
+    """
     return mixing.in_mix_order(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shards of nearly equal bytes, runs of the stored order, so that each has the mix of sources.
 
-    Files are ordered by name and rows by their place in a file; docs that come from no file are ordered by doc_id.
+    Files are ordered by their part number, then by name, and rows by their place in a file; docs that come from no file are ordered by doc_id.
+    Null texts and ids and repeated rows are placed like any other; further columns, of any name, are ignored; an empty table gives no rows.
     """
     if docs.inputFiles():
-        docs = docs.select("*", F.col("_metadata.file_name").alias("_order_file"), F.col("_metadata.row_index").alias("_order_row"))
-        return sharding.shard_documents(docs, order=[F.col("_order_file"), F.col("_order_row")])
+        name = F.col("_metadata.file_name")
+        number = F.coalesce(F.regexp_extract(name, r"(\d+)", 1).try_cast("bigint"), F.lit(0))
+        docs = docs.select("doc_id", "text", number.alias("number"), name.alias("name"), F.col("_metadata.row_index").alias("row"))
+        return sharding.shard_documents(docs, order=[F.col("number"), F.col("name"), F.col("row")])
     return sharding.shard_documents(docs)
 
 
