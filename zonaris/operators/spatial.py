@@ -1,28 +1,40 @@
 """Overlay, nearest and range joins of rectangles and points, by grid cells.
 
-Geometries are axis-parallel boxes (x0, y0, x1, y1) or points (x, y) in a metric plane. Every join deals both sides by the grid cells
-they touch, joins equal cells, and keeps a pair only in the cell that holds the lower-left corner of the two boxes'
-intersection, so a pair comes once and no distinct is needed. Refinement is column arithmetic, inside code generation.
-There are no kernels for general polygons.
+Geometries are axis-parallel boxes (x0, y0, x1, y1) or points (x, y) in a metric plane; `polygons` refines the same joins for
+shapes. Every join deals both sides by grid cells and joins equal cells. A box lies on the grid level whose cells are at least its
+size, so it touches at most four of them, and shows there and on the coarser levels that the other side uses; a pair meets
+on the coarser level of the two, in the cell that holds the lower-left corner of the boxes' intersection, so it comes once and no distinct is
+needed. Refinement is column arithmetic, inside code generation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonaris.sources.shared import written
+
 BOX = ("x0", "y0", "x1", "y1")
 REAL_SHARE, TOLERANCE = 1e-6, 0.1
 
 
-def cells(df: DataFrame, size: float, box: Sequence[str] = BOX, margin: float = 0.0) -> DataFrame:
-    """`df` once for each grid cell (cx, cy) that its box, widened by `margin`, touches; rows with a null corner go."""
-    lo, hi = (lambda c: F.floor((F.col(c) - margin) / size)), (lambda c: F.floor((F.col(c) + margin) / size))
-    d = df.dropna(subset=list(box))
-    d = d.withColumn("cx", F.explode(F.sequence(lo(box[0]), hi(box[2]))))
-    return d.withColumn("cy", F.explode(F.sequence(lo(box[1]), hi(box[3]))))
+def _level(size: float, margin: float) -> Column:
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * margin
+    return F.greatest(F.ceil(F.log2(F.greatest(wide, F.lit(size)) / size)), F.lit(0)).cast("int")
+
+
+def cells(df: DataFrame, size: float, levels: Sequence[int], margin: float = 0.0) -> DataFrame:
+    """`df` once for each cell (cl, cx, cy) that its box, widened by `margin`, touches on its own level (`own`) and the coarser ones of
+    `levels`; rows with a null corner go."""
+    d = df.dropna(subset=list(BOX)).withColumn("own", _level(size, margin))
+    d = d.withColumn("cl", F.explode(F.filter(F.array(*(F.lit(x) for x in levels)), lambda x: x >= F.col("own"))))
+    cell = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("cl"))
+    at = lambda c, by: F.floor((F.col(c) + by) / cell)
+    d = d.withColumn("cx", F.explode(F.sequence(at("x0", -margin), at("x1", margin))))
+    return d.withColumn("cy", F.explode(F.sequence(at("y0", -margin), at("y1", margin))))
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -31,17 +43,21 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 def box_join(left: DataFrame, right: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
     """All pairs (columns l_*, r_*) whose boxes, the left one widened by `margin`, touch or overlap."""
-    a = _prefixed(cells(left, size, margin=margin), "l_")
-    b = _prefixed(cells(right, size), "r_")
-    meet = (F.col("l_cx") == F.col("r_cx")) & (F.col("l_cy") == F.col("r_cy"))
+    used = left.select(_level(size, margin).alias("x")).union(right.select(_level(size, 0.0).alias("x"))).distinct().where("x is not null")
+    levels = sorted(r["x"] for r in used.collect()) or [0]  # about log2 of the largest extent
+    a = _prefixed(cells(left, size, levels, margin), "l_")
+    b = _prefixed(cells(right, size, levels), "r_")
+    meet = (F.col("l_cl") == F.col("r_cl")) & (F.col("l_cx") == F.col("r_cx")) & (F.col("l_cy") == F.col("r_cy"))
     touch = (
         (F.col("l_x0") - margin <= F.col("r_x1"))
         & (F.col("r_x0") <= F.col("l_x1") + margin)
         & (F.col("l_y0") - margin <= F.col("r_y1"))
         & (F.col("r_y0") <= F.col("l_y1") + margin)
     )
-    corner = (F.floor(F.greatest(F.col("l_x0") - margin, "r_x0") / size) == F.col("l_cx")) & (F.floor(F.greatest(F.col("l_y0") - margin, "r_y0") / size) == F.col("l_cy"))
-    return a.join(b, meet & touch & corner).drop("l_cx", "l_cy", "r_cx", "r_cy")
+    cell = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("l_cl"))
+    corner = (F.floor(F.greatest(F.col("l_x0") - margin, "r_x0") / cell) == F.col("l_cx")) & (F.floor(F.greatest(F.col("l_y0") - margin, "r_y0") / cell) == F.col("l_cy"))
+    once = F.col("l_cl") == F.greatest("l_own", "r_own")
+    return a.join(b, meet & once & touch & corner).drop(*(f"{s}_{c}" for s in "lr" for c in ("cl", "cx", "cy", "own")))
 
 
 def box_area(x0: str, y0: str, x1: str, y1: str) -> Column:
@@ -129,15 +145,18 @@ def nearest_k(parcels: DataFrame, points: DataFrame, key: str, point_key: str, k
 def nearest_expanding(parcels: DataFrame, points: DataFrame, key: str, point_key: str, radii: Sequence[float], size: float) -> DataFrame:
     """The nearest point of each parcel and the first radius that holds it; parcels without one have `no_match`.
 
-    Distances count in millimetres, then the point key decides, so that rounding noise cannot.
+    Radius by radius, only parcels without a match go on, on a grid as wide as the radius. Distances count in millimetres, then the
+    point key decides, so that rounding noise cannot. What is left after a step is written to the shared folder.
     """
+    left, found = parcels.select(key, *BOX), []
     best = F.min(F.struct(F.round(F.col("distance") * 1000).cast("bigint").alias("mm"), F.col(f"r_{point_key}").alias("id"), "distance")).alias("best")
-    found = within(parcels, points, max(radii), size).groupBy(F.col(f"l_{key}").alias(key)).agg(best)
-    out = parcels.select(key).join(found, key, "left")
-    ring = F.lit(None)
-    for r in sorted(radii, reverse=True):
-        ring = F.when(F.col("best.distance") <= r, F.lit(float(r))).otherwise(ring)
-    return out.select(key, F.col("best.id").alias("nearest"), F.col("best.distance").alias("distance"), ring.alias("radius"), F.when(F.col("best").isNull(), "no_match").otherwise("match").alias("status"))
+    for r in sorted(radii):
+        hit = written(within(left, points, r, max(size, 2.0 * r)).groupBy(F.col(f"l_{key}").alias(key)).agg(best), "nearest")
+        found.append(hit.select(key, "best", F.lit(float(r)).alias("radius")))
+        left = left.join(hit, key, "left_anti")
+    every = reduce(DataFrame.unionByName, found)
+    out = parcels.select(key).join(every, key, "left")
+    return out.select(key, F.col("best.id").alias("nearest"), F.col("best.distance").alias("distance"), "radius", F.when(F.col("best").isNull(), "no_match").otherwise("match").alias("status"))
 
 
 def ring_statistics(parcels: DataFrame, points: DataFrame, key: str, value: str, radii: Sequence[float], size: float) -> DataFrame:

@@ -181,12 +181,24 @@ def latest_per_key(spark, sf_dir):
 
 @query("with o as (select o_custkey as k, count(*) as h from orders where o_orderdate<timestamp '1996-01-01' group by 1), n as (select o_custkey as k, count(*) as h from orders where o_orderdate>=timestamp '1994-01-01' group by 1) select coalesce(o.k,n.k) as k, case when o.k is null then 'new' when n.k is null then 'missing' when o.h=n.h then 'unchanged' else 'changed' end as change from o full join n on o.k=n.k")
 def snapshot_diff(spark, sf_dir):
-    """What changed between two snapshots, by content."""
+    """What changed between two snapshots, by a count of rows."""
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "k")
     at = lambda d: d.groupBy("k").agg(F.count("*").alias("h"))
     return V.snapshot_diff(at(o.where("o_orderdate < timestamp'1996-01-01'")), at(o.where("o_orderdate >= timestamp'1994-01-01'")), "k", "h")
 
 
+@query("""with o as (select o_custkey as k, md5(string_agg(o_orderkey||':'||o_orderstatus, ',' order by o_orderkey)) as h from orders where o_orderdate<timestamp '1996-01-01' group by 1), n as (select o_custkey as k, md5(string_agg(o_orderkey||':'||o_orderstatus, ',' order by o_orderkey)) as h from orders where o_orderdate<timestamp '1996-03-01' group by 1)
+select coalesce(o.k,n.k) as k, case when o.k is null then 'new' when n.k is null then 'missing' when o.h=n.h then 'unchanged' else 'changed' end as change from o full join n on o.k=n.k""")
+def snapshot_content(spark, sf_dir):
+    """What changed between two snapshots, by a hash of each key's sorted content (a key's rows are one record's parts, so few)."""
+    part = F.struct("o_orderkey", "o_orderstatus")
+    content = F.md5(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(part)), lambda x: F.concat(x["o_orderkey"], F.lit(":"), x["o_orderstatus"]))))
+    at = lambda day: table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(day).cast("timestamp")).groupBy(F.col("o_custkey").alias("k"))
+    d = at("1996-01-01").agg(content.alias("old")).join(at("1996-03-01").agg(content.alias("new")), "k", "full")
+    change = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "missing").when(F.col("old") == F.col("new"), "unchanged").otherwise("changed")
+    return d.select("k", change.alias("change"))
+
+
 @query("with c as (select o_custkey, o_orderstatus, o_orderdate, o_orderkey, lag(o_orderstatus) over (partition by o_custkey order by o_orderdate, o_orderkey) as b from orders) select o_custkey, o_orderstatus, o_orderdate as valid_from, lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as valid_to from c where b is null or b<>o_orderstatus")
 def scd2_history(spark, sf_dir):
     """History of each customer's status; repeats change nothing."""
@@ -443,13 +455,6 @@ def sliding_rates(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("in_window"))
 
 
-@query("with p as (select date_trunc('month', o_orderdate) as m, o_orderstatus, o_totalprice from orders) select m, round(sum(case o_orderstatus when 'F' then o_totalprice when 'P' then 0.5*o_totalprice else 0 end),2) as charged, count(*) filter (where o_orderstatus='O') as n_open from p group by 1")
-def charge_ledger(spark, sf_dir):
-    """Period sums with a charge that depends on status."""
-    charge = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).when(F.col("o_orderstatus") == "P", 0.5 * F.col("o_totalprice")).otherwise(0.0)
-    return table(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("m")).agg(F.round(F.sum(charge), 2).alias("charged"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"))
-
-
 @query("select doc_id, md5(text) as hash, octet_length(encode(text)) as n_bytes from documents")
 def manifest_hashes(spark, sf_dir):
     """Content hashes (MD5) and sizes."""

@@ -130,7 +130,7 @@ def ordered_dedupe(spark, sf_dir):
 
 @query("with active as (select distinct user_id from events where event_type='purchase'), new as (select user_id, min(event_id) as event_id from events where event_type='click' group by 1) select user_id, event_id from new where user_id not in (select user_id from active)")
 def insert_or_ignore(spark, sf_dir):
-    """One new job for each scope that has no active one."""
+    """U8: one new job for each scope that has no active one."""
     e = table(spark, sf_dir, "events")
     new = e.where("event_type = 'click'").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
     return new.join(e.where("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
@@ -169,7 +169,7 @@ def slope_grid(spark, sf_dir):
 
 @query("with p as (select s_suppkey, 14+((s_suppkey*53)%1000)/100.0+0.0003 as lon, 49+((s_suppkey*29)%1000)*0.006+0.0002 as lat from supplier) select cast(floor((lon+180)/360*4096) as bigint) as tx, cast(floor((1-asinh(tan(radians(lat)))/pi())/2*4096) as bigint) as ty, count(*) as n from p group by 1,2")
 def tile_counts(spark, sf_dir):
-    """Points for each web-mercator tile of zoom 12."""
+    """Points for each web-mercator tile of zoom 12."""
     p = table(spark, sf_dir, "supplier").select((14 + F.expr("s_suppkey * 53 % 1000") / 100 + 0.0003).alias("lon"), (49 + F.expr("s_suppkey * 29 % 1000") * 0.006 + 0.0002).alias("lat"))
     tx, ty = R.tile(F.col("lon"), F.col("lat"), 12)
     return p.groupBy(tx.alias("tx"), ty.alias("ty")).agg(F.count("*").alias("n"))
@@ -185,7 +185,7 @@ def geojson_features(spark, sf_dir):
 
 @query("select date_trunc('month', o_orderdate) as m, cast(round(sum(case o_orderstatus when 'F' then cast(o_totalprice as decimal(18,3)) when 'P' then cast(o_totalprice*0.5 as decimal(18,3)) else 0 end),2) as double) as charged from orders group by 1")
 def charge_ledger_decimal(spark, sf_dir):
-    """The ledger in decimals, where half cents have one rounding."""
+    """Period sums with a charge that depends on status, in decimals, where half cents have one rounding."""
     p = F.col("o_totalprice")
     charge = F.when(F.col("o_orderstatus") == "F", p.cast("decimal(18,3)")).when(F.col("o_orderstatus") == "P", (p * 0.5).cast("decimal(18,3)")).otherwise(F.lit(0).cast("decimal(18,3)"))
     return table(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("m")).agg(F.round(F.sum(charge), 2).cast("double").alias("charged"))

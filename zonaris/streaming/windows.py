@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:  # local tests
-        found = "file://" + tempfile.mkdtemp(prefix="zonaris-streams-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/streams/{uuid.uuid4().hex}"
+from zonaris.sources.shared import new_folder
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -28,18 +20,25 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
-def window_counts(stream: DataFrame, at: str, width: str, key: str) -> DataFrame:
-    """(hour, key, n): counts in fixed windows of `width`, by window start. Without a watermark, late rows still count."""
+def window_counts(stream: DataFrame, at: str, width: str, key: str, late: str | None = None) -> DataFrame:
+    """(hour, key, n): counts in fixed windows of `width`, by window start.
+
+    With `late`, a watermark: windows older than that behind the latest row are closed and their state is dropped, and rows later than
+    that are not counted. Without it late rows still count and state is kept for every window, which is for bounded input only.
+    """
+    stream = stream if late is None else stream.withWatermark(at, late)
     return stream.groupBy(F.window(at, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), key, "n")
 
 
 def latest_by_batch(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Run an aggregating stream over all that is there and return each key's last row.
 
-    Every batch writes its changed rows under its own number, so a batch that runs again after a failure replaces itself.
+    Every batch writes its changed rows under its own number, so a batch that runs again after a failure replaces itself. A stream
+    without a batch gives no rows.
     """
     spark = updates.sparkSession
-    path = _shared(spark)
+    path = new_folder(spark, "stream")
+    updates.sparkSession.createDataFrame([], updates.schema).write.parquet(f"{path}/out/batch=-1")
     rest = [c for c in updates.columns if c not in keys]
 
     def put(batch: DataFrame, number: int) -> None:
