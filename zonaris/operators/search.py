@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,22 +52,58 @@ def trigram_top_k(queries: DataFrame, query_key: str, query: str, labels: DataFr
 
 
 def text_score(label: Column, query: Column) -> Column:
-    """3 if the label holds the query, plus 2 times the share of query tokens (of two characters or more) found in it."""
+    """3 if the label holds the query, plus 2 times the share of query tokens (of two characters or more) found in it."""
     words = F.filter(tokens(query), lambda w: F.length(w) >= 2)
     hit = F.size(F.filter(words, lambda w: fold(label).contains(w)))
     return 3.0 * fold(label).contains(fold(query)).cast("int") + 2.0 * F.coalesce(F.try_divide(hit, F.size(words)), F.lit(0.0))
 
 
-def rank_addresses(candidates: DataFrame, key: str, kind: str, distance: Column, in_box: Column, limit: int) -> DataFrame:
+def rank_addresses(candidates: DataFrame, key: str, kind: str, distance: Column, in_box: Column, limit: int, query_key: str = "query") -> DataFrame:
     """Re-ranked candidates (label, query and `kind`): text score, confidence of the kind, distance and box; ties by key."""
-    #: Confidence by kind.
+    #: Confidence by kind, and the weights of box and distance here and of text in `text_score`.
     confidence = F.when(F.col(kind) == "city", 1.0).when(F.col(kind) == "street", 0.98).when(F.col(kind) == "house_number", 0.96).otherwise(0.0)
     bias = F.coalesce(1.0 / (1.0 + distance), F.lit(0.0))
     box = F.when(in_box, 0.5).when(~in_box, -1.0).otherwise(0.0)
-    scored = candidates.withColumn("score", text_score(F.col("label"), F.col("query")) + confidence + bias + box)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))).where(F.col("rank") <= limit)
+    scored = candidates.withColumn("score", F.round(text_score(F.col("label"), F.col("query")) + confidence + bias + box, 8))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))).where(F.col("rank") <= limit)
 
 
 def stable_id(*parts: str | Column, length: int = 16) -> Column:
     """A prefix of the MD5 of the parts, joined by |."""
     return F.substring(F.md5(F.concat_ws("|", *parts)), 1, length)
+
+
+def canonical_hash(*columns: str) -> Column:
+    """SHA-256 of a JSON object of the columns, its keys in order and without spaces; null values are left out."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+def match_ranges(label: Column, query: Column) -> Column:
+    """Half-open ranges of `label` (array of start, end) that tokens of the query of two characters or more cover; touching ones are one."""
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def ranges(folded: pa.Array, words: pa.Array) -> pa.Array:
+        out = []
+        for text, tokens_ in zip(folded.to_pylist(), words.to_pylist(), strict=True):
+            found: list[dict[str, int]] = []
+            for m in sorted((m.start(), m.start() + len(w)) for w in tokens_ or () for m in re.finditer(f"(?={re.escape(w)})", text or "")):
+                if found and m[0] <= found[-1]["end"]:
+                    found[-1]["end"] = max(found[-1]["end"], m[1])
+                else:
+                    found.append({"start": m[0], "end": m[1]})
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    return ranges(fold(label), F.filter(tokens(query), lambda w: F.length(w) >= 2))
+
+
+def search(queries: DataFrame, query_key: str, labels: DataFrame, key: str, limit: int, kind: str, distance: Column, in_box: Column) -> DataFrame:
+    """The `limit` best labels of each query (column `query`): candidates share a token with it, at most min(100, max(6 * limit, 30)) of them by the
+    number of shared tokens and key, then `rank_addresses`. Labels need `label`; tokens meet in an equi join."""
+    most = min(100, max(6 * limit, 30))
+    q = queries.select(query_key, "query", F.explode(F.array_distinct(F.filter(tokens(F.col("query")), lambda w: F.length(w) >= 2))).alias("token"))
+    d = labels.select(key, F.explode(F.array_distinct(tokens(F.col("label")))).alias("token"))
+    shared = q.join(d, "token").groupBy(query_key, "query", key).agg(F.count("*").alias("n"))
+    first = shared.withColumn("rn", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("n"), key))).where(F.col("rn") <= most)
+    ranked = rank_addresses(first.join(labels, key), key, kind, distance, in_box, limit, query_key)
+    return ranked
