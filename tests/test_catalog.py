@@ -4,7 +4,7 @@ import pytest
 
 from tests.conftest import SMALL
 from tests.oracle import compare, connect
-from zonaris.plans import catalog, planning, polygons, relational, studies, textual  # noqa: F401  (they add to the catalogue)
+from zonaris.plans import catalog, documents, planning, polygons, relational, studies, textual  # noqa: F401  (they add to the catalogue)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))

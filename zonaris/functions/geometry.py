@@ -384,6 +384,56 @@ _point = pa.struct([("x", _f), ("y", _f)])
 samples = shape_function(_samples, "inner struct<x:double,y:double>, parts array<struct<x:double,y:double>>", pa.struct([("inner", _point), ("parts", pa.list_(_point))]))
 
 
+def _pixels(s, step, offset):
+    """Cells (i, j) of a grid whose sample point (i + offset, j + offset) * step lies inside."""
+    rings = rings_of(s)
+    if not rings:
+        return []
+    p = np.concatenate(rings)
+    (x0, y0), (x1, y1) = (p.min(0) / step - offset), (p.max(0) / step - offset)
+    i, j = np.arange(int(np.floor(x0)), int(np.ceil(x1)) + 1), np.arange(int(np.floor(y0)), int(np.ceil(y1)) + 1)
+    out = []
+    for row in j:  # one row of the grid at a time
+        inside = contains(rings, (i + offset) * step, np.full(len(i), (row + offset) * step))
+        out += [{"i": int(a), "j": int(row)} for a in i[inside]]
+    return out
+
+
+#: the mask of a shape on a grid
+pixels = shape_function(_pixels, "array<struct<i:bigint,j:bigint>>", pa.list_(pa.struct([("i", pa.int64()), ("j", pa.int64())])))
+
+
+def _axis(s):
+    """The two corners that are farthest apart, the lower left one first."""
+    rings = rings_of(s)
+    if not rings:
+        return None
+    h = _hull(np.concatenate(rings))
+    d = ((h[:, None] - h[None]) ** 2).sum(2)
+    a, b = np.unravel_index(int(np.argmax(d)), d.shape)
+    (x0, y0), (x1, y1) = sorted((h[a].tolist(), h[b].tolist()))
+    return {"x0": x0, "y0": y0, "x1": x1, "y1": y1, "length": float(np.sqrt(d[a, b]))}
+
+
+#: the longest line between two corners of a shape, along which a profile is drawn
+long_axis = shape_function(_axis, "x0 double, y0 double, x1 double, y1 double, length double", pa.struct([(n, _f) for n in ("x0", "y0", "x1", "y1", "length")]))
+
+
+def repaired_line(line: Column) -> Column:
+    """A line (x, y, x, y, ...) without points that repeat the one before them; null with fewer than two points or a coordinate that is not finite."""
+    n = F.floor(F.size(line) / 2).cast("int")
+    points = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(F.get(line, i * 2).alias("x"), F.get(line, i * 2 + 1).alias("y")))
+    kept = F.filter(points, lambda p, i: (i == 0) | ~p.eqNullSafe(F.get(points, i - 1)))
+    bad = F.exists(kept, lambda p: p["x"].isNull() | p["y"].isNull() | F.isnan(p["x"]) | F.isnan(p["y"]) | (F.abs(p["x"]) == float("inf")) | (F.abs(p["y"]) == float("inf")))
+    return F.when((F.size(kept) > 1) & ~bad, F.flatten(F.transform(kept, lambda p: F.array(p["x"], p["y"]))))
+
+
+def line_length(line: Column) -> Column:
+    at = lambda i: F.get(line, i)
+    parts = F.transform(F.sequence(F.lit(1), (F.size(line) / 2 - 1).cast("int")), lambda i: F.hypot(at(i * 2) - at(i * 2 - 2), at(i * 2 + 1) - at(i * 2 - 1)))
+    return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+
+
 def box_shape(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """A rectangle as a shape."""
     return F.array(F.array(*(c.cast("double") for c in (x0, y0, x1, y0, x1, y1, x0, y1))))

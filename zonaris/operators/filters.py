@@ -91,3 +91,10 @@ def redistribution(artifacts: DataFrame, policies: DataFrame, source: str, raw:
     decision = F.when(F.col("policy_source").isNull(), "omit").when(F.col("allowed"), "include").when(F.col("attribution"), "redact").otherwise("omit")
     why = F.when(F.col("policy_source").isNull(), "no_policy").when(F.col("allowed"), "open").when(F.col("attribution"), "raw_not_open").otherwise("not_open")
     return d.withColumns({"decision": decision, "why": why}).withColumn(raw, F.when(F.col("decision") == "include", F.col(raw))).drop("policy_source", "allowed", "attribution")
+
+
+def limited(df: DataFrame, most: int, what: str = "rows") -> DataFrame:
+    """`df`, or ValueError if it has more than `most` rows: one more row than allowed is asked for, never all of them."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return df

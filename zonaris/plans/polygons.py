@@ -332,3 +332,29 @@ def sample_points(spark, sf_dir):
     """A point that is surely inside, and one for each part."""
     d = parcels(spark, sf_dir).select("c_custkey", "shape", G.samples("shape").alias("s"))
     return d.select("c_custkey", G.holds("shape", F.col("s.inner.x"), F.col("s.inner.y")).alias("inside"), F.size("s.parts").alias("parts"))
+
+
+@query(f"with {SQUARE} select c_custkey, cast(s*ceil(s/2.0-0.25)+ceil(s/2.0-0.25)*(s-ceil(s/2.0-0.25)) as bigint) as pixels, round(s*sqrt(2.0),6) as axis, cast(x as double) as x0 from square")
+def pixel_masks(spark, sf_dir):
+    """Grid cells of 1 m inside each parcel, and the long axis of its profile."""
+    d = parcels(spark, sf_dir).select("c_custkey", G.pixels("shape", F.lit(1.0), F.lit(0.25)).alias("p"), G.long_axis("shape").alias("a"))
+    return d.select("c_custkey", F.size("p").cast("bigint").alias("pixels"), F.round("a.length", 6).alias("axis"), "a.x0")
+
+
+@query("select s_suppkey, case when s_suppkey%4<2 then 3 end as points, case when s_suppkey%4<2 then 7.0 end as length from supplier")
+def repaired_lines(spark, sf_dir):
+    """Lines without repeated points; lines of one point or with a coordinate that is not finite are refused."""
+    k = F.col("s_suppkey")
+    x = k.cast("double")
+    good = F.array(x, x, x, x, x + 3, x, x + 3, x, x + 3, x + 4)
+    line = F.when(k % 4 < 2, good).when(k % 4 == 2, F.array(x, x, x, x)).otherwise(F.array(x, F.lit(float("nan")), x, x + 1))
+    d = table(spark, sf_dir, "supplier").select(k, G.repaired_line(line).alias("l"))
+    return d.select("s_suppkey", F.when(F.col("l").isNotNull(), (F.size("l") / 2).cast("int")).alias("points"), G.line_length(F.col("l")).alias("length"))
+
+
+@query(f"with {FRAME}, p as (select event_id, (user_id*13)%1000+0.25 as x, (user_id*7)%1000+0.25 as y from events) select event_id, count(s_suppkey) as zones from p left join frame f on p.x>f.x and p.x<f.x+50 and p.y>f.y and p.y<f.y+50 and not (p.x>f.x+20 and p.x<f.x+30 and p.y>f.y+20 and p.y<f.y+30) group by 1")
+def point_coverage(spark, sf_dir):
+    """Coverage of points; each place is looked up once and its answer shared by all rows that ask for it."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") * 13 % 1000 + 0.25).alias("x"), (F.col("user_id") * 7 % 1000 + 0.25).alias("y"))
+    found = P.points_in(zones(spark, sf_dir), e.select("x", "y").distinct(), CELL).groupBy(F.col("r_x").alias("x"), F.col("r_y").alias("y")).agg(F.count("*").alias("zones"))
+    return e.join(found, ["x", "y"], "left").select("event_id", F.coalesce("zones", F.lit(0)).alias("zones"))

@@ -462,3 +462,29 @@ def staleness(spark, sf_dir):
     d = e.groupBy("user_id").agg(ok.alias("ok")).crossJoin(F.broadcast(e.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("now"))))
     state = F.when(F.col("ok").isNull(), "never").when(F.col("now") - F.col("ok") > 2 * 3600 * 6 * 1_000_000, "stale").otherwise("fresh")
     return d.select("user_id", state.alias("state"))
+
+
+@query("select n_nationkey, n_name from nation where n_regionkey=2")
+def limited_answer(spark, sf_dir):
+    """An answer that must not be longer than a limit: an error in place of a cut."""
+    return L.limited(table(spark, sf_dir, "nation").where("n_regionkey = 2").select("n_nationkey", "n_name"), 100, "units")
+
+
+@query("""with r as (select o_custkey as k, case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as rank, o_orderkey, case when o_orderkey%3=0 then null else o_totalprice end as price, case when o_orderkey%5<3 then null else o_orderpriority end as priority from orders)
+select k, min(rank) as rank, arg_min(price, rank*1000000000+o_orderkey) filter (where price is not null) as price, arg_min(priority, rank*1000000000+o_orderkey) filter (where priority is not null) as priority, count(*) as n from r group by 1""")
+def source_records_merged(spark, sf_dir):
+    """Records of several sources as one: the best status wins, each field takes its first known value in that order."""
+    k = F.col("o_orderkey")
+    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    d = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), rank.alias("rank"), k, F.when(k % 3 > 0, F.col("o_totalprice")).alias("price"), F.when(k % 5 >= 3, F.col("o_orderpriority")).alias("priority"))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("rank", "o_orderkey", F.col(c).alias("v"))))["v"].alias(c)
+    return d.groupBy("k").agg(F.min("rank").alias("rank"), first("price"), first("priority"), F.count("*").alias("n"))
+
+
+@query("""with c as (select o_orderstatus as section, o_custkey, o_totalprice, o_orderdate, o_orderkey%7=0 as stale from orders) select section, count(*) as checked, count(*) filter (where not stale and o_totalprice>50000) as complete, count(*) filter (where stale) as stale, case when count(*) filter (where stale)*5>count(*) then 'stale' when count(*) filter (where o_totalprice<=50000)*4>count(*) then 'partial' else 'good' end as headline from c group by 1""")
+def section_quality(spark, sf_dir):
+    """Checked, complete and stale parts of each section, and its headline."""
+    d = table(spark, sf_dir, "orders").withColumn("old", F.col("o_orderkey") % 7 == 0)
+    n, old, thin = F.count("*"), F.count_if("old"), F.count_if(F.col("o_totalprice") <= 50000)
+    headline = F.when(old * 5 > n, "stale").when(thin * 4 > n, "partial").otherwise("good")
+    return d.groupBy(F.col("o_orderstatus").alias("section")).agg(n.alias("checked"), F.count_if(~F.col("old") & (F.col("o_totalprice") > 50000)).alias("complete"), old.alias("stale"), headline.alias("headline"))
