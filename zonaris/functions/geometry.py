@@ -95,25 +95,60 @@ def area_where(shapes: list[Rings], member: Callable[[np.ndarray], np.ndarray])
 
 
 def shape_where(shapes: list[Rings], member: Callable[[np.ndarray], np.ndarray]) -> list[list[float]]:
-    """The same points as a shape: trapezoids with an area, stacked ones with straight sides as one."""
+    """The same points as a shape."""
     t, m = trapezoids(shapes)
     t = t[member(m)] if len(t) else t
-    tops: dict[tuple, list[float]] = {}  # trapezoids that may grow, by their upper side
-    out = []
-    for lo, hi, a, b, c, d in t[areas_of(t) > EPS].tolist():
-        x0, x1, y0 = a, b, lo
-        below = tops.pop((round(lo, 9), round(a, 9), round(b, 9)), None)
-        if below:
-            p, q, y = below[:3]
-            if abs((a - p) * (hi - lo) - (c - a) * (lo - y)) < 1e-7 and abs((b - q) * (hi - lo) - (d - b) * (lo - y)) < 1e-7:
-                x0, x1, y0 = p, q, y
-            else:
-                out.append(below)
-        key = (round(hi, 9), round(c, 9), round(d, 9))
-        if key in tops:  # two tips at one point
-            out.append(tops.pop(key))
-        tops[key] = [x0, x1, y0, c, d, hi]
-    return [[x0, y0, x1, y0, d, y1, c, y1] for x0, x1, y0, c, d, y1 in (*out, *tops.values())]
+    rings = outline(t)
+    return [[a, lo, b, lo, d, hi, c, hi] for lo, hi, a, b, c, d in t[areas_of(t) > EPS].tolist()] if rings is None else rings
+
+
+def outline(t: np.ndarray) -> list[list[float]] | None:
+    """The boundary rings of trapezoids that do not overlap; null where rounding keeps a ring from closing.
+
+    Sides are kept; level sides that two trapezoids share cancel. Each ring goes on from an end to any side that starts there: whichever is
+    taken where rings touch, the odd rule gives the same points.
+    """
+    point: dict[tuple[float, float], tuple[float, float]] = {}
+    next_: dict[tuple[float, float], list[tuple[float, float]]] = {}
+    level: dict[float, dict[float, int]] = {}
+
+    def at(x: float, y: float) -> tuple[float, float]:
+        key = (round(x, 7) + 0.0, round(y, 7) + 0.0)
+        point.setdefault(key, (x, y))
+        return key
+
+    def add(p: tuple[float, float], q: tuple[float, float]) -> None:
+        if p != q:
+            next_.setdefault(p, []).append(q)
+
+    for lo, hi, a, b, c, d in t.tolist():
+        p, q, r, s = at(a, lo), at(b, lo), at(d, hi), at(c, hi)
+        add(q, r), add(s, p)
+        for y, x0, x1, way in ((p[1], p[0], q[0], 1), (r[1], s[0], r[0], -1)):
+            marks = level.setdefault(y, {})
+            marks[x0] = marks.get(x0, 0) + way
+            marks[x1] = marks.get(x1, 0) - way
+    for y, marks in level.items():
+        xs, n = sorted(marks), 0
+        for x0, x1 in zip(xs, xs[1:], strict=False):
+            n += marks[x0]
+            if n:
+                add(*(((x0, y), (x1, y)) if n > 0 else ((x1, y), (x0, y))))
+    rings = []
+    for start in list(next_):
+        while next_.get(start):
+            ring, here = [start], next_[start].pop()
+            while here != start:
+                if not next_.get(here):
+                    return None
+                ring.append(here)
+                here = next_[here].pop()
+            p = np.array([point[k] for k in ring])
+            back, ahead = p - np.roll(p, 1, 0), np.roll(p, -1, 0) - p
+            turn = np.abs(back[:, 0] * ahead[:, 1] - back[:, 1] * ahead[:, 0]) > 1e-9 * (np.abs(back).sum(1) + np.abs(ahead).sum(1) + 1e-3)
+            if turn.sum() >= 3:
+                rings.append(p[turn].ravel().tolist())
+    return rings
 
 
 def contains(rings: Rings, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -347,19 +382,22 @@ descriptors = shape_function(_descriptors, "solidity double, compactness double,
 def _halved(s, fraction, upright):
     """The part of a shape left of (or below) the line that gives it `fraction` of the area, and the rest."""
     rings = rings_of(s)
-    p = np.concatenate(rings)
-    axis = 0 if upright else 1
-    lo, hi = p[:, axis].min(), p[:, axis].max()
-    low, high = p.min(0) - 1, p.max(0) + 1
-    half = lambda at: [np.array([low, (at, low[1]), (at, high[1]), (low[0], high[1])] if upright else [low, (high[0], low[1]), (high[0], at), (low[0], at)], float)]
-    whole = area_where([rings], lambda m: m[:, 0])
-    for _ in range(60):
-        at = (lo + hi) / 2
-        if area_where([rings, half(at)], lambda m: m.all(1)) < fraction * whole:
-            lo = at
-        else:
-            hi = at
-    cut = [rings, half((lo + hi) / 2)]
+    turned = [p[:, ::-1] for p in rings] if upright else rings
+    t, _ = trapezoids([turned])
+    if not len(t):
+        return None
+    slabs, of = np.unique(t[:, :2], axis=0, return_inverse=True)
+    low, high = np.bincount(of, t[:, 3] - t[:, 2]), np.bincount(of, t[:, 5] - t[:, 4])  # widths at both ends of each slab
+    area = (slabs[:, 1] - slabs[:, 0]) * (low + high) / 2
+    k = min(int(np.searchsorted(np.cumsum(area), fraction * area.sum())), len(area) - 1)
+    rest, tall = fraction * area.sum() - area[:k].sum(), slabs[k, 1] - slabs[k, 0]
+    bend = (high[k] - low[k]) / tall
+    part = rest / low[k] if abs(bend) < 1e-12 else (np.sqrt(max(low[k] ** 2 + 2 * bend * rest, 0)) - low[k]) / bend
+    at = slabs[k, 0] + part
+    q = np.concatenate(turned)
+    (x0, y0), (x1, _) = q.min(0) - 1, q.max(0) + 1
+    half = np.array([(x0, y0), (x1, y0), (x1, at), (x0, at)])
+    cut = [rings, [half[:, ::-1] if upright else half]]
     return [shape_where(cut, lambda m: m.all(1)), shape_where(cut, lambda m: m[:, 0] & ~m[:, 1])]
 
 

@@ -66,8 +66,8 @@ def coverage(parcels: DataFrame, zones: DataFrame, key: str, size: float) -> Dat
 def masked_areas(parcels: DataFrame, zones: DataFrame, key: str, zone_key: str, rank: Column, size: float) -> DataFrame:
     """(key, zone_key, area): zones lose what a zone of lower `rank` (ties: zone_key) has of the parcel; areas of 0 are left out."""
     d = by_cell(parcels, zones, key, size, [rank, F.col(zone_key)], [zone_key])
-    d = d.select(key, F.arrays_zip(F.col(f"zones.{zone_key}").alias("k"), G.masked_areas("piece", F.col("zones.zone")).alias("a")).alias("got"))
-    return d.select(key, F.inline("got")).groupBy(key, F.col("k").alias(zone_key)).agg(F.sum("a").alias("area")).where(F.col("area") > CONTACT)
+    d = d.select(key, F.arrays_zip(F.col(f"zones.{zone_key}").alias("masked_zone"), G.masked_areas("piece", F.col("zones.zone")).alias("masked_area")).alias("got"))
+    return d.select(key, F.inline("got")).groupBy(key, F.col("masked_zone").alias(zone_key)).agg(F.sum("masked_area").alias("area")).where(F.col("area") > CONTACT)
 
 
 def self_overlaps(shapes: DataFrame, key: str, size: float, least: float) -> DataFrame:
