@@ -289,16 +289,18 @@ def network_zones(spark, sf_dir):
     return d.join(F.broadcast(n.select("n_nationkey", "n_regionkey")), "n_nationkey").select("c_custkey", "n_nationkey", "n_regionkey", F.round("area", 6).alias("charged"))
 
 
-@query(f"""with {FRAME}, pair as (select a.s_suppkey as a, b.s_suppkey as b, a.s_nationkey%4 as f, b.s_nationkey%3 as t from frame a join frame b on a.x=b.x and a.y=b.y and a.s_suppkey<>b.s_suppkey and a.s_suppkey%2=0 and b.s_suppkey%2=1)
-select a, b, 2400.0 as area, case when f=t then 'agrees' when f=3 then 'unknown' when f>t then 'conflicts' else 'partly' end as result, case when f=t then 'high' when f=3 then 'none' else 'medium' end as confidence from pair""")
+@query(f"""with {FRAME}, p as (select n_nationkey, n_nationkey%5*200+30 as x0, n_nationkey//5*200+30 as y0, n_nationkey%5*200+230 as x1, n_nationkey//5*200+230 as y1 from nation), pair as (select f.s_suppkey, p.n_nationkey, {IN_FRAME} as area, f.s_nationkey%4 as f, p.n_nationkey%3 as t from frame f, p)
+select s_suppkey, n_nationkey, cast(area as double) as area, case when f=t then 'agrees' when f=3 then 'unknown' when f>t then 'conflicts' else 'partly' end as result, case when f=t then 'high' when f=3 then 'none' else 'medium' end as confidence from pair where area>1e-6""")
 def zone_pair_rules(spark, sf_dir):
     """Overlapping zones of two kinds of plan, judged by a rule table; what it does not list is unknown."""
-    z = zones(spark, sf_dir)
-    local, general = z.where("s_suppkey % 2 = 0").withColumn("f", F.col("s_nationkey") % 4), z.where("s_suppkey % 2 = 1").withColumn("t", F.col("s_nationkey") % 3)
+    n = F.col("n_nationkey")
+    x, y = n % 5 * 200 + 30, F.expr("n_nationkey div 5") * 200 + 30
+    general = P.boxed(table(spark, sf_dir, "nation").select("n_nationkey", (n % 3).alias("t"), G.box_shape(x, y, x + 200, y + 200).alias("shape")))
     rules = [(f, t, "agrees" if f == t else "conflicts" if f > t else "partly", "high" if f == t else "medium") for f in range(3) for t in range(3)]
-    table_of_rules = spark.createDataFrame(rules, "f bigint, t bigint, result string, confidence string")
-    pair = P.meeting(local, general, CELL).where("not touches").select(F.col("l_s_suppkey").alias("a"), F.col("r_s_suppkey").alias("b"), F.round("area", 6).alias("area"), F.col("l_f").cast("bigint").alias("f"), F.col("r_t").cast("bigint").alias("t"))
-    return pair.join(F.broadcast(table_of_rules), ["f", "t"], "left").select("a", "b", "area", F.coalesce("result", F.lit("unknown")).alias("result"), F.coalesce("confidence", F.lit("none")).alias("confidence"))
+    table_of_rules = spark.createDataFrame(rules, "f int, t int, result string, confidence string")
+    pair = P.meeting(zones(spark, sf_dir).withColumn("f", F.col("s_nationkey") % 4), general, CELL).where("not touches")
+    pair = pair.select(F.col("l_s_suppkey").alias("s_suppkey"), F.col("r_n_nationkey").alias("n_nationkey"), F.round("area", 6).alias("area"), F.col("l_f").alias("f"), F.col("r_t").alias("t"))
+    return pair.join(F.broadcast(table_of_rules), ["f", "t"], "left").select("s_suppkey", "n_nationkey", "area", F.coalesce("result", F.lit("unknown")).alias("result"), F.coalesce("confidence", F.lit("none")).alias("confidence"))
 
 
 @query("select s_suppkey, 2500.0 as whole, 2500.0-50*(s_suppkey%10) as covered, 50.0*5 as overlap, 50.0*(s_suppkey%10) as gap, 50.0*4 as outside, s_suppkey%10=0 as complete from supplier")
