@@ -38,6 +38,19 @@ def text_function(work: Callable[[list], pa.Array], kind: str, most: int = BATCH
     return run
 
 
+def list_function(work: Callable[[pa.ListArray], pa.Array], kind: str, most: int = BATCH_BYTES // 8):
+    """A column function of type `kind` of one list column; `work` is called with consecutive lists of about `most` values together."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            sizes = pc.fill_null(pc.list_value_length(rows), 0).to_pylist()
+            parts = [work(rows[s]) for s in chunks(sizes, most)]
+            yield pa.concat_arrays(parts) if parts else work(rows)
+
+    return run
+
+
 def struct(**columns: pa.Array | Sequence | np.ndarray) -> pa.StructArray:
     """A struct column of equally long columns."""
     return pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
