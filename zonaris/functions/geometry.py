@@ -3,6 +3,8 @@
 A shape is array<array<double>>: rings of x, y, x, y, ... that need not repeat their first point. A point belongs to a shape when
 it lies inside an odd number of its rings, so holes and further parts are just more rings, whatever their direction.
 
+Measures, shared areas, distances and masks of whole batches are in `sweep`; what gives new shapes is here, a shape at a time.
+
 Overlays cut the plane into slabs at every vertex and crossing. Inside a slab no two edges cross, so the intervals between
 neighbouring edges are trapezoids, and for each of them it is known which shapes it belongs to. Areas of any set expression
 (shared, united, left over, masked by rank) are sums of trapezoids.
@@ -17,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from zonaris.functions.sweep import apart, cover, holds, masked_areas, measure, meet, shared  # noqa: F401  (one place for all polygon functions)
+
 SHAPE = "array<array<double>>"
 EPS = 1e-9
 Rings = list[np.ndarray]
@@ -274,26 +278,10 @@ def _measure(s):
     return {"area": total, "perimeter": long, "x": cx / total, "y": cy / total}
 
 
-#: area, perimeter and centroid (x, y) of a shape, its rings by the odd rule
-measure = shape_function(_measure, "area double, perimeter double, x double, y double", pa.struct([(n, _f) for n in ("area", "perimeter", "x", "y")]))
-#: area of what two shapes share
-shared = shape_function(lambda a, b: area_where([rings_of(a), rings_of(b)], lambda m: m.all(1)), "double", _f)
-
-
-def _meet(a, b):
-    a, b = rings_of(a), rings_of(b)
-    area = area_where([a, b], lambda m: m.all(1))
-    return {"area": area, "meets": area > 1e-6 or distance(a, b) == 0}
-
-
-#: area of what two shapes share, and whether they meet at all
-meet = shape_function(_meet, "area double, meets boolean", pa.struct([("area", _f), ("meets", pa.bool_())]))
 #: what two shapes share, and the first without the second, as shapes
 shared_shape = shape_function(lambda a, b: shape_where([rings_of(a), rings_of(b)], lambda m: m.all(1)), SHAPE, _shape)
 left_over = shape_function(lambda a, b: shape_where([rings_of(a), rings_of(b)], lambda m: m[:, 0] & ~m[:, 1]), SHAPE, _shape)
 united = shape_function(lambda a, b: shape_where([rings_of(a), rings_of(b)], lambda m: m.any(1)), SHAPE, _shape)
-#: least distance of two shapes, 0 where they meet
-apart = shape_function(lambda a, b: distance(rings_of(a), rings_of(b)), "double", _f)
 #: a shape widened or narrowed by a radius
 widened = shape_function(lambda s, r: buffered(rings_of(s), r), SHAPE, _shape)
 #: a shape without the points that a tolerance allows to leave out
@@ -306,8 +294,6 @@ def _covers(a, b, slack):
 
 #: whether the first shape, widened by `slack`, holds the whole second one
 covers = shape_function(_covers, "boolean", pa.bool_())
-#: whether a shape holds a point (x, y)
-holds = shape_function(lambda s, x, y: bool(contains(rings_of(s), np.array([x], float), np.array([y], float))[0]), "boolean", pa.bool_())
 
 
 def _repaired(s):
@@ -326,7 +312,7 @@ canonical = shape_function(_repaired, SHAPE, _shape)
 
 
 def _masked(parcel, zones):
-    """For each zone, in order of its rank, the area inside the parcel that no zone before it has."""
+    """One row of `sweep.masked_areas` without a cell: for each zone, in order of its rank, the area inside the parcel that no zone before it has."""
     m = lambda k: lambda x: x[:, 0] & x[:, k + 1] & ~x[:, 1 : k + 1].any(1)
     rings = [rings_of(parcel), *(rings_of(z) for z in zones or [])]
     t, member = trapezoids(rings)
@@ -334,11 +320,8 @@ def _masked(parcel, zones):
     return [float(w[m(k)(member)].sum()) if len(t) else 0.0 for k in range(len(rings) - 1)]
 
 
-#: area inside the first shape of each shape of a list that no shape before it in the list has
-masked_areas = shape_function(_masked, "array<double>", pa.list_(_f))
-
-
 def _cover(parcel, zones):
+    """One row of `sweep.cover` without a cell."""
     rings = [rings_of(parcel), *(rings_of(z) for z in zones or [])]
     t, m = trapezoids(rings)
     w, n = areas_of(t), m[:, 1:].sum(1)
@@ -346,10 +329,6 @@ def _cover(parcel, zones):
     return {"whole": pick(m[:, 0]), "covered": pick(m[:, 0] & (n > 0)), "overlap": pick(m[:, 0] & (n > 1)), "outside": pick(~m[:, 0] & (n > 0))}
 
 
-#: of a shape and a list of others: its area, the area that they cover, that two or more cover, and theirs outside
-cover = shape_function(_cover, "whole double, covered double, overlap double, outside double", pa.struct([(n, _f) for n in ("whole", "covered", "overlap", "outside")]))
-
-
 def _hull(p: np.ndarray) -> np.ndarray:
     """The convex hull, against the clock."""
     p = np.unique(p, axis=0)

@@ -43,33 +43,56 @@ def overlay_shares(parcels: DataFrame, zones: DataFrame, key: str, zone_key: str
 
 
 def by_cell(parcels: DataFrame, zones: DataFrame, key: str, size: float, order: Sequence[Column] = (), carry: Sequence[str] = ()) -> DataFrame:
-    """(key, piece, zones): each parcel cut to each grid cell, with the zones that meet its box there, in `order` of their columns.
+    """(key, shape, cell, zones): for each grid cell of a parcel that some zone's box meets, the cell's box, and those zones in `order` of their columns.
 
-    Areas of a parcel are sums over its cells, so what one row holds is bounded by the zones over one cell, whatever the size of a parcel.
+    Only parcels are cut to cells. A zone is dealt by the grid level of its own size, so a large one does not become a row for each cell, and
+    meets the pieces of parcels that its box touches. Areas of a parcel are sums over its cells, so what one row holds is bounded by the zones over
+    one cell, whatever the size of a parcel.
     """
     at = lambda c: F.floor(F.col(c) / size)
-    cut = lambda d: d.dropna(subset=list(S.BOX)).withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
-    p = cut(parcels).select(key, "shape", "cx", "cy")
-    z = cut(zones).select(F.col("cx").alias("zx"), F.col("cy").alias("zy"), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), *carry, F.col("shape").alias("zone")).alias("z"))
-    cell = G.box_shape(F.col("cx") * size, F.col("cy") * size, (F.col("cx") + 1) * size, (F.col("cy") + 1) * size)
-    met = p.join(z, (p["cx"] == z["zx"]) & (p["cy"] == z["zy"]), "left").groupBy(key, "cx", "cy").agg(F.first("shape").alias("shape"), F.sort_array(F.collect_list("z")).alias("zones"))
-    return met.select(key, G.shared_shape("shape", cell).alias("piece"), "zones")
+    p = parcels.dropna(subset=list(S.BOX)).withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    low, high = (lambda c, k: F.greatest(F.col(c).cast("double"), F.col(k) * size)), (lambda c, k: F.least(F.col(c).cast("double"), (F.col(k) + 1) * size))
+    p = p.select(F.struct(key, "cx", "cy").alias("piece"), "shape", low("x0", "cx").alias("x0"), low("y0", "cy").alias("y0"), high("x1", "cx").alias("x1"), high("y1", "cy").alias("y1"))
+    z = zones.select(*S.BOX, F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), *carry, F.col("shape").alias("zone")).alias("z"))
+    met = S.box_join(p, z, size).groupBy("l_piece")
+    met = met.agg(F.first("l_shape").alias("shape"), F.sort_array(F.collect_list("r_z")).alias("zones"))
+    cell = F.array(*((F.col(c) + k).cast("double") * size for k in (0, 1) for c in ("cx", "cy")))
+    return met.select("l_piece.*", "shape", "zones").select(key, "shape", cell.alias("cell"), "zones")
 
 
 def coverage(parcels: DataFrame, zones: DataFrame, key: str, size: float) -> DataFrame:
     """(key, whole, covered, overlap, gap): areas of a parcel, of it under some zone, under two or more, and under none."""
-    per = by_cell(parcels, zones, key, size).select(key, G.cover("piece", F.col("zones.zone")).alias("c"))
-    got = per.groupBy(key).agg(*(F.sum(f"c.{x}").alias(x) for x in ("whole", "covered", "overlap")))
-    return got.withColumn("gap", F.greatest(F.lit(0.0), F.col("whole") - F.col("covered")))
+    per = by_cell(parcels, zones, key, size).select(key, G.cover("shape", F.col("zones.zone"), "cell").alias("c"))
+    got = per.groupBy(key).agg(*(F.sum(f"c.{x}").alias(x) for x in ("covered", "overlap")))
+    out = parcels.select(key, G.measure("shape")["area"].alias("whole")).join(got, key, "left").fillna(0.0, ["covered", "overlap"])
+    return out.withColumn("gap", F.greatest(F.lit(0.0), F.col("whole") - F.col("covered")))
 
 
 def masked_areas(parcels: DataFrame, zones: DataFrame, key: str, zone_key: str, rank: Column, size: float) -> DataFrame:
     """(key, zone_key, area): zones lose what a zone of lower `rank` (ties: zone_key) has of the parcel; areas of 0 are left out."""
     d = by_cell(parcels, zones, key, size, [rank, F.col(zone_key)], [zone_key])
-    d = d.select(key, F.arrays_zip(F.col(f"zones.{zone_key}").alias("masked_zone"), G.masked_areas("piece", F.col("zones.zone")).alias("masked_area")).alias("got"))
+    d = d.select(key, F.arrays_zip(F.col(f"zones.{zone_key}").alias("masked_zone"), G.masked_areas("shape", F.col("zones.zone"), "cell").alias("masked_area")).alias("got"))
     return d.select(key, F.inline("got")).groupBy(key, F.col("masked_zone").alias(zone_key)).agg(F.sum("masked_area").alias("area")).where(F.col("area") > CONTACT)
 
 
+def topology(acts: DataFrame, zones: DataFrame, key: str, size: float, tolerance: float = FULL) -> DataFrame:
+    """(key, whole, covered, overlap, gap, outside, complete): of each act, whose boundary is its shape, the area that its own zones cover, that two
+    or more of them cover, that none covers, and that they have outside the boundary. complete: the gap is at most `tolerance`.
+
+    `zones` have the act's `key`. Zones of one act are united cell by cell; an act without zones is one gap, zones without an act, or with a null
+    key, are left out.
+    """
+    a = acts.select(F.col(key), F.col("shape").alias("bound"), G.measure("shape")["area"].alias("whole"))
+    at = lambda c: F.floor(F.col(c) / size)
+    z = zones.dropna(subset=list(S.BOX)).withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    cells = z.groupBy(key, "cx", "cy").agg(F.collect_list("shape").alias("zones")).join(a.select(key, "bound"), key)
+    cell = F.array(*((F.col(c) + k).cast("double") * size for k in (0, 1) for c in ("cx", "cy")))
+    per = cells.select(key, G.cover("bound", "zones", cell).alias("c")).groupBy(key).agg(*(F.sum(f"c.{x}").alias(x) for x in ("covered", "overlap", "outside")))
+    out = a.drop("bound").join(per, key, "left").fillna(0.0, ["covered", "overlap", "outside"])
+    gap = F.greatest(F.lit(0.0), F.col("whole") - F.col("covered"))
+    return out.withColumn("gap", gap).withColumn("complete", gap <= tolerance)
+
+
 def self_overlaps(shapes: DataFrame, key: str, size: float, least: float) -> DataFrame:
     """(a, b, area) with a < b for every two shapes that share more than `least`."""
     pair = S.box_join(shapes, shapes, size).where(F.col(f"l_{key}") < F.col(f"r_{key}")).withColumn("area", G.shared("l_shape", "r_shape"))
@@ -77,8 +100,10 @@ def self_overlaps(shapes: DataFrame, key: str, size: float, least: float) -> Dat
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, size: float) -> DataFrame:
-    """All pairs (l_*, r_*) of shapes at most `radius` apart, with `distance`."""
-    return S.box_join(left, right, size, margin=radius).withColumn("distance", G.apart("l_shape", "r_shape")).where(F.col("distance") <= radius)
+    """All pairs (l_*, r_*) of shapes at most `radius` apart, with `distance`; pairs whose boxes are farther apart are not measured."""
+    gap = lambda c: F.greatest(F.col(f"l_{c}0") - F.col(f"r_{c}1"), F.col(f"r_{c}0") - F.col(f"l_{c}1"), F.lit(0))
+    pair = S.box_join(left, right, size, margin=radius).where(F.hypot(gap("x"), gap("y")) <= radius)
+    return pair.withColumn("distance", G.apart("l_shape", "r_shape")).where(F.col("distance") <= radius)
 
 
 def nearest_k(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, radius: float, size: float) -> DataFrame:

@@ -303,16 +303,21 @@ def zone_pair_rules(spark, sf_dir):
     return pair.join(F.broadcast(table_of_rules), ["f", "t"], "left").select("s_suppkey", "n_nationkey", "area", F.coalesce("result", F.lit("unknown")).alias("result"), F.coalesce("confidence", F.lit("none")).alias("confidence"))
 
 
-@query("select s_suppkey, 2500.0 as whole, 2500.0-50*(s_suppkey%10) as covered, 50.0*5 as overlap, 50.0*(s_suppkey%10) as gap, 50.0*4 as outside, s_suppkey%10=0 as complete from supplier")
+_BOUND = "bound as (select n_nationkey, min((s_suppkey%20)*50)+10 as x0, min(((s_suppkey//20)%20)*50) as y0, max((s_suppkey%20)*50)+40 as x1, max(((s_suppkey//20)%20)*50)+50 as y1 from supplier join nation on s_nationkey=n_nationkey group by 1)"
+_FRAMES_IN = f"({_cut('x0', 'x1', 'x', 'x+50')}*{_cut('y0', 'y1', 'y', 'y+50')}-{_cut('x0', 'x1', 'x+20', 'x+30')}*{_cut('y0', 'y1', 'y+20', 'y+30')})"
+
+
+@query(f"""with {FRAME}, {_BOUND}, spot as (select s_nationkey as n_nationkey, x, y, count(*) as n from frame group by all),
+part as (select *, {_FRAMES_IN} as area from spot join bound using (n_nationkey)),
+total as (select n_nationkey, max((x1-x0)*(y1-y0)) as whole, sum(area) as covered, coalesce(sum(area) filter (where n>1),0) as overlap, sum(2400-area) as outside from part group by 1)
+select n_nationkey, cast(whole as double) as whole, cast(covered as double) as covered, cast(overlap as double) as overlap, cast(outside as double) as outside, cast(whole-covered as double) as gap, whole-covered<=0.1 as complete from total""")
 def topology_check(spark, sf_dir):
-    """Gap, overlap and area outside the boundary of an act's zones: two strips of a square."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 20 * 50).alias("x"), (F.expr("s_suppkey div 20 % 20") * 50).alias("y"), (F.col("s_suppkey") % 10).alias("g"))
-    x, y = F.col("x"), F.col("y")
-    box = lambda a, b, c, d: G.box_shape(x + a, y + b, x + c, y + d)
-    c = G.cover(box(0, 0, 50, 50), F.array(box(F.lit(-4), 0, 30, 50), box(25, 0, F.lit(50) - F.col("g"), 50)))
-    d = s.select("s_suppkey", c.alias("c")).select("s_suppkey", *(F.round(f"c.{n}", 6).alias(n) for n in ("whole", "covered", "overlap", "outside")))
-    gap = F.col("whole") - F.col("covered")
-    return d.withColumn("gap", gap).withColumn("complete", gap <= P.FULL)
+    """Gap, overlap and area outside the boundary of each nation's zones; the boundary is the box of its suppliers, 10 m short on two sides."""
+    z = zones(spark, sf_dir).withColumnRenamed("s_nationkey", "n_nationkey")
+    box = z.groupBy("n_nationkey").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    acts = box.select("n_nationkey", G.box_shape(F.col("x0") + 10, F.col("y0"), F.col("x1") - 10, F.col("y1")).alias("shape"))
+    d = P.topology(acts, z, "n_nationkey", CELL)
+    return d.select("n_nationkey", *(F.round(c, 6).alias(c) for c in ("whole", "covered", "overlap", "outside", "gap")), "complete")
 
 
 @query(f"with {SQUARE} select c_custkey, round(0.75/0.875,6) as solidity, round(0.75,6) as fill, round(4*pi()*0.75/16,6) as compactness, cast(1 as bigint) as parts from square")
