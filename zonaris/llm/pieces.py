@@ -17,22 +17,19 @@ others raise ValueError.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
-from .arrow import list_function, text_function
+from .arrow import list_function, struct, text_function
 
 SPACE = "▁"
 SLICE_CHARS = 1 << 20  # characters of a text that are looked through at once
-MEMO_SPANS, MEMO_CHARS, MEMO_PAIRS = 1 << 17, 48, 1 << 17
+MEMO_SPANS, MEMO_CHARS, MEMO_PAIRS = 1 << 18, 48, 1 << 18
 #: Kinds of pieces and the merge type, as model files number them.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGE_TYPE = 2
@@ -91,14 +88,23 @@ class Model:
         self.kinds = kinds
         self.surface = [s.replace(SPACE, " ").encode() if k == NORMAL else bytes([int(s[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else self.unknown for s, k in zip(names, kinds, strict=True)]
         self.silent = {i for i, k in enumerate(kinds) if k in (CONTROL, UNKNOWN)}
+        self.bytes_of = [np.array(self.byte[list(t.encode("utf-8", "surrogatepass"))] if t not in self.id else [self.id[t]], "<i4").tobytes() for t in self._table()]
+
+    def _table(self) -> list[str]:
+        """Number the tokens: pieces, and characters that occur in pieces only, as they are parts of merges, too. Build what encoding looks up."""
+        self.tokens = [*self.id, *sorted(set("".join(self.id)) - self.id.keys())]
+        self.length = [len(t) for t in self.tokens]
+        number = {t: k for k, t in enumerate(self.tokens)}
+        self.shorter = [next((number[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in number), -1) for t in self.tokens]
         self.automaton = ahocorasick.Automaton()
-        for s in {*self.id, *"".join(self.id)}:  # characters that occur in pieces only are parts of merges, too
-            self.automaton.add_word(s, len(s))
+        for t, k in number.items():
+            self.automaton.add_word(t, k)
         self.automaton.make_automaton()
-        pairs = {(ord(a), ord(b)) for s in self.id for a, b in zip(s, s[1:], strict=False)}
+        pairs = {(ord(a), ord(b)) for t in self.id for a, b in zip(t, t[1:], strict=False)}
         self.seams = np.sort(np.array([a << 32 | b for a, b in pairs], np.int64))
         self.spans: dict[str, bytes] = {}
-        self.fits = lru_cache(MEMO_PAIRS)(self._fits)
+        self.pairs: dict[int, bool] = {}
+        return self.tokens
 
     def merged(self, text: str) -> list[str]:
         """The parts of `text` after all merges; for short texts."""
@@ -113,48 +119,55 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _fits(self, left: str, right: str) -> bool:
-        return self.merged(left + right) == ([left, right] if left else [right])
-
-    def _span(self, text: str) -> list[str]:
-        """The pieces of a span, by backtracking."""
-        longest = [1] * len(text)
-        for end, n in self.automaton.iter(text):
-            longest[end - n + 1] = n  # ends ascend, so the last one is the longest
-        open_ = bytearray(b"\xff") * (len(text) // 8 + 1)  # bitfield of the places that have not failed
-        parts: list[str] = []
-        at, size = 0, longest[0]
-        while at < len(text):
-            before = parts[-1] if parts else ""
-            while size:
-                end = at + size
-                part = text[at:end]
-                if open_[end >> 3] >> (end & 7) & 1 and (size == 1 or part in self.score) and self.fits(before, part):
-                    break
-                size -= 1
-            if size:
-                parts.append(part)
-                at = end
-                size = longest[at] if at < len(text) else 0
+    def _fits(self, key: int) -> bool:
+        """Whether two tokens (left * number of tokens + right; left is -1 at the start) come out as they are when merged anew."""
+        left, right = divmod(key, len(self.tokens))
+        parts = [self.tokens[left], self.tokens[right]] if left >= 0 else [self.tokens[right]]
+        if len(self.pairs) >= MEMO_PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = fits = self.merged("".join(parts)) == parts
+        return fits
+
+    def _span(self, text: str) -> list[int]:
+        """The tokens of a span whose characters are all tokens, by backtracking."""
+        length, shorter, pairs, n = self.length, self.shorter, self.pairs, len(self.tokens)
+        size = len(text)
+        longest = [0] * (size + 1)
+        for end, k in self.automaton.iter(text):
+            longest[end - length[k] + 1] = k  # ends ascend, so the last one is the longest
+        failed: bytearray | None = None  # bitfield of the places that no encoding goes through
+        found: list[int] = []
+        at, base, token = 0, -n, longest[0]
+        while at < size:
+            while token >= 0:
+                end = at + length[token]
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    fits = pairs.get(base + token)
+                    if self._fits(base + token) if fits is None else fits:
+                        break
+                token = shorter[token]
+            if token >= 0:
+                found.append(token)
+                at, base, token = end, token * n, longest[end]
             else:
-                open_[at >> 3] &= ~(1 << (at & 7))
-                size = len(parts.pop())
-                at -= size
-        return parts
+                if failed is None:
+                    failed = bytearray(size // 8 + 1)
+                failed[at >> 3] |= 1 << (at & 7)
+                token = found.pop()
+                at -= length[token]
+                base = found[-1] * n if found else -n
+        return found
 
     def _ids(self, span: str) -> bytes:
-        found = self.spans.get(span)
-        if found is None:
-            out: list[int] = []
-            for part in self._span(span):
-                i = self.id.get(part)
-                out.extend(self.byte[list(part.encode("utf-8", "surrogatepass"))] if i is None else (i,))
-            found = np.array(out, "<i4").tobytes()
-            if len(span) <= MEMO_CHARS:
-                if len(self.spans) >= MEMO_SPANS:
-                    self.spans.clear()
-                self.spans[span] = found
-        return found
+        """Ids of a span that is not in the memo."""
+        if len(span) == 1 and span not in self.automaton:
+            return self.byte[list(span.encode("utf-8", "surrogatepass"))].astype("<i4").tobytes()
+        ids = b"".join(map(self.bytes_of.__getitem__, self._span(span)))
+        if len(span) <= MEMO_CHARS:
+            if len(self.spans) >= MEMO_SPANS:
+                self.spans.clear()
+            self.spans[span] = ids
+        return ids
 
     def encode(self, text: str | None, bos: bool = False, eos: bool = False) -> bytes:
         """Ids of a text as little-endian integers of four bytes; null is empty."""
@@ -167,15 +180,14 @@ class Model:
                 code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
                 pair = code[:-1] << 32 | code[1:]
                 near = np.minimum(np.searchsorted(self.seams, pair), len(self.seams) - 1)
-                cuts = (np.flatnonzero(self.seams[near] != pair) + 1).tolist()
-                at = 0
-                for cut in cuts:
-                    span = part[at:cut]
-                    out.append(self._ids(held + span if held else span))
-                    held, at = "", cut
-                held += part[at:SLICE_CHARS]
+                cuts = [0, *(np.flatnonzero(self.seams[near] != pair) + 1).tolist()]
+                spans = [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                if spans:
+                    spans[0], held = held + spans[0], ""
+                out += [self._ids(x) if ids is None else ids for x, ids in zip(spans, map(self.spans.get, spans), strict=True)]
+                held += part[cuts[-1] : SLICE_CHARS]
             if held:
-                out.append(self._ids(held))
+                out.append(self.spans.get(held) or self._ids(held))
         if eos:
             out.append(np.int32(self.eos).tobytes())
         return b"".join(out)
@@ -252,25 +264,20 @@ def decode_column(ids: Column | str, path: str) -> Column:
     return list_function(lambda lists: pa.array([model_of(path).decode(x or []) for x in lists.to_pylist()], pa.string()), "string")(ids)
 
 
-def ids_digest(ids: Column | str) -> Column:
-    """Hexadecimal SHA-256 of a column of ids as little-endian integers of four bytes."""
-
-    def work(rows: pa.ListArray) -> pa.Array:
-        raw, at = rows.flatten().to_numpy().astype("<i4").tobytes(), 0
-        out = []
-        for n in pc.fill_null(pc.list_value_length(rows), 0).to_pylist():
-            out.append(hashlib.sha256(raw[at : at + 4 * n]).hexdigest())
-            at += 4 * n
-        return pa.array(out, pa.string())
-
-    return list_function(work, "string")(ids)
-
-
 def encode_documents(docs: DataFrame, path: str, bos: bool = True, eos: bool = True) -> DataFrame:
-    """(doc_id, ids, decoded) for each row of `docs` (doc_id, text; further columns, of any name, are ignored).
+    """(doc_id, n_tokens, ids, decoded) for each row of `docs` (doc_id, text; further columns, of any name, are ignored).
 
-    A null or empty text has only the begin and end ids and decodes to the empty text; repeated rows and null doc_ids are kept; an
-    empty table gives no rows. Nothing is shuffled, and doc_id never enters Python.
+    ids is binary, four bytes for each id with the lowest first, which is how token ids are stored for training; `encode_column` gives
+    arrays. decoded is the text that the model decodes these ids to. A null or empty text has only the begin and end ids and decodes to the empty
+    text; very long texts are encoded whole (see `encode_column`); repeated rows and null doc_ids are kept; an empty table gives no rows. Nothing is
+    shuffled, texts enter Python once, and doc_id never does.
     """
-    coded = docs.select("doc_id", encode_column("text", path, bos, eos).alias("ids"))
-    return coded.withColumn("decoded", decode_column("ids", path))
+
+    def work(texts: list[str | None]) -> pa.Array:
+        model = model_of(path)
+        coded = [model.encode(t, bos, eos) for t in texts]
+        text = pa.array([model.decode(np.frombuffer(x, "<i4").tolist()) for x in coded], pa.string())
+        return struct(n_tokens=pa.array([len(x) // 4 for x in coded], pa.int64()), ids=pa.array(coded, pa.binary()), decoded=text)
+
+    made = text_function(work, "struct<n_tokens:bigint,ids:binary,decoded:string>")("text")
+    return docs.select("doc_id", made.alias("made")).select("doc_id", "made.*")

@@ -80,7 +80,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = pieces.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), pieces.ids_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
