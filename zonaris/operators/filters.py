@@ -38,8 +38,13 @@ def in_scope(df: DataFrame, code: str, scopes: DataFrame, scope: str) -> DataFra
 
 
 def keys_kept(props: Column, keys: Sequence[str]) -> Column:
-    """A JSON object of numbers with only the given keys, compared without case, as JSON text; null if none is left."""
-    kept = F.map_filter(F.from_json(props, "map<string,bigint>"), lambda k, v: F.lower(k).isin([x.lower() for x in keys]) & v.isNotNull())
+    """A JSON object with only the given keys, compared without case, and their values as they are, as JSON text; null if none is left.
+
+    Keys whose value is null go; text that is no JSON object is null.
+    """
+    wanted = [x.lower() for x in keys]
+    whole = F.from_json(props, "map<string,variant>")
+    kept = F.map_filter(whole, lambda k, v: F.lower(k).isin(wanted) & v.isNotNull() & ~F.is_variant_null(v))
     return F.when(F.size(kept) > 0, F.to_json(kept))
 
 

@@ -65,16 +65,24 @@ def entries_of(changes: DataFrame, key: str, state: str, version: str) -> DataFr
     """(key, version, state_from, state_to, end_reason): intervals of a registry from its log of changes.
 
     `changes` has (key, state, kind, version): `open` begins an entry and closes the one before it (replaced), `close` ends it
-    (withdrawn), `rollback` ends it and begins the version before it anew (rolled_back). States are whole numbers; one change of a key a state.
+    (withdrawn), `rollback` ends it (rolled_back) and shows the newest version older than the shown one anew, after a `close` the newest of
+    all. Versions are as old as their `open`. A rollback with no older version is refused and changes nothing. States are whole numbers; one
+    change of a key a state.
+
+    Where rollbacks lead is counted, not folded: the n-th version is shown after n opens, and each rollback since the last open or close
+    goes one back. So nothing but running counts and one join by (key, number) is needed, whatever the length of a history.
     """
     w = Window.partitionBy(key).orderBy(state)
-    d = changes.withColumn("kept", F.when(F.col("kind") == "open", F.col(version)))
-    before = F.last("kept", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("prior", before).withColumn("opened", F.collect_list("kept").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    shown = F.when(F.col("kind") == "open", F.col(version)).when(F.col("kind") == "rollback", F.get("opened", F.size("opened") - 2))
-    d = d.withColumn("shown", shown).withColumn("state_to", F.lead(state).over(w)).withColumn("next", F.lead("kind").over(w))
+    kind = F.col("kind")
+    turn = kind.isin("open", "close")
+    d = changes.select(key, state, "kind", version, F.count_if(kind == "open").over(w).alias("n"), F.count_if(turn).over(w).alias("turn"), F.last(F.when(turn, kind), True).over(w).alias("after"))
+    back = F.count_if(kind == "rollback").over(Window.partitionBy(key, "turn").orderBy(state))
+    d = d.withColumn("number", F.when(kind == "open", F.col("n")).when(kind == "rollback", F.col("n") + (F.col("after") == "close").cast("int") - back))
+    d = d.where((kind != "rollback") | (F.col("number") > 0)).withColumn("state_to", F.lead(state).over(w)).withColumn("next", F.lead("kind").over(w))
+    opened = d.where(kind == "open").select(F.col(key).alias("o_key"), F.col("n").alias("o_n"), F.col(version).alias("shown"))
+    d = d.where("number is not null").drop(version).join(opened, (F.col(key) == F.col("o_key")) & (F.col("number") == F.col("o_n")))
     reason = F.when(F.col("next") == "open", "replaced").when(F.col("next") == "close", "withdrawn").when(F.col("next") == "rollback", "rolled_back")
-    return d.where("shown is not null").select(key, F.col("shown").alias(version), F.col(state).alias("state_from"), "state_to", reason.alias("end_reason"))
+    return d.select(key, F.col("shown").alias(version), F.col(state).alias("state_from"), "state_to", reason.alias("end_reason"))
 
 
 def updated_from(target: DataFrame, source: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from zonaris.functions import geometry as G
 from zonaris.functions import legal as T
 from zonaris.functions import numbers as N
+from zonaris.functions import planar as L
 from zonaris.operators import polygons as P
 from zonaris.plans.catalog import CELL, query, table
 from zonaris.plans.polygons import MEET, SQUARE, parcels, zones
@@ -186,13 +187,14 @@ def vector_tiles(spark, sf_dir):
     return t.groupBy("tx", "ty", "layer").agg(F.sum("n").alias("n"), (F.sum("n") == F.sum("counted")).alias("sound"))
 
 
-@query(f"""with {SQUARE} select c_custkey, '{{"type":"Feature","id":'||c_custkey||',"geometry":{{"type":"Polygon","coordinates":[[['||x||','||y||'],['||(x+s)||','||y||'],['||(x+s)||','||(y+s)||']]]}}}}' as feature from square""")
+_HALF = "case when s%2=0 then cast({0}+s//2 as varchar) else cast({0}+s//2 as varchar)||'.5' end"
+_HX, _HY = _HALF.format("x"), _HALF.format("y")
+
+
+@query(f"""with {SQUARE} select c_custkey, '{{"type":"Feature","id":'||c_custkey||',"geometry":{{"type":"Polygon","coordinates":[[['||x||','||y||'],['||(x+s)||','||y||'],['||(x+s)||','||{_HY}||'],['||{_HX}||','||{_HY}||'],['||{_HX}||','||(y+s)||'],['||x||','||(y+s)||'],['||x||','||y||']]]}}}}' as feature from square""")
 def geojson_polygons(spark, sf_dir):
-    """Features with their geometry as GeoJSON."""
-    p = parcels(spark, sf_dir)
-    at = lambda x, y: F.array(F.col(x).cast("bigint"), F.col(y).cast("bigint"))
-    ring = F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"))
-    return p.select("c_custkey", F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("c_custkey").alias("id"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))).alias("feature"))
+    """Features with their shape as GeoJSON: rings closed, shells against the clock."""
+    return parcels(spark, sf_dir).select("c_custkey", F.concat(F.lit('{"type":"Feature","id":'), "c_custkey", F.lit(',"geometry":'), L.geojson("shape"), F.lit("}")).alias("feature"))
 
 
 def _plan(spark, sf_dir) -> DataFrame:

@@ -47,15 +47,15 @@ def code_scope(spark, sf_dir):
 def _props(spark, sf_dir):
     """JSON of each customer: keys in different cases, a nested flag that some lack, a list of zones."""
     k = F.col("c_custkey")
-    numbers = F.to_json(F.struct((k % 30).alias("Max_Height"), (k % 100).alias("AREA share"), F.when(k % 4 > 0, k % 9).alias("Misc")))
+    numbers = F.to_json(F.struct((k % 30).alias("Max_Height"), (k % 100).alias("AREA share"), F.when(k % 4 > 0, k % 9).alias("Misc"), F.when(k % 3 > 0, F.concat(F.lit('a "'), k)).alias("Note"), ((k % 8) / 4).alias("floor_Ratio")))
     stats = F.to_json(F.struct(F.when(k % 3 > 0, F.struct(F.struct((k % 2 == 0).alias("complete")).alias("forest"))).alias("stats"), F.transform(F.sequence(F.lit(0), (k % 3).cast("int")), lambda i: F.struct(F.concat(F.lit("Z"), i).alias("symbol"), (k + i).alias("area"))).alias("zones")))
     return table(spark, sf_dir, "customer").select("c_custkey", numbers.alias("numbers"), stats.alias("stats"))
 
 
-@query("""select c_custkey, '{"Max_Height":'||c_custkey%30||',"AREA share":'||c_custkey%100||'}' as kept from customer""")
+@query("""select c_custkey, '{'||'"Max_Height":'||c_custkey%30||case when c_custkey%3>0 then ',"Note":"a \\"'||c_custkey||'"' else '' end||',"floor_Ratio":'||case c_custkey%4 when 0 then cast(c_custkey%8//4 as varchar) else cast((c_custkey%8)/4.0 as varchar) end||'}' as kept from customer""")
 def json_keys_kept(spark, sf_dir):
     """keys of a JSON object chosen without case, put together again."""
-    return _props(spark, sf_dir).select("c_custkey", L.keys_kept(F.col("numbers"), ["MAX_HEIGHT", "area share", "other"]).alias("kept"))
+    return _props(spark, sf_dir).select("c_custkey", L.keys_kept(F.col("numbers"), ["MAX_HEIGHT", "note", "floor_ratio", "other"]).alias("kept"))
 
 
 @query("select c_custkey, case when c_custkey%3>0 then cast(c_custkey%2=0 as varchar) end as complete, c_custkey%3>0 as has_forest, c_custkey%4>0 as has_misc, c_custkey+c_custkey%3 as last_area from customer")
@@ -398,12 +398,17 @@ def registry_entries(spark, sf_dir):
     return R.entries_of(d, "k", "s", "v")
 
 
-@query("with c as (select n_nationkey as k, s, case s when 1 then 'open' when 2 then 'open' when 3 then 'rollback' else 'close' end as kind from nation, range(1,5) t(s) where not (s=4 and n_nationkey%2=0)) select k, case s when 3 then 'v1' else 'v'||s end as v, s as state_from, case when s<3 or k%2=1 then s+1 end as state_to, case s when 1 then 'replaced' when 2 then 'rolled_back' when 3 then case when k%2=1 then 'withdrawn' end end as end_reason from c where kind<>'close'")
+@query("""with recursive log as (select o_custkey as k, o_orderkey as s, case o_orderstatus when 'O' then 'open' when 'F' then 'rollback' else 'close' end as kind, row_number() over (partition by o_custkey order by o_orderkey) as i from orders),
+step as (select k, s, i, kind, case when kind='open' then 1 else 0 end as opens, case when kind='open' then 1 else 0 end as shown, kind='rollback' as refused from log where i=1
+ union all select l.k, l.s, l.i, l.kind, p.opens+case when l.kind='open' then 1 else 0 end, case l.kind when 'open' then p.opens+1 when 'close' then 0 else case when p.shown=0 then p.opens when p.shown>1 then p.shown-1 else p.shown end end,
+ l.kind='rollback' and (p.opens=0 or p.shown=1) from step p join log l on l.k=p.k and l.i=p.i+1),
+done as (select *, lead(s) over (partition by k order by s) as state_to, lead(kind) over (partition by k order by s) as next from step where not refused), opened as (select k, opens, s as first from step where kind='open')
+select d.k, 'v'||o.first as v, d.s as state_from, d.state_to, case next when 'open' then 'replaced' when 'close' then 'withdrawn' when 'rollback' then 'rolled_back' end as end_reason from done d join opened o on o.k=d.k and o.opens=d.shown where d.kind<>'close'""")
 def registry_rollback(spark, sf_dir):
-    """A rolled back entry ends and the version before it opens again."""
-    d = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(4)).cast("array<bigint>")).alias("s")).where("not (s = 4 and k % 2 = 0)")
-    kind = F.when(F.col("s") <= 2, "open").when(F.col("s") == 3, "rollback").otherwise("close")
-    return R.entries_of(d.select("k", "s", kind.alias("kind"), F.concat(F.lit("v"), "s").alias("v")), "k", "s", "v")
+    """Entries of each customer's registry, where finished orders roll back: each goes on to the version before, after a close to the newest."""
+    o = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "rollback").otherwise("close")
+    return R.entries_of(o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("s"), kind.alias("kind"), F.concat(F.lit("v"), "o_orderkey").alias("v")), "k", "s", "v")
 
 
 @query("select c_custkey, coalesce(n,0) as n_orders, coalesce(last, timestamp '1900-01-01') as last_order from (select c_custkey from customer) left join (select o_custkey, count(*) as n, max(o_orderdate) as last from orders group by 1) on o_custkey=c_custkey")

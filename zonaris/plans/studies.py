@@ -76,13 +76,24 @@ def calibration_bands(spark, sf_dir):
     return d.select("*", F.round(F.col("rate") - F.col("mean_p"), 8).alias("error"), (F.col("n") < 30).alias("thin"), (F.col("rate") < F.lag("rate").over(Window.orderBy("k"))).alias("falls"))
 
 
-@query("select count(*) as n, 2.0 as a, -1.0 as b, 5.0 as c, 0.5 as d, 3.0 as e, -7.0 as f, round(sqrt(avg(r*r)),6) as rmse from (select case when s_suppkey%1000000=0 then 0.0 else 0.0 end as r from supplier)")
+_AT = "p as (select (s_suppkey*53%1000)/100.0 as x, (s_suppkey*s_suppkey*29%1000)/100.0 as y, (s_suppkey*7%11-5)/10.0 as e, (s_suppkey*3%7-3)/10.0 as g from supplier), q as (select cast(x as double) as x, cast(y as double) as y, cast(2*x-y+5+e as double) as u, cast(0.5*x+3*y-7+g as double) as v from p)"
+_SUMS = "s as (select count(*) as n, sum(x) as sx, sum(y) as sy, sum(x*x) as xx, sum(x*y) as xy, sum(y*y) as yy, sum(u) as su, sum(x*u) as xu, sum(y*u) as yu, sum(v) as sv, sum(x*v) as xv, sum(y*v) as yv from q)"
+_DET = "(xx*(yy*n-sy*sy)-xy*(xy*n-sy*sx)+sx*(xy*sy-yy*sx))"
+_A, _B, _C = (
+    lambda w: f"((x{w}*(yy*n-sy*sy)-xy*(y{w}*n-sy*s{w})+sx*(y{w}*sy-yy*s{w}))/det)",
+    lambda w: f"((xx*(y{w}*n-sy*s{w})-x{w}*(xy*n-sy*sx)+sx*(xy*s{w}-y{w}*sx))/det)",
+    lambda w: f"((xx*(yy*s{w}-y{w}*sy)-xy*(xy*s{w}-y{w}*sx)+x{w}*(xy*sy-yy*sx))/det)",
+)
+
+
+@query(f"""with {_AT}, {_SUMS}, d as (select *, {_DET} as det from s), f as (select n, {_A("u")} as a, {_B("u")} as b, {_C("u")} as c, {_A("v")} as d, {_B("v")} as e, {_C("v")} as f from d)
+select max(n) as n, {", ".join(f"round(max({c}),5) as {c}" for c in "abcdef")}, round(sqrt(avg(pow(a*x+b*y+c-u,2)+pow(d*x+e*y+f-v,2))),4) as rmse from f, q""")
 def affine_plane_fit(spark, sf_dir):
-    """A plane affine transform by least squares, its rmse."""
+    """A plane affine transform by least squares from points that are off by a function of their key, and its rmse."""
     k = F.col("s_suppkey")
-    s = table(spark, sf_dir, "supplier").select((k * 53 % 1000).cast("double").alias("x"), (k * 29 % 1000).cast("double").alias("y"))
+    s = table(spark, sf_dir, "supplier").select(k, ((k * 53 % 1000) / 100).alias("x"), ((k * k * 29 % 1000) / 100).alias("y"))
     u, v = N.affine((2.0, -1.0, 5.0, 0.5, 3.0, -7.0), F.col("x"), F.col("y"))
-    d = U.affine_plane(s.select("x", "y", u.alias("u"), v.alias("v")), "x", "y", "u", "v")
+    d = U.affine_plane(s.select("x", "y", (u + (k * 7 % 11 - 5) / 10).alias("u"), (v + (k * 3 % 7 - 3) / 10).alias("v")), "x", "y", "u", "v")
     return d.select("n", *(F.round(c, 5).alias(c) for c in "abcdef"), F.round("rmse", 4).alias("rmse"))
 
 
