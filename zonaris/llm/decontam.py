@@ -8,7 +8,8 @@ other numbers or names is found, and text that only has the same shape is not.
 
 The alignment of a matched window is its position in the document minus that in the item. Slots are judged at each single
 alignment (a copy with as many words), within overlapping ranges of alignments (`RANGES`: words were put in or left out) and
-over the whole document (parts far apart); the best counts. So copies in one document do not vote on each other's slots.
+over the whole document (parts far apart); the best counts. So copies in one document do not vote on each other's slots. A pair that has all its
+windows at one alignment, with the item's own values, is settled at once; only the others are laid out over ranges.
 
 Where capitals tell nothing (headlines, lower case), names cannot be told from other words. So a window that holds names
 is hashed a second time with its names as literal words, in lower case, and an item's window may be found by either hash.
@@ -194,25 +195,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
     zipped = F.array_sort(zipped).alias("pairs")  # one order, so that a window found by both hashes counts once
     near = _join(pairs, found, text)
     hit = _join(near, side, ["item_id", "key"]).select("doc_id", "node", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), zipped)
-    hit = materialize(hit.distinct(), "hits")
+    same = F.forall("pairs", lambda p: p["a"].eqNullSafe(p["b"])).alias("same")
+    hit = materialize(hit.distinct().select("*", same), "hits")
     pair = ["doc_id", "node", "item_id"]
     whole = items.groupBy("item_id").agg(F.countDistinct("pos").alias("of"))
     # no choice of slots lifts a pair above the share of the item's windows that it hits at all
-    may = _join(hit.groupBy(*pair).agg(F.countDistinct("item_pos").alias("n")), whole, ["item_id"]).where(F.col("n") / F.col("of") >= threshold)
-    hit = _join(hit, may.select(*pair, "of"), pair)
+    per = hit.groupBy(*pair, "item_pos").agg(F.lit(1).alias("one")).groupBy(*pair).agg(F.count("*").alias("most"))
+    may = _join(per, whole, ["item_id"]).where(F.col("most") / F.col("of") >= threshold)
+    # Most pairs are settled here: one alignment has all that the pair hits, with the item's own values, so nothing can be better.
+    own = hit.groupBy(*pair, "shift").agg(F.count_if("same").alias("n")).groupBy(*pair).agg(F.max("n").alias("n"))
+    state = materialize(_join(may, own, pair).select(*pair, "of", "most", (F.col("n") == F.col("most")).alias("settled")), "state")
+    settled = state.where("settled").select("doc_id", "item_id", (F.col("most") / F.col("of")).alias("coverage"), F.lit(False).alias("reworded"))
+    hit = _join(hit, state.where("not settled").select(*pair, "of"), pair)
     laid = [(0, F.lit(0)), (1, F.col("shift")), *((w, F.floor((2 * F.col("shift") + k * w) / (2 * w)) * 2 + k) for w in RANGES for k in (0, 1))]
     at = [F.struct(F.lit(w).alias("width"), n.cast("bigint").alias("place")) for w, n in laid]
     place = [*pair, "width", "place"]
-    hit = hit.select(*pair, "of", "item_pos", "pairs", F.inline(F.array(*at))).distinct()
-    may = hit.groupBy(*place).agg(F.countDistinct("item_pos").alias("n"), F.max("of").alias("most")).where(F.col("n") / F.col("most") >= threshold)
-    hit = materialize(_join(hit, may.select(*place), place), "aligned")
+    # placements are counted by the places of windows alone; slots come to those that can reach the threshold
+    light = hit.select(*pair, "of", "item_pos", F.inline(F.array(*at))).distinct()
+    may = light.groupBy(*place).agg(F.count("*").alias("n"), F.max("of").alias("most")).where(F.col("n") / F.col("most") >= threshold)
+    spread = hit.select(*pair, "of", "item_pos", "pairs", F.inline(F.array(*at)))
+    hit = materialize(_join(spread, may.select(*place), place).distinct(), "aligned")
     votes = hit.select(*place, F.inline("pairs")).groupBy(*place, "a", "b").agg(F.count("*").alias("n"))
     chosen = votes.groupBy(*place, "a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
     agreed = chosen.groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("agreed"))  # at most the slots of one item
     judged = _join(hit, agreed, place, "left")
     judged = judged.withColumn("fits", F.forall("pairs", lambda p: F.col("agreed")[p["a"]] == p["b"])).withColumn("changed", F.exists("pairs", lambda p: p["a"] != p["b"]))
     per = judged.where("fits").groupBy(*place).agg(F.countDistinct("item_pos").alias("n"), F.max("of").alias("of"), F.max("changed").alias("reworded"))
-    out = per.withColumn("coverage", F.col("n") / F.col("of")).where(F.col("coverage") >= threshold)
+    out = per.withColumn("coverage", F.col("n") / F.col("of")).where(F.col("coverage") >= threshold).select("doc_id", "item_id", "coverage", "reworded").union(settled)
     best = F.max(F.struct("coverage", (~F.col("reworded")).alias("verbatim"))).alias("best")  # of equal ones, the copy without other values
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.coverage", (~F.col("best.verbatim")).alias("reworded"))
 
