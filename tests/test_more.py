@@ -105,3 +105,33 @@ def test_late_input_keeps_the_newest(spark):
     table, log = registry.replayed(base, new, "k", "version", ["body"])
     assert {r["k"]: r["body"] for r in table.collect()} == {1: "a", 2: "b", 3: "z", 4: "n"}
     assert {r["k"]: r["action"] for r in log.collect()} == {1: "stale", 2: "unchanged", 3: "updated", 4: "inserted"}
+
+
+def test_symbols_refuse_what_is_none():
+    of = lambda raw: (T._symbol(raw)["symbol"], T._symbol(raw)["reason"])
+    assert of(" 12\u00a0 mn\n") == ("12 mn", None) and of("6.6.MW/U(1),2+3_x-Ż") == ("6.6.MW/U(1),2+3_x-Ż", None) and of("A" * 40)[1] is None
+    assert of("\x1cMN") == (None, "control_characters") and of("M\tN") == (None, "control_characters") and of("MN\x85") == (None, "control_characters")
+    assert of("МН") == (None, "disallowed_characters") and of("MN;U") == (None, "disallowed_characters") and of("A" * 41) == (None, "too_long") and of(None)[1] == of(" \n")[1] == "empty"
+    assert T._symbol("146 MN")["key"] == T._symbol("146mn")["key"] == "146mn"
+
+
+def test_mentions_are_whole_tokens():
+    text = "1MN, 1 MN; MN.1 2MN-3MN (1MN) 1MN/U x1MN 1MN. 1MN\n1mn l MN IMN 11 MN"
+    places = lambda s, o=False: [text[m["start"] : m["end"]] for m in T._mentions(text, s, o)]
+    assert places("1MN") == ["1MN", "1 MN", "1MN", "1MN", "1MN", "1mn"] and places("MN.1") == ["MN.1"] and places("1MN/U") == ["1MN/U"]
+    assert places("MN") == ["MN"] and places("1MN", True) == ["1MN", "1 MN", "1MN", "1MN", "1MN", "1mn", "IMN"] and places("") == []
+
+
+def test_normal_texts_take_time_in_proportion():
+    import time
+
+    text = "słowo-\nkolejne  i\u00adnne " * 40_000
+    start = time.perf_counter()
+    got = T._normalized(text)
+    assert time.perf_counter() - start < 3 and got["text"].startswith("słowokolejne inne słowo") and got["flags"] == ["hyphen", "soft_hyphen", "spaces"]
+    assert all(text[p] == c or c == " " for p, c in zip(got["places"], got["text"], strict=True))
+
+
+def test_paths_that_lead_out_of_an_archive():
+    assert [K.safe_name(n) for n in ("a/b.xml", "./a//b.xml", "a\\b.xml", "a..b/c")] == ["a/b.xml", "a/b.xml", "a/b.xml", "a..b/c"]
+    assert [K.safe_name(n) for n in ("/a", "\\a", "a/../b", "..", "C:\\x", "c:x", "", ".", "a\x00b", "a\\..\\b")] == [None] * 10

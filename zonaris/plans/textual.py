@@ -79,14 +79,14 @@ def canonical_json(spark, sf_dir):
     return c.select("c_custkey", S.canonical_hash(*(x for x in c.columns if x != "c_custkey")).alias("hash"))
 
 
-RAW = ["' 12  mn '", "'MN/U'", "''", "'A'||chr(9)||'B'", "'x;y'", "repeat('A',40)", "'１２ＭＮ'", "null"]
+RAW = ["' 12  mn '", "'MN/U'", "''", "'A'||chr(9)||'B'", "'x;y'", "repeat('A',41)", "'１２ＭＮ'", "null"]
 
 
 @query("""select p_partkey, case p_partkey%8 when 0 then '12 mn' when 1 then 'MN/U' when 6 then '12MN' end as symbol, case p_partkey%8 when 0 then '12mn' when 1 then 'mn/u' when 6 then '12mn' end as key,
 case p_partkey%8 when 2 then 'empty' when 3 then 'control_characters' when 4 then 'disallowed_characters' when 5 then 'too_long' when 7 then 'empty' end as reason from part""")
 def zone_symbols(spark, sf_dir):
     """Canonical zone symbols, their keys, and why a symbol is refused."""
-    raw = [" 12  mn ", "MN/U", "", "A\tB", "x;y", "A" * 40, "１２ＭＮ", None]
+    raw = [" 12  mn ", "MN/U", "", "A\tB", "x;y", "A" * 41, "１２ＭＮ", None]
     k = (F.col("p_partkey") % 8 + 1).cast("int")
     p = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*(F.lit(x) for x in raw)), k).alias("raw"))
     return p.select("p_partkey", T.symbol("raw").alias("s")).select("p_partkey", "s.*")

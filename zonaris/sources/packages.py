@@ -12,7 +12,6 @@ import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
-from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
 import numpy as np
@@ -23,8 +22,9 @@ from pyspark.sql import functions as F
 from zonaris.functions import numbers
 from zonaris.functions.legal import arrow
 
-#: Limits of an archive: members, bytes of one member and of all, ratio of unpacked to packed bytes (members below the floor are exempt).
-MEMBERS, MEMBER_BYTES, ALL_BYTES, RATIO, FLOOR = 512, 50 << 20, 50 << 20, 200.0, 4096
+#: Limits of an archive, chosen so that one fits into a worker: members, bytes of one member and of all, and unpacked bytes for each packed one, of
+#: members above a floor (a deflated member of one repeated byte reaches 1000).
+MEMBERS, MEMBER_BYTES, ALL_BYTES, RATIO, FLOOR = 2000, 64 << 20, 128 << 20, 100.0, 8 << 10
 #: Limit of an XML document: elements.
 ELEMENTS = 2_000_000
 _s, _f = pa.string(), pa.float64()
@@ -36,10 +36,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def safe_name(name: str) -> str | None:
-    """A member's path inside its archive, or null if it leads out of it."""
-    p = PurePosixPath(name.replace("\\", "/").strip())
-    parts = [x for x in p.parts if x not in (".", "")]
-    return "/".join(parts) if parts and not p.is_absolute() and ".." not in parts and ":" not in parts[0] else None
+    """A member's path inside its archive, or null where it is none: absolute, on a drive, through a parent, with a control character, or empty."""
+    steps = re.split(r"[/\\]", name)
+    if steps[0] == "" or ".." in steps or re.match(r"[A-Za-z]:", name) or re.search(r"[\x00-\x1f]", name):
+        return None
+    return "/".join(s for s in steps if s not in ("", ".")) or None
 
 
 def members_of(raw: bytes, suffixes: Sequence[str] = ()) -> Iterator[tuple[str, bytes | None, str | None]]:
