@@ -180,3 +180,15 @@ def test_a_pair_is_measured_once(spark):
     p = P.boxed(spark.createDataFrame([(1, [[0.0, 0.0, 9.0, 0.0, 9.0, 9.0]])], "k int, shape array<array<double>>"))
     for d in (P.meeting(p, p, 50.0), P.within(p, p, 5.0, 50.0), P.self_overlaps(p, "k", 50.0, 0.1)):
         assert d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("ArrowEvalPython") == 1
+
+
+def test_shortest_lines_join_the_boundaries():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        a, b = star_shape(rng), [star(rng, *rng.uniform(-30, 30, 2), 6) for _ in range(2)]
+        line, far = G._shortest(a, b), G.distance(G.rings_of(a), G.rings_of(b))
+        assert (line is None) == (far == 0)
+        if line:
+            p, q = np.array(line[:2]), np.array(line[2:])
+            assert np.hypot(*(p - q)) == pytest.approx(far) and G._to_edges(p[None], G.edges_of(G.rings_of(a))) < 1e-9 and G._to_edges(q[None], G.edges_of(G.rings_of(b))) < 1e-9
+    assert G._shortest([], [[0.0, 0, 1, 0, 1, 1]]) is None

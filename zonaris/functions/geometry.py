@@ -282,6 +282,34 @@ def _measure(s):
 shared_shape = shape_function(lambda a, b: shape_where([rings_of(a), rings_of(b)], lambda m: m.all(1)), SHAPE, _shape)
 left_over = shape_function(lambda a, b: shape_where([rings_of(a), rings_of(b)], lambda m: m[:, 0] & ~m[:, 1]), SHAPE, _shape)
 united = shape_function(lambda a, b: shape_where([rings_of(a), rings_of(b)], lambda m: m.any(1)), SHAPE, _shape)
+
+
+def _nearest(p: np.ndarray, e: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(distance, point, foot) of the point and place on an edge that are nearest; in parts, so that memory is bounded."""
+    best = (np.inf, p[0], p[0])
+    d = e[:, 2:] - e[:, :2]
+    for part in np.array_split(p, max(1, len(p) * len(e) // 1_000_000)):
+        w = part[:, None] - e[None, :, :2]
+        t = np.clip((w * d).sum(2) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+        gap = np.hypot(*np.moveaxis(w - t[..., None] * d, 2, 0))
+        i, j = np.unravel_index(int(np.argmin(gap)), gap.shape)
+        if gap[i, j] < best[0]:
+            best = (float(gap[i, j]), part[i], e[j, :2] + t[i, j] * d[j])
+    return best
+
+
+def _shortest(a, b):
+    """The line from the first shape to the second; null where they meet or one is empty."""
+    a, b = rings_of(a), rings_of(b)
+    if not a or not b or not distance(a, b):
+        return None
+    one, two = _nearest(np.concatenate(a), edges_of(b)), _nearest(np.concatenate(b), edges_of(a))
+    p, q = (one[1], one[2]) if one[0] <= two[0] else (two[2], two[1])
+    return [float(v) for v in (*p, *q)]
+
+
+#: the shortest line between two shapes (x, y, x, y), from the first one; null where they meet
+shortest_line = shape_function(_shortest, "array<double>", pa.list_(_f))
 #: a shape widened or narrowed by a radius
 widened = shape_function(lambda s, r: buffered(rings_of(s), r), SHAPE, _shape)
 #: a shape without the points that a tolerance allows to leave out

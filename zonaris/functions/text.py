@@ -6,12 +6,13 @@ What columns can express stays in columns; offset-keeping work runs in Arrow bat
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonaris.functions.legal import arrow
+
 #: Unit spellings and the unit that they stand for.
 UNIT_NAMES = {"m": "m", "metrów": "m", "km": "km", "cm": "cm", "m2": "m2", "m²": "m2", "ha": "ha", "%": "percent", "°": "degree", "stopni": "degree"}
 _QUANTITY = r"(\d+(?:[  ]\d{3})*(?:[.,]\d+)?)\s*(m2|m²|km|cm|ha|metrów|stopni|m|%|°)?"
@@ -32,41 +33,34 @@ def locale_number(raw: Column) -> Column:
 
 
 def quantities(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start, raw, value, unit): numbers, with the unit right behind them if there is one, in order of place."""
-    names = UNIT_NAMES
+    """(key, start, raw, value, unit): numbers, with the unit right behind them if there is one, in order of place. The key stays in the JVM."""
     pattern = re.compile(_QUANTITY)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, m.start(), m[0].strip(), float(re.sub(r"[  ]", "", m[1]).replace(",", ".")), names.get(m[2] or "")) for k, t in zip(pdf[key], pdf[text], strict=True) for m in pattern.finditer(t or "")]
-            yield pd.DataFrame(rows, columns=[key, "start", "raw", "value", "unit"])
+    def found(t: str | None) -> list[dict]:
+        return [{"start": m.start(), "raw": m[0].strip(), "value": float(re.sub(r"[  ]", "", m[1]).replace(",", ".")), "unit": UNIT_NAMES.get(m[2] or "")} for m in pattern.finditer(t or "")]
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, start bigint, raw string, value double, unit string")
+    typ = pa.list_(pa.struct([("start", pa.int64()), ("raw", pa.string()), ("value", pa.float64()), ("unit", pa.string())]))
+    return docs.select(key, F.explode(arrow(found, "array<struct<start:bigint,raw:string,value:double,unit:string>>", typ)(text)).alias("q")).select(key, "q.*")
 
 
 def segments(docs: DataFrame, key: str, text: str, most: int = 2000) -> DataFrame:
     """(key, index, start, end): half-open spans that tile each text, cut at the last line end, sentence end or space
     before `most` characters, else there. An empty text has no span."""
 
-    def tiles(t: str) -> Iterator[tuple[int, int]]:
-        at = 0
+    def tiles(t: str | None) -> list[dict]:
+        out, at, t = [], 0, t or ""
         while at < len(t):
             end = min(len(t), at + most)
             if end < len(t):
                 cut = max(t.rfind("\n", at, end), t.rfind(". ", at, end))
                 cut = cut if cut > at else t.rfind(" ", at, end)
                 end = cut + 1 if cut > at else end
-            yield at, end
+            out.append({"start": at, "end": end})
             at = end
+        return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, i, a, b) for k, t in zip(pdf[key], pdf[text], strict=True) for i, (a, b) in enumerate(tiles(t or ""))]
-            yield pd.DataFrame(rows, columns=[key, "index", "start", "end"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, index int, start bigint, end bigint")
+    typ = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return docs.select(key, F.posexplode(arrow(tiles, "array<struct<start:bigint,end:bigint>>", typ)(text)).alias("index", "s")).select(key, "index", "s.*")
 
 
 def canonical_symbol(c: Column) -> Column:

@@ -158,11 +158,12 @@ def as_of_version(spark, sf_dir):
     return V.version_as_of(d, "o_custkey", F.lit("1996-07-01").cast("timestamp"), "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query("with s as (select o_custkey, o_orderkey, case when o_orderstatus='P' then 0 else 1 end as act_count from orders where o_orderkey<=2000), l as (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as rn from s) select o_custkey, o_orderkey, act_count from l where rn=1 and act_count>0")
+@query("with s as (select o_custkey, o_orderkey, case when o_orderstatus='P' then 0 else 1 end as act_count from orders where o_orderkey<=(select max(o_orderkey)//2 from orders)), l as (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as rn from s) select o_custkey, o_orderkey, act_count from l where rn=1 and act_count>0")
 def as_of_state(spark, sf_dir):
-    """The latest summary up to a pinned state; tombstones hide older ones."""
+    """The latest summary up to the state in the middle of the table; tombstones hide older ones."""
     d = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("act_count"))
-    return V.state_as_of(d, "o_custkey", "o_orderkey", 2000, "act_count")
+    middle = (d.agg(F.max("o_orderkey")).first()[0] or 0) // 2
+    return V.state_as_of(d, "o_custkey", "o_orderkey", middle, "act_count")
 
 
 @query("with s as (select o_custkey, o_orderkey, case when o_orderstatus='P' then 0 else 1 end as act_count from orders where o_orderkey<=(select max(o_orderkey) from orders)), l as (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as rn from s) select o_custkey, o_orderkey, act_count from l where rn=1 and act_count>0")
@@ -247,10 +248,10 @@ def exists_flags(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(g, "c_custkey", "left").select("c_custkey", F.col("n_orders").isNotNull().alias("has_order"), F.coalesce("p", F.lit(False)).alias("has_pending"), F.coalesce("n_orders", F.lit(0)).alias("n_orders"))
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey=c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey=c_custkey and o_orderstatus='P')")
 def anti_join_missing(spark, sf_dir):
-    """Customers without orders."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without a pending order."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_anti")
 
 

@@ -128,12 +128,12 @@ def ordered_dedupe(spark, sf_dir):
     return f.groupBy("o_custkey").agg(F.concat_ws(",", F.sort_array(F.collect_list(F.struct("d", "k", "o_orderstatus")))["o_orderstatus"]).alias("statuses"))
 
 
-@query("with active as (select distinct user_id from events where event_type='purchase'), new as (select user_id, min(event_id) as event_id from events where event_type='click' group by 1) select user_id, event_id from new where user_id not in (select user_id from active)")
+@query("with active as (select distinct user_id from events where event_type='purchase' and event_id%50=0), new as (select user_id, min(event_id) as event_id from events where event_type='click' group by 1) select user_id, event_id from new where user_id not in (select user_id from active)")
 def insert_or_ignore(spark, sf_dir):
     """U8: one new job for each scope that has no active one."""
     e = table(spark, sf_dir, "events")
     new = e.where("event_type = 'click'").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    return new.join(e.where("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
+    return new.join(e.where("event_type = 'purchase' and event_id % 50 = 0").select("user_id"), "user_id", "left_anti")
 
 
 @query("select o_custkey, o_orderkey, o_orderkey=max(o_orderkey) over (partition by o_custkey) as is_active from orders")

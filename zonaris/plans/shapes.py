@@ -14,7 +14,7 @@ from zonaris.operators import arcs as A
 from zonaris.operators import polygons as P
 from zonaris.operators import tiles as T
 from zonaris.plans.catalog import CELL, query, table
-from zonaris.plans.polygons import PART, SQUARE, parcels
+from zonaris.plans.polygons import NEAR, PART, SQUARE, buildings, parcels
 
 _flat = lambda *v: F.array(*(x.cast("double") for x in v))
 
@@ -90,3 +90,11 @@ def line_tiles(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("line").alias("kind"), F.lit("road").alias("layer"), F.array(_flat(x, y, x + 10, y, x + 20, y)).alias("shape"), x.alias("x0"), y.alias("y0"), (x + 20).alias("x1"), y.alias("y1"))
     d = T.tile_table(T.on_tiles(s, (0.0, 1024.0), 1024.0, {3: 0.0}), "layer", "s_suppkey", F.lit(0), ["layer"], most=3)
     return d.where(F.octet_length("tile") > 0).select("tx", "ty", "n", "left_out")
+
+
+@query(f"with {NEAR} select c_custkey, s_suppkey, round(distance,6) as length, distance>0 as apart from gap where distance<=30")
+def shortest_lines(spark, sf_dir):
+    """The shortest line between each parcel and the buildings within 30 m; none where they meet."""
+    d = P.within(parcels(spark, sf_dir), buildings(spark, sf_dir), 30.0, CELL).withColumn("line", G.shortest_line("l_shape", "r_shape"))
+    length = F.coalesce(G.line_length(F.col("line")), F.lit(0.0))
+    return d.select(F.col("l_c_custkey").alias("c_custkey"), F.col("r_s_suppkey").alias("s_suppkey"), F.round(length, 6).alias("length"), F.col("line").isNotNull().alias("apart"))

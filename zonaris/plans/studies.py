@@ -11,11 +11,11 @@ from zonaris.operators import studies as U
 from zonaris.plans.catalog import query, table
 
 
-@query("""with t as (select l_linenumber, count(*) filter (where l_returnflag='A' and l_quantity>40) as a, count(*) filter (where l_returnflag='A' and l_quantity<=40) as b, count(*) filter (where l_returnflag='R' and l_quantity>40) as c, count(*) filter (where l_returnflag='R' and l_quantity<=40) as d from lineitem where l_suppkey<20 group by 1)
+@query("""with t as (select l_linenumber, count(*) filter (where l_returnflag='A' and l_quantity>40) as a, count(*) filter (where l_returnflag='A' and l_quantity<=40) as b, count(*) filter (where l_returnflag='R' and l_quantity>40) as c, count(*) filter (where l_returnflag='R' and l_quantity<=40) as d from lineitem group by 1)
 select l_linenumber, a, round(least(1.0,(select sum(exp(lgamma(a+b+1)+lgamma(c+d+1)+lgamma(a+c+1)+lgamma(b+d+1)-lgamma(a+b+c+d+1)-lgamma(x+1)-lgamma(a+b-x+1)-lgamma(a+c-x+1)-lgamma(d-a+x+1))) from (select unnest(range(a,least(a+b,a+c)+1)) as x))),6) as p from t""")
 def fisher_exact(spark, sf_dir):
     """Fisher's exact test, upper tail."""
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey < 20")
+    li = table(spark, sf_dir, "lineitem")
     large = F.col("l_quantity") > 40
     of = lambda f, big: F.count_if((F.col("l_returnflag") == f) & big)
     t = li.groupBy("l_linenumber").agg(of("A", large).alias("a"), of("A", ~large).alias("b"), of("R", large).alias("c"), of("R", ~large).alias("d"))
@@ -97,11 +97,11 @@ def affine_plane_fit(spark, sf_dir):
     return d.select("n", *(F.round(c, 5).alias(c) for c in "abcdef"), F.round("rmse", 4).alias("rmse"))
 
 
-@query("""with a as (select l_orderkey as s, l_suppkey%3 as z, l_returnflag as p, l_linestatus||l_linenumber%2 as v, l_linenumber%4>0 as src from lineitem where l_linenumber<=4), t as (select s, z, p, max(v) as v from a group by all), f as (select s, z, p, max(v) as v, bool_and(src) as src from a where s%5>0 group by all)
+@query("""with a as (select l_orderkey as s, l_suppkey%3 as z, l_returnflag as p, l_linestatus||l_linenumber%2 as v, l_linenumber%4>0 as src from lineitem), t as (select s, z, p, max(v) as v from a group by all), f as (select s, z, p, max(v) as v, bool_and(src) as src from a where s%5>0 group by all)
 select t.p, case when f.v is null then 'missing' when not f.src then 'no_source' when f.v=t.v then 'exact' when left(f.v,1)=left(t.v,1) then 'partial' else 'wrong' end as verdict, count(*) as n from t left join f using (s,z,p) group by all""")
 def parameter_verdicts(spark, sf_dir):
     """Verdicts by sample, zone and parameter; a value without its source does not count as found."""
-    a = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("s"), (F.col("l_suppkey") % 3).alias("z"), F.col("l_returnflag").alias("p"), F.concat("l_linestatus", F.col("l_linenumber") % 2).alias("v"), (F.col("l_linenumber") % 4 > 0).alias("src"))
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s"), (F.col("l_suppkey") % 3).alias("z"), F.col("l_returnflag").alias("p"), F.concat("l_linestatus", F.col("l_linenumber") % 2).alias("v"), (F.col("l_linenumber") % 4 > 0).alias("src"))
     t = a.groupBy("s", "z", "p").agg(F.max("v").alias("t"))
     f = a.where("s % 5 > 0").groupBy("s", "z", "p").agg(F.max("v").alias("f"), F.bool_and("src").alias("src"))
     verdict = F.when(F.col("f").isNull(), "missing").when(~F.col("src"), "no_source").when(F.col("f") == F.col("t"), "exact").when(F.left("f", F.lit(1)) == F.left("t", F.lit(1)), "partial").otherwise("wrong")
