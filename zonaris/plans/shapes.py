@@ -13,7 +13,7 @@ from zonaris.functions import tiles as V
 from zonaris.operators import arcs as A
 from zonaris.operators import polygons as P
 from zonaris.operators import tiles as T
-from zonaris.plans.catalog import CELL, query, table
+from zonaris.plans.catalog import CELL, ORACLE_SQL, QUERIES, query, table
 from zonaris.plans.polygons import NEAR, PART, SQUARE, buildings, parcels
 
 _flat = lambda *v: F.array(*(x.cast("double") for x in v))
@@ -98,3 +98,33 @@ def shortest_lines(spark, sf_dir):
     d = P.within(parcels(spark, sf_dir), buildings(spark, sf_dir), 30.0, CELL).withColumn("line", G.shortest_line("l_shape", "r_shape"))
     length = F.coalesce(G.line_length(F.col("line")), F.lit(0.0))
     return d.select(F.col("l_c_custkey").alias("c_custkey"), F.col("r_s_suppkey").alias("s_suppkey"), F.round(length, 6).alias("length"), F.col("line").isNotNull().alias("apart"))
+
+
+@query(f"""with r as ({ORACLE_SQL["centroid_against_overlay"]}), k as (select *, case when overlay_zone is null and centroid_zone is null then 'no_zone' when centroid_zone is null then 'missed' when centroid_zone=overlay_zone then 'same' else 'differs' end as kind from r)
+select kind, count(*) as n, round(count(*)*1.0/(select count(*) from k),8) as rate, round(sum(omitted_zones)*1.0/count(*),8) as omitted_zones, round(avg(omitted_area),6) as omitted_area, round(count(*) filter (where omitted_area>0.1)*1.0/count(*),8) as wrong from k group by 1""")
+def centroid_error_rates(spark, sf_dir):
+    """How often, by case, the zone of the centroid is that of the overlay, and what it omits."""
+    d = QUERIES["centroid_against_overlay"](spark, sf_dir)
+    a, b = F.col("centroid_zone"), F.col("overlay_zone")
+    kind = F.when(a.isNull() & b.isNull(), "no_zone").when(a.isNull(), "missed").when(a == b, "same").otherwise("differs")
+    g = d.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg("omitted_zones"), 8).alias("omitted_zones"), F.round(F.avg("omitted_area"), 6).alias("omitted_area"), F.round(F.count_if(F.col("omitted_area") > 0.1) / F.count("*"), 8).alias("wrong"))
+    whole = d.agg(F.count("*").alias("whole"))  # one row
+    return g.crossJoin(whole).select("kind", "n", F.round(F.col("n") / F.col("whole"), 8).alias("rate"), "omitted_zones", "omitted_area", "wrong")
+
+
+@query(f"""with r as ({ORACLE_SQL["polygon_range_statistics"]}) select c_custkey, n, case when n=0 then 'no_buildings' when nearest=0 then 'built_on' when n<3 then 'sparse' else 'context' end as outcome, case when n>=3 then round(total*1.0/n,6) end as typical from r""")
+def building_outcomes(spark, sf_dir):
+    """What the buildings around a parcel allow to say: none, one on it, too few, or a typical size."""
+    d = QUERIES["polygon_range_statistics"](spark, sf_dir)
+    outcome = F.when(F.col("n") == 0, "no_buildings").when(F.col("nearest") == 0, "built_on").when(F.col("n") < 3, "sparse").otherwise("context")
+    return d.select("c_custkey", "n", outcome.alias("outcome"), F.when(F.col("n") >= 3, F.round(F.col("total") / F.col("n"), 6)).alias("typical"))
+
+
+@query(f"""with r as ({ORACLE_SQL["proximity_overlay"]}), c as (select c_custkey, severity, count(*) as n, min(distance) as nearest from r group by 1,2)
+select c_custkey, case when bool_or(severity='high') then 'high' when bool_or(severity='medium') then 'medium' when bool_or(severity='low') then 'low' else 'info' end as status, round(min(nearest),6) as nearest, string_agg(severity||':'||n, ' ' order by severity) as classes from c group by 1""")
+def risk_sections(spark, sf_dir):
+    """Of each parcel the worst severity of what lies on or near it, the nearest, and the list of classes with their counts."""
+    d = QUERIES["proximity_overlay"](spark, sf_dir).groupBy("c_custkey", "severity").agg(F.count("*").alias("n"), F.min("distance").alias("nearest"))
+    rank = F.array_position(F.array(*(F.lit(x) for x in ("high", "medium", "low", "info"))), F.col("severity"))
+    g = d.groupBy("c_custkey").agg(F.min_by("severity", rank).alias("status"), F.round(F.min("nearest"), 6).alias("nearest"), F.sort_array(F.collect_list(F.concat_ws(":", "severity", F.col("n").cast("string")))).alias("c"))  # at most four classes
+    return g.select("c_custkey", "status", "nearest", F.concat_ws(" ", "c").alias("classes"))
