@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .arrow import text_function
 
 UNIT, RATE = 576, 8000
+LOST = 0  # no step leads to place 0
 
 
 class File:
@@ -31,6 +32,7 @@ class File:
     def __init__(self, raw: bytes):
         self.raw = raw
         self._places: dict[bytes, list[int]] = {}
+        self._walks: dict[str, dict[int, int]] = {}
 
     def places(self, marker: bytes) -> list[int]:
         if marker not in self._places:
@@ -53,39 +55,68 @@ class File:
         i = bisect_left(found, end) - 1
         return found[i] if i >= 0 and found[i] >= at else -1
 
+    def walk(self, name: str, state: int, step: Callable[[bytes, int], int]) -> int:
+        """Where the steps from `state` end, or -1 if they end nowhere. All states on the way are remembered, so walks that meet are walked once."""
+        known = self._walks.setdefault(name, {})
+        path = []
+        while state not in known:
+            path.append(state)
+            after = step(self.raw, state)
+            if after == LOST or after < 0:
+                known[path.pop()] = -1 if after == LOST else -after
+                break
+            state = after
+        end = known[state]
+        for s in path:
+            known[s] = end
+        return end
+
 
 def _png(f: File, start: int) -> int | None:
+    """Lengths of chunks must lead to the end chunk before any checksum is computed; places that lead nowhere are looked at once a file."""
     b, at = f.raw, start + 8
-    while at + 12 <= len(b):
-        n, kind = struct.unpack_from(">I4s", b, at)
-        if at + 12 + n > len(b) or (at == start + 8 and (kind != b"IHDR" or n != 13)):
-            return None
+    if len(b) < start + 33 or struct.unpack_from(">I4s", b, at) != (13, b"IHDR"):
+        return None
+    end = f.walk("png", at, _png_step)
+    while at < end:
+        n = struct.unpack_from(">I", b, at)[0]
         if zlib.crc32(memoryview(b)[at + 4 : at + 8 + n]) != struct.unpack_from(">I", b, at + 8 + n)[0]:
             return None
         at += 12 + n
-        if kind == b"IEND":
-            return at - start
-    return None
+    return end - start if end >= 0 else None
+
+
+def _png_step(b: bytes, at: int) -> int:
+    """The chunk after the one at a place; its end as a negative number for the last one; `LOST` for none."""
+    if at + 12 > len(b):
+        return LOST
+    n, kind = struct.unpack_from(">I4s", b, at)
+    if at + 12 + n > len(b) or not kind.isalpha():
+        return LOST
+    return -(at + 12 + n) if kind == b"IEND" else at + 12 + n
 
 
 def _gif(f: File, start: int) -> int | None:
+    """Blocks and the parts of their data are steps of one walk; a place is looked at once a file, however many headers lead to it."""
     b = f.raw
     if len(b) < start + 14:
         return None
-    at = start + 13 + (3 << (b[start + 10] & 7) + 1 if b[start + 10] & 128 else 0)
-    while at < len(b):
-        if b[at] == 0x3B:
-            return at + 1 - start
-        if b[at] == 0x2C and at + 10 < len(b):
-            at += 11 + (3 << (b[at + 9] & 7) + 1 if b[at + 9] & 128 else 0)
-        elif b[at] == 0x21:
-            at += 2
-        else:
-            return None
-        while at < len(b) and b[at]:
-            at += b[at] + 1
-        at += 1
-    return None
+    end = f.walk("gif", 2 * (start + 13 + (3 << (b[start + 10] & 7) + 1 if b[start + 10] & 128 else 0)), _gif_step)
+    return end - start if end >= 0 else None
+
+
+def _gif_step(b: bytes, state: int) -> int:
+    """As `_png_step`; a state is twice the place, and one more inside the data of a block."""
+    at, inside = state >> 1, state & 1
+    if at >= len(b):
+        return LOST
+    if inside:
+        return 2 * (at + 1 + b[at]) + 1 if b[at] else 2 * (at + 1)
+    if b[at] == 0x3B:
+        return -(at + 1)
+    if b[at] == 0x2C and at + 10 < len(b):
+        return 2 * (at + 11 + (3 << (b[at + 9] & 7) + 1 if b[at + 9] & 128 else 0)) + 1
+    return 2 * (at + 2) + 1 if b[at] == 0x21 else LOST
 
 
 def _jpeg(f: File, start: int) -> int | None:

@@ -7,6 +7,7 @@ for tests.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 PIECE = 1 << 20  # bytes hashed at once; texts are cut into pieces between words, so this bounds memory, not the text
+LONG = 256  # bytes of a word from which on a cryptographic hash is taken
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _IS_WORD = np.zeros(256, bool)
@@ -129,6 +131,8 @@ def _hash_pieces(held: list[tuple[int, bytes]], last: int) -> tuple[np.ndarray,
     up, down = powers(len(b) + 1)
     s = np.concatenate((np.zeros(1, _U), np.cumsum(_VALUE[low] * up[: len(b)], dtype=_U)))
     h = mix((s[end] - s[first]) * down[first] + (end - first).astype(_U))
+    for i in np.flatnonzero(end - first > LONG):  # a polynomial modulo 2**64 cannot tell some long words apart, whatever its base
+        h[i] = int.from_bytes(hashlib.blake2b(low[first[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     where = np.searchsorted(ends_at, first, "right")
     text = np.array([i for i, _ in held], np.int64)[where]
     digits = np.concatenate(([0], np.cumsum((b >= 48) & (b < 58))))
