@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session. Where it is unset a temporary folder is made and set on a local master (tests); on
+    """`spark.checkpoint.dir` of the session. Where it is unset a temporary folder is made and set on a local master of one process (tests); on
     a cluster, whose machines would each write to a folder of their own, RuntimeError is raised."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="zonaris-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -47,6 +48,18 @@ def discard(df: DataFrame) -> None:
         _written.remove(entry)
 
 
+def paths() -> set[str]:
+    """The tables that `materialize` wrote and that are still there."""
+    return {path for _, path in _written}
+
+
+def drop(gone: set[str]) -> None:
+    """Delete those of `paths()`; results that read them must be written before."""
+    for entry in [x for x in _written if x[1] in gone]:
+        _delete(*entry)
+        _written.remove(entry)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
