@@ -6,10 +6,12 @@ Only the texts enter Python. Ids and all other columns stay in the JVM, so they
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .textkit import chunks
@@ -17,6 +19,18 @@ from .textkit import chunks
 BATCH_BYTES = 4 << 20
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 2 * BATCH_BYTES) -> Iterator[None]:
+    """While it lasts, jobs of the session send Python at most about `most` bytes at once; for tables whose rows are large."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def sizes_of(texts: pa.Array) -> list[int]:
     """Bytes of each text; null is 0."""
     return pc.fill_null(pc.binary_length(texts), 0).to_pylist()

@@ -6,9 +6,11 @@ A pair's name keeps the names of its two halves. These are parent pointers: alon
 the right ones its last, so counts for every cut, the words themselves and the phrases inside a longer one come from joins of
 names, and no text is ever looked up.
 
-Texts are held as blocks: of one language, at most `BLOCK_WORDS` words (a piece without separators is kept whole), one row each. Inside a block
-words and pairs have local numbers and are counted, so only one row for each block and distinct pair is shuffled; the
-global names come back to a block by a join and replace the local numbers in its sequence. A block's row is the largest unit of work.
+Texts are held as blocks: of one language, at most `BLOCK_WORDS` words (a piece without separators is kept whole), one row each. A block
+has a sequence of local numbers and, for each of them, its global name. Words and pairs are counted inside a block first, so only
+one row for each block and distinct pair is shuffled. The names come back to the blocks by a join; before it, pairs that have no name are mostly
+left out by a filter of `FILTER_BITS` bits, whose size does not depend on the data (with more names it lets more pairs through
+to the join, which decides). A block's row is the largest unit of work.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import lists
+from .arrow import lists, small_batches
 from .scratch import discard, materialize
+from .textkit import mix
 
 BLOCK_WORDS = 1 << 20
+FILTER_BITS = 1 << 26
 #: Buckets in which the best of a language are taken first, so that no task sees all of a language's phrases.
 BUCKETS = 32
 #: What ends a piece, what parts words, and capitals; all other bytes are parts of words.
@@ -41,16 +45,16 @@ class _Block:
         self.number.default_factory = self.number.__len__
         self.seq: list[int] = []
 
-    def row(self, block: int, lang: str) -> dict:
+    def row(self, block: int, lang: str) -> pa.RecordBatch:
         seq = np.array(self.seq, np.int32)
         count = np.bincount(seq[seq >= 0], minlength=len(self.number))
-        return {"block": block, "lang": lang, "words": [w.decode("utf-8", "replace") for w in self.number], "count": count, "seq": seq}
+        one = lambda x: lists(np.array([0, len(x)]), x)
+        words = pa.array(list(self.number), pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([lang], pa.string()), one(words), one(count), one(seq)], names=["block", "lang", "words", "count", "seq"])
 
 
 def _blocks(most: int):
     """A mapInArrow function: texts and languages to blocks."""
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("count", pa.list_(pa.int64())), ("seq", pa.list_(pa.int32()))])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TaskContext.get().partitionId() << 40
         held: dict[str, _Block] = {}
@@ -59,7 +63,7 @@ def _blocks(most: int):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size, done
             for lang, block in held.items():
-                yield pa.RecordBatch.from_pylist([block.row(own + done, lang)], schema)
+                yield block.row(own + done, lang)
                 done += 1
             held.clear()
             size = 0
@@ -83,55 +87,133 @@ def _blocks(most: int):
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A mapInArrow function: (block, lang, seq, local, id) to the pairs of neighbours that both have a global name.
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block: its row, the places where two neighbours have names, the pair there by its local number, and left and right name and count of each pair."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            seq, name = (row.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("seq", "name"))
+            at = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
+            n = max(1, len(name))
+            code, number, count = np.unique(seq[at].astype(np.int64) * n + seq[at + 1], return_inverse=True, return_counts=True)
+            yield row, at, number, name[code // n], name[code % n], count.astype(np.int64)
 
-    Row by row: a row is a block. In the new sequence a pair stands at its left half's place, -1 where there is none.
-    """
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function: blocks to (left, right, count) of their pairs; names belong to one language, so it need not be told."""
+    for _, _, _, left, right, count in _rows(batches):
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (left, right, count))], names=["left", "right", "count"])
+
+
+def _two_bits(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the filter that a pair sets."""
+    h = mix(mix(left.view(np.uint64)) + right.view(np.uint64))
+    return h % np.uint64(FILTER_BITS), mix(h) % np.uint64(FILTER_BITS)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function: (left, right) to (word, bits) of the filter."""
+    for batch in batches:
+        bit = np.concatenate(_two_bits(*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("left", "right"))))
+        word, at = np.unique(bit >> np.uint64(6), return_inverse=True)
+        bits = np.zeros(len(word), np.uint64)
+        np.bitwise_or.at(bits, at, np.uint64(1) << (bit & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+
+def _located(bits):
+    """A mapInArrow function: blocks to (block, number, left, right) of the pairs that pass the filter; `bits` is its broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, _, _, left, right, _ in _rows(batches):
+            one, two = (bits.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) for bit in _two_bits(left, right))
+            on = np.flatnonzero(one & two & np.uint64(1))
+            block = pa.repeat(row.column("block")[0], len(on))
+            yield pa.RecordBatch.from_arrays([block, *map(pa.array, (on, left[on], right[on]))], names=["block", "number", "left", "right"])
+
+    return run
+
+
+def _renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function: (block, lang, seq, name, number, id) to blocks of pairs: a pair stands at its left half's place, -1 where none has a name."""
+    for row, at, number, left, _, _ in _rows(batches):
+        known, name = (row.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("number", "id"))
+        rank = np.full(len(left), -1, np.int32)
+        rank[known] = np.arange(len(known))
+        out = np.full(len(row.column("seq")[0].values), -1, np.int32)
+        out[at] = rank[number]
+        yield _block_row(row, out, name)
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function: (block, lang, seq, number, id) to blocks whose numbers are those of the named words."""
     for batch in batches:
         for i in range(batch.num_rows):
-            seq, local, name = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("seq", "local", "id"))
-            rank = np.full(int(seq.max(initial=-1)) + 2, -1, np.int64)  # of a local number among the block's named ones; the last is for -1
-            rank[local] = np.arange(len(local))
-            at = rank[seq]
-            both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-            code, number, count = np.unique(at[both] * len(local) + at[both + 1], return_inverse=True, return_counts=True)
-            out = np.full(len(seq), -1, np.int32)
-            out[both] = number
-            one = np.array([0, len(code)])
-            columns = {"left": lists(one, name[code // max(1, len(local))]), "right": lists(one, name[code % max(1, len(local))]), "count": lists(one, count.astype(np.int64)), "seq": lists(np.array([0, len(out)]), out)}
-            yield pa.RecordBatch.from_arrays([batch.column("block")[i : i + 1], batch.column("lang")[i : i + 1], *columns.values()], names=["block", "lang", *columns])
+            row = batch.slice(i, 1)
+            seq, known, name = (row.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("seq", "number", "id"))
+            rank = np.full(int(seq.max(initial=-1)) + 2, -1, np.int32)  # the last is for -1
+            rank[known] = np.arange(len(known))
+            yield _block_row(row, rank[seq], name)
+
+
+def _block_row(row: pa.RecordBatch, seq: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+    one = lambda x: lists(np.array([0, len(x)]), x)
+    return pa.RecordBatch.from_arrays([row.column("block"), row.column("lang"), one(seq), one(name)], names=["block", "lang", "seq", "name"])
+
+
+_BLOCK = "block bigint, lang string, seq array<int>, name array<bigint>"
+
+
+def _filter_of(names: DataFrame):
+    """The filter of the pairs that have names, as a broadcast: at most FILTER_BITS / 64 rows come to the driver."""
+    words = names.select("left", "right").mapInArrow(_bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return names.sparkSession.sparkContext.broadcast(bits)
+
+
+def _known(located: DataFrame, level: int) -> DataFrame:
+    """(block, number, id): arrays of a block's named phrases, at most its distinct ones. Written, so that the shuffles before it are gone when the sequences move."""
+    known = located.groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("known"))
+    return materialize(known.select("block", F.col("known.number").alias("number"), F.col("known.id").alias("id")), f"known{level}")
 
 
 def phrase_names(docs: DataFrame, most_words: int, least: int, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[DataFrame]]:
     """(words of each language, names of each level).
 
-    Level 1 has (id, lang, word, f), the others (id, lang, left, right, f): all phrases of as many words with f >= least occurrences; left and
+    Level 1 has (id, lang, word, f), the others (id, left, right, f): all phrases of as many words with f >= least occurrences; left and
     right are ids of the level below. Ids are unique within a level.
     """
+
+    with small_batches(docs.sparkSession):
+        return _phrase_names(docs, most_words, least, block_words)
+
+
+def _phrase_names(docs: DataFrame, most_words: int, least: int, block_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    def named(counts: DataFrame, keys: list[str], level: int) -> DataFrame:
+        names = counts.groupBy(*keys).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+        return materialize(names.select(F.monotonically_increasing_id().alias("id"), *keys, "f"), f"names{level}")
+
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    blocks = materialize(texts.mapInArrow(_blocks(block_words), "block bigint, lang string, words array<string>, count array<bigint>, seq array<int>"), "blocks")
-    total = blocks.groupBy("lang").agg(F.sum(F.aggregate("count", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("n"))
-    total = materialize(total, "words")
-    levels = []
-    keys = ["word"]
-    flat = blocks.select("block", "lang", F.posexplode(F.arrays_zip(F.col("words").alias("word"), "count")).alias("local", "x"))
-    for level in range(1, most_words + 1):
-        flat = flat.select("block", "lang", "local", *(F.col(f"x.{k}").alias(k) for k in keys), F.col("x.count").alias("count"))
-        names = flat.groupBy("lang", *keys).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-        names = materialize(names.select(F.monotonically_increasing_id().alias("id"), "lang", *keys, "f"), f"names{level}")
+    raw = materialize(texts.mapInArrow(_blocks(block_words), "block bigint, lang string, words array<string>, count array<bigint>, seq array<int>"), "blocks")
+    total = materialize(raw.groupBy("lang").agg(F.sum(F.aggregate("count", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("n")), "words")
+    words = raw.select("block", "lang", F.posexplode(F.arrays_zip(F.col("words").alias("word"), "count")).alias("number", "x")).select("block", "lang", "number", "x.*")
+    levels = [named(words, ["lang", "word"], 1)]
+    located = words.select("block", "lang", "number", "word").join(levels[0], ["lang", "word"]).select("block", "number", "id")
+    known = _known(located, 1)
+    blocks = materialize(raw.select("block", "lang", "seq").join(known, "block").mapInArrow(_named, _BLOCK), "named1")
+    discard(raw)
+    discard(known)
+    for level in range(2, most_words + 1):
+        names = named(blocks.mapInArrow(_counted, "left bigint, right bigint, count bigint"), ["left", "right"], level)
         levels.append(names)
-        if level == most_words:
-            break
-        back = flat.select("block", "lang", "local", *keys).join(names.select("id", "lang", *keys), ["lang", *keys]).select("block", "local", "id")
-        known = materialize(back.groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("named")), f"known{level}")  # at most a block's distinct phrases
-        sides = blocks.select("block", "lang", "seq").join(known, "block").select("block", "lang", "seq", F.col("named.local").alias("local"), F.col("named.id").alias("id"))
-        paired = sides.mapInArrow(_pairs, "block bigint, lang string, left array<bigint>, right array<bigint>, count array<bigint>, seq array<int>")
-        paired = materialize(paired if level + 1 < most_words else paired.drop("seq"), f"pairs{level + 1}")
-        discard(blocks)
-        discard(known)
-        blocks, keys = paired, ["left", "right"]
-        flat = blocks.select("block", "lang", F.posexplode(F.arrays_zip("left", "right", "count")).alias("local", "x"))
+        if level < most_words:
+            found = blocks.mapInArrow(_located(_filter_of(names)), "block bigint, number bigint, left bigint, right bigint")
+            known = _known(found.join(names.select("id", "left", "right"), ["left", "right"]).select("block", "number", "id"), level)
+            paired = materialize(blocks.join(known, "block").mapInArrow(_renamed, _BLOCK), f"named{level}")
+            discard(blocks)
+            discard(known)
+            blocks = paired
     discard(blocks)
     return total, levels
 
@@ -142,11 +224,12 @@ def _phrases(levels: list[DataFrame]) -> list[DataFrame]:
     one = levels[0].select("id", "lang", F.array("word").alias("words"), "f", F.array(f).alias("heads"), F.array(f).alias("tails"))
     out = [one]
     for names in levels[1:]:
-        left = out[-1].select(F.col("id").alias("left"), F.col("words").alias("begin"), "heads")
+        left = out[-1].select(F.col("id").alias("left"), "lang", F.col("words").alias("begin"), "heads")
         right = out[-1].select(F.col("id").alias("right"), F.element_at("words", -1).alias("end"), "tails")
         both = names.join(left, "left").join(right, "right")
         grown = (F.concat("heads", F.array(f)).alias("heads"), F.concat("tails", F.array(f)).alias("tails"))
-        out.append(both.select("id", "lang", F.concat("begin", F.array("end")).alias("words"), "f", *grown))
+        phrases = both.select("id", "lang", F.concat("begin", F.array("end")).alias("words"), "f", *grown)
+        out.append(phrases if names is levels[-1] else materialize(phrases, "phrases"))
     return out[1:]
 
 
