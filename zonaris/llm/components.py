@@ -24,7 +24,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each step links nodes to the least of their neighbours, so no neighbourhood is ever gathered in one place and a chain
     of n links takes about log n steps. Every step is written to the shared folder. Loops and repeated edges are allowed;
-    rows with a null end are ignored. No edges: no rows.
+    rows with a null end are ignored; further columns, of any name, are ignored. No edges: no rows.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = materialize(e, "edges")

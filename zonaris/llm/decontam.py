@@ -149,7 +149,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
     `docs` has doc_id and text, `benchmark` item_id and text; further columns are ignored. coverage is the share of the item's
     windows (with enough literal words) found with consistent slots; reworded tells that some slot has another value (of
     alignments with equal coverage, one without such a slot is told).
-    Items without such windows are found by their words as they are. Texts without words, null texts and empty tables match nothing; a null id is an id like any other. Repeated rows are judged as one document;
+    Items without such windows are found by their words as they are. Texts without words, null texts and empty tables match nothing; very long texts are read whole; a null id is an id like any other. Repeated rows are judged as one document;
     texts that share a doc_id are judged apart and the best is told. Hashes of the benchmark are sent to tasks as a
     filter only while there are at most `filter_windows`; above that the windows are joined without it.
     """

@@ -212,7 +212,7 @@ def train_texts(labelled: DataFrame, docs: int = TRAIN_DOCS, chars: int = TRAIN_
 
     Of each language about `docs` rows are drawn by a hash of doc_id and text, at a rate set from the language's count, and
     taken in the order of that hash as long as their texts fit into `chars` characters; a text that does not fit is passed
-    over, but one text at least is taken. Rows with a null language or text teach nothing. The driver receives a hash and a length for each drawn row, then the chosen texts.
+    over, but one text at least is taken. Rows with a null language or text teach nothing, an empty table gives no language; further columns, of any name, are ignored. The driver receives a hash and a length for each drawn row, then the chosen texts.
     """
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}

@@ -271,7 +271,8 @@ _DIGEST_TYPES = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), p
 def store_texts(docs: DataFrame, unit: int = UNIT) -> DataFrame:
     """(doc_id, n_bytes, media, declared): each text as a WAV of unsigned 8-bit mono samples; the rest of a positive multiple of
     `unit` is filled with 255. The declared type is the one a store without sniffing would give. A null or empty text is one
-    unit of filling; null doc_ids and repeated rows are kept; further columns are ignored; an empty table gives no rows."""
+    unit of filling; very long texts are stored whole, one at a time; null doc_ids and repeated rows are kept; further columns are ignored; an
+    empty table gives no rows."""
 
     def work(texts: list[str | None]) -> pa.Array:
         both = [payload_of(t, unit) for t in texts]

@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     class_id is the least doc_id of the class; n_links counts the verified links of the row's text that were needed to
     join the class, 0 for a text that stands alone. Null texts, and texts without words, are near copies of nothing, so
     their class is their own doc_id; exact copies of a text with words share a class. Repeated rows are returned as often
-    as they come. A null doc_id is kept, and its class is the least doc_id that is not null, or null. An empty table
-    gives no rows.
+    as they come. A null doc_id is kept, and its class is the least doc_id that is not null, or null. Very long texts are
+    hashed whole, piece by piece, and compare by all their runs of words. An empty table gives no rows.
     """
     d = docs.select("doc_id", "text")
     sig = materialize(d.select("doc_id", _signatures(bands, rows, shingle)("text").alias("of")).select("doc_id", "of.*"), "signatures")
@@ -206,7 +206,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay when one document of each class does: the one with the least doc_id.
 
     Rows that share a doc_id are one document: they stay or go together. Rows without words, or with a null doc_id, are
-    kept.
+    kept. Very long texts are compared whole; further columns, of any name, stay as they are; an empty table gives no rows.
     """
     classes = near_duplicates(docs, **options)
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()

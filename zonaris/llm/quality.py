@@ -120,7 +120,8 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, width: fl
 
     A doc_id with several labels counts with their largest; null labels and null doc_ids do not count. Without a labelled row the
     model gives 0.5 to all, with labels of one kind that label; where the rows held aside, or those left, are none, all serve for both.
-    The driver receives sums only, whose number depends on `features` and `bins`.
+    The driver receives sums only, whose number depends on `features` and `bins`. Further columns, of any name, are ignored; empty tables count as
+    being without a labelled row.
     """
     k = len(STATS)
     lab = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
@@ -177,7 +178,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train: str | None = None
     """(doc_id, score, predicted) for each row of `docs` (doc_id, text; further columns are ignored).
 
     `train` is a SQL condition on doc_id that labelled rows must meet to be learned from; scores depend on the text alone. Empty and
-    null texts have a score too; repeated rows and null doc_ids are kept; an empty table gives no rows.
+    null texts have a score too; very long texts are measured whole; repeated rows and null doc_ids are kept; an empty table gives no rows.
     """
     stats = materialize(document_statistics(docs), "statistics")
     chosen = labels if train is None else labels.where(train)

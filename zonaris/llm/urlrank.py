@@ -76,7 +76,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of `pages` (page_id, url, html).
 
     A null url, or one without ://, has an empty host and path, fits no rule and is allowed with ranks of 0, as is any host that no seed reaches.
-    Null html links to nothing; repeated rows are judged alike; further columns are ignored; an empty table gives no rows.
+    Null html links to nothing; very long pages are read whole; repeated rows are judged alike; further columns are ignored; an empty table gives no rows.
     """
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     p = p.withColumn("fit", matched_rule(F.col("host"), F.col("path"), rules))
