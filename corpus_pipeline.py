@@ -5,13 +5,34 @@ A stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonaris.llm import decontam, minhash, mixing, quality, sharding
-from zonaris.llm.scratch import materialize
+from zonaris.llm import decontam, minhash, mixing, quality, scratch, sharding
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_own: set[str] = set()  # what the last stage wrote for itself
+
+
+def _stage(work: Stage) -> Stage:
+    """A stage that begins by deleting the tables that the stage before wrote for itself: that one's result is written by now."""
+
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.drop(_own)
+        held = scratch.paths()
+        out = work(spark, docs, sf_dir)
+        _own.clear()
+        _own.update(scratch.paths() - held)
+        return out
+
+    return run
 
 
+@_stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on all labels, scores 0.5 or more.
 
@@ -21,6 +42,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the least doc_id.
 
@@ -30,6 +52,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.drop_near_duplicates(docs)
 
 
+@_stage
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item.
 
@@ -39,6 +62,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, stored in the order of the source mix.
 
@@ -48,6 +72,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mix_order(docs)
 
 
+@_stage
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shards of nearly equal bytes, runs of the stored order, so that each has the mix of sources.
 
@@ -68,7 +93,7 @@ STAGES = [("quality", good_quality), ("near_duplicates", one_of_each), ("deconta
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = scratch.materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
