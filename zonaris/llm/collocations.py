@@ -218,19 +218,36 @@ def _phrase_names(docs: DataFrame, most_words: int, least: int, block_words: int
     return total, levels
 
 
-def _phrases(levels: list[DataFrame]) -> list[DataFrame]:
-    """Each level from 2 on with its words, and the counts of all beginnings (heads) and ends (tails): (id, lang, words, f, heads, tails)."""
+def _counts(levels: list[DataFrame]) -> list[DataFrame]:
+    """Of each level from 2 on the counts of all beginnings (heads) and ends (tails) of its phrases: (id, lang, left, right, f, heads, tails)."""
     f = F.col("f")
-    one = levels[0].select("id", "lang", F.array("word").alias("words"), "f", F.array(f).alias("heads"), F.array(f).alias("tails"))
-    out = [one]
+    below = levels[0].select("id", "lang", F.array(f).alias("heads"), F.array(f).alias("tails"))
+    out = []
     for names in levels[1:]:
-        left = out[-1].select(F.col("id").alias("left"), "lang", F.col("words").alias("begin"), "heads")
-        right = out[-1].select(F.col("id").alias("right"), F.element_at("words", -1).alias("end"), "tails")
+        left = below.select(F.col("id").alias("left"), "lang", "heads")
+        right = below.select(F.col("id").alias("right"), "tails")
         both = names.join(left, "left").join(right, "right")
-        grown = (F.concat("heads", F.array(f)).alias("heads"), F.concat("tails", F.array(f)).alias("tails"))
-        phrases = both.select("id", "lang", F.concat("begin", F.array("end")).alias("words"), "f", *grown)
-        out.append(phrases if names is levels[-1] else materialize(phrases, "phrases"))
-    return out[1:]
+        below = both.select("id", "lang", "left", "right", "f", F.concat("heads", F.array(f)).alias("heads"), F.concat("tails", F.array(f)).alias("tails"))
+        if names is not levels[-1]:
+            below = materialize(below, "counts")
+        out.append(below)
+    return out
+
+
+def _with_words(chosen: DataFrame, levels: list[DataFrame], level: int) -> DataFrame:
+    """`chosen` (with left and right) of a level and the array of each phrase's words, along the pointers: the last word, then the last of what stands before, and so on."""
+    d = chosen.withColumns({"at": F.col("left"), "last": F.col("right"), "words": F.array().cast("array<string>")})
+    for depth in range(level - 1, 0, -1):  # `at` and `last` are names of this level: the phrase without its last word, and the part that ends with that word
+        for down in range(depth - 1, 0, -1):
+            up = levels[down].select(F.col("id").alias("last"), F.col("right").alias("end"))
+            d = d.join(up, "last").drop("last").withColumnRenamed("end", "last")
+        one = levels[0].select(F.col("id").alias("last"), "word")
+        d = d.join(one, "last").withColumn("words", F.concat(F.array("word"), "words")).drop("last", "word")
+        if depth > 1:
+            up = levels[depth - 1].select(F.col("id").alias("at"), F.col("left").alias("before"), F.col("right").alias("last"))
+            d = d.join(up, "at").drop("at").withColumnRenamed("before", "at")
+    first = levels[0].select(F.col("id").alias("at"), "word")
+    return d.join(first, "at").withColumn("words", F.concat(F.array("word"), "words")).drop("at", "word")
 
 
 def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, inside: int = 50, best: int = 2000, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -242,20 +259,32 @@ def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, inside:
     language. A phrase goes if a longer one that holds it has at least `inside` per cent of its count. (The longer one by a single word decides: a phrase inside
     a still longer one is inside that, too, which is as frequent.) Order: score and a descending, phrase ascending by bytes.
 
+    Phrases are scored by names and counts alone. Only those that can be among the best (their score and count are not below those of the `best`-th) get
+    their words, which then settle ties.
+
     A null lang is `und`, a null text empty; repeated rows count each time; very long texts are counted whole, piece by piece over as many blocks as
     needed; languages without such a phrase, and empty tables, give no rows.
     """
     total, levels = phrase_names(docs, most_words, least, block_words)
     scored = []
-    for level, phrases in enumerate(_phrases(levels), start=2):
+    for level, phrases in enumerate(_counts(levels), start=2):
         if level < most_words:
             up = levels[level]
             longest = up.select(F.col("left").alias("id"), "f").union(up.select(F.col("right").alias("id"), "f")).groupBy("id").agg(F.max("f").alias("longer"))
             phrases = phrases.join(longest, "id", "left").where(F.col("longer").isNull() | (F.lit(100).cast("decimal(20,0)") * F.col("longer") < F.lit(inside) * F.col("f")))
-        cut = "struct(cast(1000000 as decimal(38,0)) * f * f div (cast(heads[k - 1] as decimal(19,0)) * tails[size(words) - k - 1]) as score, k, heads[k - 1] as l, tails[size(words) - k - 1] as r)"
-        worst = F.array_min(F.expr(f"transform(sequence(1, size(words) - 1), k -> {cut})")).alias("cut")
-        scored.append(phrases.select("lang", F.array_join("words", " ").alias("phrase"), F.col("f").alias("a"), worst))
-    found = reduce(DataFrame.union, scored).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+        cut = f"struct(cast(1000000 as decimal(38,0)) * f * f div (cast(heads[k - 1] as decimal(19,0)) * tails[{level} - k - 1]) as score, k, heads[k - 1] as l, tails[{level} - k - 1] as r)"
+        worst = F.array_min(F.expr(f"transform(sequence(1, {level} - 1), k -> {cut})")).alias("cut")
+        scored.append(phrases.select(F.lit(level).alias("level"), "left", "right", "lang", F.col("f").alias("a"), worst).select("level", "left", "right", "lang", "a", "cut.l", "cut.r", "cut.score"))
+    found = materialize(reduce(DataFrame.union, scored), "scored")
+    # the `best`-th score and count of each language, ties counted together: one row for each different pair of them meets in a language's window
+    steps = found.groupBy("lang", "score", "a").agg(F.count("*").alias("n"))
+    near = Window.partitionBy("lang", F.pmod(F.hash("score", "a"), F.lit(BUCKETS))).orderBy(F.desc("score"), F.desc("a"))
+    steps = steps.withColumn("before", F.sum("n").over(near.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).where(F.col("before") < best)
+    steps = steps.withColumn("before", F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+    last = steps.where(F.col("before") < best).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("last"))
+    found = materialize(found.join(last, "lang").where(F.struct("score", "a") >= F.col("last")).drop("last"), "chosen")
+    parts = [_with_words(found.where(F.col("level") == level), levels, level) for level in range(2, most_words + 1)]
+    found = reduce(DataFrame.union, [p.select("lang", F.array_join("words", " ").alias("phrase"), "a", "l", "r", "score") for p in parts])
     order = (F.desc("score"), F.desc("a"), "phrase")
     near = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS))).orderBy(*order)
     found = found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= best).drop("rank")
