@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonaris.functions import geometry as G
+from zonaris.operators import classes as C
 from zonaris.operators import polygons as P
 from zonaris.operators import spatial as S
 from zonaris.plans.catalog import CELL, query, table
+from zonaris.sources.shared import written
 
 _ring = lambda *v: F.array(*(x.cast("double") for x in v))
 #: arc area of a quarter circle of radius 1 drawn with 16 straight parts
@@ -216,14 +218,19 @@ select q.c_custkey, centroid_zone, overlay_zone, greatest(coalesce(k,0)-case whe
 from square q left join cen using (c_custkey) left join dom using (c_custkey) left join n using (c_custkey) left join share c on c.c_custkey=q.c_custkey and c.s_suppkey=centroid_zone""")
 def centroid_against_overlay(spark, sf_dir):
     """What assigning a parcel to the zone of its centroid omits, against the overlay."""
-    p, z = parcels(spark, sf_dir), zones(spark, sf_dir)
-    share = P.overlay_shares(p, z, "c_custkey", "s_suppkey", CELL).select(F.col("l_c_custkey").alias("c_custkey"), F.col("r_s_suppkey").alias("s_suppkey"), "area", "rank", "dominant", "touches")
-    at = p.withColumn("m", G.measure("shape")).select("c_custkey", F.col("m.x").alias("x"), F.col("m.y").alias("y"))
-    cen = P.points_in(z, at, CELL).groupBy(F.col("r_c_custkey").alias("c_custkey")).agg(F.min("l_s_suppkey").alias("centroid_zone"))
-    of = share.groupBy("c_custkey").agg(F.max(F.when(F.col("dominant"), F.col("s_suppkey"))).alias("overlay_zone"), F.count_if(~F.col("touches")).alias("k"), F.sum("area").alias("t"))
-    d = p.select("c_custkey").join(cen, "c_custkey", "left").join(of, "c_custkey", "left").join(share.select("c_custkey", F.col("s_suppkey").alias("centroid_zone"), "area"), ["c_custkey", "centroid_zone"], "left")
+    d = C.each(parcels(spark, sf_dir), P.SHAPED, lambda v: _omitted(v, zones(spark, sf_dir)))
+    return d.select("c_custkey", "centroid_zone", "overlay_zone", "omitted_zones", "omitted_area")
+
+
+def _omitted(p: DataFrame, z: DataFrame) -> DataFrame:
+    key = C.SAME
+    share = P.overlay_shares(p, z, key, "s_suppkey", CELL).select(F.col(f"l_{key}").alias(key), F.col("r_s_suppkey").alias("s_suppkey"), "area", "rank", "dominant", "touches")
+    at = p.withColumn("m", G.measure("shape")).select(key, F.col("m.x").alias("x"), F.col("m.y").alias("y"))
+    cen = P.points_in(z, at, CELL).groupBy(F.col(f"r_{key}").alias(key)).agg(F.min("l_s_suppkey").alias("centroid_zone"))
+    of = share.groupBy(key).agg(F.max(F.when(F.col("dominant"), F.col("s_suppkey"))).alias("overlay_zone"), F.count_if(~F.col("touches")).alias("k"), F.sum("area").alias("t"))
+    d = p.select(key).join(cen, key, "left").join(of, key, "left").join(share.select(key, F.col("s_suppkey").alias("centroid_zone"), "area"), [key, "centroid_zone"], "left")
     omitted = F.greatest(F.coalesce("k", F.lit(0)) - F.col("centroid_zone").isNotNull().cast("int"), F.lit(0))
-    return d.select("c_custkey", "centroid_zone", "overlay_zone", omitted.alias("omitted_zones"), F.round(F.coalesce("t", F.lit(0.0)) - F.coalesce("area", F.lit(0.0)), 6).alias("omitted_area"))
+    return d.select(key, "centroid_zone", "overlay_zone", omitted.alias("omitted_zones"), F.round(F.coalesce("t", F.lit(0.0)) - F.coalesce("area", F.lit(0.0)), 6).alias("omitted_area"))
 
 
 @query(f"with {SHARE}, z as (select s_suppkey from supplier where s_suppkey%7<=3 and s_suppkey%7+2>3) select c_custkey, s_suppkey, round(cast(a as double),6) as area from share semi join z using (s_suppkey) where a>1e-6")
