@@ -120,8 +120,8 @@ def union_area(boxes: DataFrame, key: str) -> DataFrame:
 
 def self_overlaps(boxes: DataFrame, key: str, size: float, least: float) -> DataFrame:
     """(a, b, area) with a < b for every two boxes that share more than `least`."""
-    pair = box_join(boxes, boxes, size).where(F.col(f"l_{key}") < F.col(f"r_{key}")).withColumn("area", shared_area())
-    return pair.where(F.col("area") > least).select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"), "area")
+    pair = C.paired(boxes, boxes, BOX, BOX, lambda a, b: box_join(a, b, size).withColumn("area", shared_area()).where(F.col("area") > least))
+    return pair.where(F.col(f"l_{key}") < F.col(f"r_{key}")).select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"), "area")
 
 
 def point_distance(x: str, y: str, box: Sequence[str] = ("l_x0", "l_y0", "l_x1", "l_y1")) -> Column:
