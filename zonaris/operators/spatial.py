@@ -139,8 +139,12 @@ def within(parcels: DataFrame, points: DataFrame, radius: float, size: float) ->
 
 def nearest_k(parcels: DataFrame, points: DataFrame, key: str, point_key: str, k: int, radius: float, size: float) -> DataFrame:
     """The k nearest points of each parcel within `radius`; ties by point key."""
-    by = Window.partitionBy(f"l_{key}").orderBy("distance", f"r_{point_key}")
-    return within(parcels, points, radius, size).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    by = Window.partitionBy(f"l_{C.OWN}").orderBy("distance", f"r_{point_key}")
+    first = Window.partitionBy("x", "y").orderBy(point_key)  # of points in one place no more than the k first can be among the nearest
+    points = points.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).drop("place")
+    values, members = C.classed(parcels, BOX, C.OWN)
+    near = within(values, points, radius, size).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return C.spread(near.drop(*(f"l_{c}" for c in BOX)), C.prefixed(members, "l_"), f"l_{C.OWN}")
 
 
 def nearest_expanding(parcels: DataFrame, points: DataFrame, key: str, point_key: str, radii: Sequence[float], size: float) -> DataFrame:
