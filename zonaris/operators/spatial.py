@@ -151,8 +151,15 @@ def nearest_expanding(parcels: DataFrame, points: DataFrame, key: str, point_key
     """The nearest point of each parcel and the first radius that holds it; parcels without one have `no_match`.
 
     Radius by radius, only parcels without a match go on, on a grid as wide as the radius. Distances count in millimetres, then the
-    point key decides, so that rounding noise cannot. What is left after a step is written to the shared folder.
+    point key decides, so that rounding noise cannot. What is left after a step is written to the shared folder. Of points in one place
+    the least key goes before the others, and parcels of equal box find the same point.
     """
+    first = points.groupBy("x", "y").agg(F.min(point_key).alias(point_key))
+    d = C.each(parcels.select(key, *BOX), BOX, lambda v: _nearest_expanding(v, first, C.OWN, point_key, radii, size), name=C.OWN)
+    return d.select(key, "nearest", "distance", "radius", "status")
+
+
+def _nearest_expanding(parcels: DataFrame, points: DataFrame, key: str, point_key: str, radii: Sequence[float], size: float) -> DataFrame:
     left, found = parcels.select(key, *BOX), []
     best = F.min(F.struct(F.round(F.col("distance") * 1000).cast("bigint").alias("mm"), F.col(f"r_{point_key}").alias("id"), "distance")).alias("best")
     for r in sorted(radii):
