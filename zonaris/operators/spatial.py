@@ -176,6 +176,11 @@ def ring_statistics(parcels: DataFrame, points: DataFrame, key: str, value: str,
 
     A ring without points has count 0 and nulls elsewhere: unknown is not zero.
     """
+    d = C.each(parcels.select(key, *BOX), BOX, lambda v: _ring_statistics(v, points, C.OWN, value, radii, size), name=C.OWN)
+    return d.select(key, "radius", "n", "sum_value", "median_value", "min_distance", "max_distance")
+
+
+def _ring_statistics(parcels: DataFrame, points: DataFrame, key: str, value: str, radii: Sequence[float], size: float) -> DataFrame:
     pair = within(parcels, points, max(radii), size).withColumn("radius", F.explode(F.array(*(F.lit(float(r)) for r in radii)))).where("distance <= radius")
     got = pair.groupBy(F.col(f"l_{key}").alias(key), "radius").agg(F.count("*").alias("n"), F.sum(f"r_{value}").alias("sum_value"), F.percentile(f"r_{value}", F.lit(0.5)).alias("median_value"), F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"))
     every = parcels.select(key, F.explode(F.array(*(F.lit(float(r)) for r in radii))).alias("radius"))
