@@ -144,8 +144,12 @@ def setback(spark, sf_dir):
 @query(f"select s_suppkey, round(area+4*sqrt(area)*8+4*{QUARTER}*64,6) as wide_area, round(4*sqrt(area)*8+4*{QUARTER}*64,6) as ring_area from (select s_suppkey, pow(2+s_suppkey%5,2) as area from supplier)")
 def buffer_ring(spark, sf_dir):
     """Buildings widened by 8 m with 16 parts a quarter circle, and the ring around them."""
-    d = buildings(spark, sf_dir).select("s_suppkey", "shape", G.widened("shape", F.lit(8.0)).alias("wide"))
-    return d.select("s_suppkey", F.round(G.measure("wide")["area"], 6).alias("wide_area"), F.round(G.measure(G.left_over("wide", "shape"))["area"], 6).alias("ring_area"))
+    d = C.each(buildings(spark, sf_dir), ["shape"], lambda v: _ring_areas(v.select(C.SAME, "shape", G.widened("shape", F.lit(8.0)).alias("wide"))))
+    return d.select("s_suppkey", "wide_area", "ring_area")
+
+
+def _ring_areas(d: DataFrame) -> DataFrame:
+    return d.select(C.SAME, F.round(G.measure("wide")["area"], 6).alias("wide_area"), F.round(G.measure(G.left_over("wide", "shape"))["area"], 6).alias("ring_area"))
 
 
 @query(f"with {SHARE} select c_custkey, s_suppkey, round(cast(a as double),6) as shared, round(cast(whole-a as double),6) as left_over, round(cast(whole+2400-a as double),6) as united from share where a>1e-6")
