@@ -155,9 +155,10 @@ def _ring_areas(d: DataFrame) -> DataFrame:
 @query(f"with {SHARE} select c_custkey, s_suppkey, round(cast(a as double),6) as shared, round(cast(whole-a as double),6) as left_over, round(cast(whole+2400-a as double),6) as united from share where a>1e-6")
 def polygon_operations(spark, sf_dir):
     """Intersection, difference and union as shapes, measured."""
-    d = P.meeting(parcels(spark, sf_dir), zones(spark, sf_dir), CELL).where("not touches")
     area = lambda f: F.round(G.measure(f("l_shape", "r_shape"))["area"], 6)
-    return d.select(F.col("l_c_custkey").alias("c_custkey"), F.col("r_s_suppkey").alias("s_suppkey"), area(G.shared_shape).alias("shared"), area(G.left_over).alias("left_over"), area(G.united).alias("united"))
+    made = lambda p: P.met(p).where("not touches").withColumns({"shared": area(G.shared_shape), "left_over": area(G.left_over), "united": area(G.united)})
+    d = P.pairs(parcels(spark, sf_dir), zones(spark, sf_dir), CELL, made)
+    return d.select(F.col("l_c_custkey").alias("c_custkey"), F.col("r_s_suppkey").alias("s_suppkey"), "shared", "left_over", "united")
 
 
 @query(f"with {SQUARE} select c_custkey, true as equal_hash, c_custkey%2=1 as was_repaired, 6 as points from square")
