@@ -168,10 +168,14 @@ def canonical_shapes(spark, sf_dir):
     ring = F.col("shape")[0]
     turned = F.array(F.concat(F.slice(ring, 5, 8), F.slice(ring, 1, 4), F.slice(ring, 3, 2)))  # from another corner, last point twice
     raw = F.when(F.col("c_custkey") % 2 == 1, turned).otherwise(F.col("shape"))
+    return C.each(d.select("c_custkey", "shape", raw.alias("raw")), ["shape", "raw"], _canonical).select("c_custkey", "equal_hash", "was_repaired", "points")
+
+
+def _canonical(d: DataFrame) -> DataFrame:
     text = lambda c: F.sha2(F.to_json(c), 256)
-    d = d.select("c_custkey", "shape", raw.alias("raw"), G.canonical(raw).alias("fixed"), G.canonical("shape").alias("same"))
+    d = d.select(C.SAME, "shape", "raw", G.canonical("raw").alias("fixed"), G.canonical("shape").alias("same"))
     dense = F.array(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.array(*(v for v in _with_middle("fixed", i))))))
-    return d.select("c_custkey", (text(F.col("fixed")) == text(F.col("same"))).alias("equal_hash"), (F.to_json("raw") != F.to_json("fixed")).alias("was_repaired"), (F.size(G.reduced(dense, F.lit(0.001))[0]) / 2).cast("int").alias("points"))
+    return d.select(C.SAME, (text(F.col("fixed")) == text(F.col("same"))).alias("equal_hash"), (F.to_json("raw") != F.to_json("fixed")).alias("was_repaired"), (F.size(G.reduced(dense, F.lit(0.001))[0]) / 2).cast("int").alias("points"))
 
 
 def _with_middle(name, i):
