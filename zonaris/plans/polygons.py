@@ -190,8 +190,12 @@ select c_custkey, cast(class as bigint) as class, round(cast(sum({_cut('p.x0', '
 from part_of p join tile on p.x0<cx*50+50 and p.x1>cx*50 and p.y0<cy*50+50 and p.y1>cy*50 group by 1,2 having sum({_cut('p.x0', 'p.x1', 'cx*50', 'cx*50+50')}*{_cut('p.y0', 'p.y1', 'cy*50', 'cy*50+50')})>1e-6""")
 def land_cover_shares(spark, sf_dir):
     """Land cover classes of each parcel, clipped."""
-    d = P.meeting(parcels(spark, sf_dir), _cover(spark), CELL).where("not touches").groupBy(F.col("l_c_custkey").alias("c_custkey"), F.col("r_class").alias("class")).agg(F.sum("area").alias("area"), F.first("l_shape").alias("shape"))
-    return d.select("c_custkey", "class", F.round("area", 6).alias("area"), F.round(100 * F.col("area") / G.measure("shape")["area"], 6).alias("share"))
+    return C.each(parcels(spark, sf_dir), P.SHAPED, lambda v: _land_cover(v, _cover(spark))).select("c_custkey", "class", "area", "share")
+
+
+def _land_cover(parcels: DataFrame, cover: DataFrame) -> DataFrame:
+    d = P.meeting(parcels, cover, CELL).where("not touches").groupBy(F.col(f"l_{C.SAME}").alias(C.SAME), F.col("r_class").alias("class")).agg(F.sum("area").alias("area"), F.first("l_shape").alias("shape"))
+    return d.select(C.SAME, "class", F.round("area", 6).alias("area"), F.round(100 * F.col("area") / G.measure("shape")["area"], 6).alias("share"))
 
 
 def _cover(spark) -> DataFrame:
@@ -203,10 +207,14 @@ def _cover(spark) -> DataFrame:
 @query(f"select s_suppkey, round(4*(2+s_suppkey%5)*4+4*{QUARTER}*16,6) as ring_area, round(4*(2+s_suppkey%5)*4+4*{QUARTER}*16,6) as classed from supplier where (s_suppkey*53)%1000>10 and (s_suppkey*29)%1000>10")
 def ring_land_cover(spark, sf_dir):
     """The classes of the 4 m ring around each building add up to the ring."""
-    b = buildings(spark, sf_dir).where("x0 > 10 and y0 > 10").select("s_suppkey", G.left_over(G.widened("shape", F.lit(4.0)), "shape").alias("shape"))
-    b = P.boxed(b)
-    d = P.meeting(b, _cover(spark), CELL).where("not touches").groupBy(F.col("l_s_suppkey").alias("s_suppkey")).agg(F.sum("area").alias("classed"), F.first("l_shape").alias("ring"))
-    return d.select("s_suppkey", F.round(G.measure("ring")["area"], 6).alias("ring_area"), F.round("classed", 6).alias("classed"))
+    d = C.each(buildings(spark, sf_dir).where("x0 > 10 and y0 > 10"), ["shape"], lambda v: _ring_classes(v, _cover(spark)))
+    return d.select("s_suppkey", "ring_area", "classed")
+
+
+def _ring_classes(d: DataFrame, cover: DataFrame) -> DataFrame:
+    b = written(P.boxed(d.select(C.SAME, G.left_over(G.widened("shape", F.lit(4.0)), "shape").alias("shape"))), "rings")
+    d = P.meeting(b, cover, CELL).where("not touches").groupBy(F.col(f"l_{C.SAME}").alias(C.SAME)).agg(F.sum("area").alias("classed"), F.first("l_shape").alias("ring"))
+    return d.select(C.SAME, F.round(G.measure("ring")["area"], 6).alias("ring_area"), F.round("classed", 6).alias("classed"))
 
 
 @query()
