@@ -220,11 +220,17 @@ def _ring_classes(d: DataFrame, cover: DataFrame) -> DataFrame:
 @query()
 def forest_distance(spark, sf_dir):
     """The nearest forest tile of each building within 100 m, and how much forest lies within 8, 12 and 16 m."""
-    b, forest = buildings(spark, sf_dir), _cover(spark).where("class = 2").withColumn("tile", F.monotonically_increasing_id())
-    near = P.nearest_k(b, forest, "s_suppkey", "tile", 1, 100.0, CELL).select(F.col("l_s_suppkey").alias("s_suppkey"), F.round("distance", 6).alias("distance"))
-    wide = b.select("s_suppkey", "shape", F.explode(F.array(F.lit(8.0), F.lit(12.0), F.lit(16.0))).alias("radius")).select("s_suppkey", "radius", G.widened("shape", "radius").alias("shape"))
-    met = P.meeting(P.boxed(wide), forest, CELL).groupBy(F.col("l_s_suppkey").alias("s_suppkey"), F.col("l_radius").alias("radius")).agg(F.round(F.sum("area"), 6).alias("forest"))
-    return wide.select("s_suppkey", "radius").join(met, ["s_suppkey", "radius"], "left").join(near, "s_suppkey", "left").select("s_suppkey", "radius", "distance", F.coalesce("forest", F.lit(0.0)).alias("forest"))
+    forest = _cover(spark).where("class = 2").withColumn("tile", F.monotonically_increasing_id())
+    return C.each(buildings(spark, sf_dir), P.SHAPED, lambda v: _forest(v, forest)).select("s_suppkey", "radius", "distance", "forest")
+
+
+def _forest(b: DataFrame, forest: DataFrame) -> DataFrame:
+    key = C.SAME
+    near = P.nearest_k(b, forest, key, "tile", 1, 100.0, CELL).select(F.col(f"l_{key}").alias(key), F.round("distance", 6).alias("distance"))
+    wide = b.select(key, "shape", F.explode(F.array(F.lit(8.0), F.lit(12.0), F.lit(16.0))).alias("radius"))
+    wide = written(P.boxed(C.wide(wide, key, "radius").select(key, "radius", G.widened("shape", "radius").alias("shape"))), "widened")
+    met = P.meeting(wide, forest, CELL).groupBy(F.col(f"l_{key}").alias(key), F.col("l_radius").alias("radius")).agg(F.round(F.sum("area"), 6).alias("forest"))
+    return wide.select(key, "radius").join(met, [key, "radius"], "left").join(near, key, "left").select(key, "radius", "distance", F.coalesce("forest", F.lit(0.0)).alias("forest"))
 
 
 @query(f"""with {SHARE}, mid as (select c_custkey, x+s*5/12.0 as cx, y+s*5/12.0 as cy from square),
