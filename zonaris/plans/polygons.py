@@ -271,7 +271,8 @@ where (has_shape and h.n_nationkey is not null) or (not has_shape and q.c_nation
 def acts_of_parcels(spark, sf_dir):
     """Acts that concern a parcel: by shape where the act has one, else by its code, with counts of the zones that meet it."""
     p, acts = parcels(spark, sf_dir), table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") % 3 != 0).alias("has_shape"))
-    hit = P.meeting(p, zones(spark, sf_dir), CELL).groupBy(F.col("l_c_custkey").alias("c_custkey"), F.col("r_s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("zones"), F.count_if(~F.col("touches")).alias("real_zones"))
+    seen = lambda v: P.meeting(v, zones(spark, sf_dir), CELL).groupBy(F.col(f"l_{C.SAME}").alias(C.SAME), F.col("r_s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("zones"), F.count_if(~F.col("touches")).alias("real_zones"))
+    hit = C.each(p.select("c_custkey", *P.SHAPED), P.SHAPED, seen).select("c_custkey", "n_nationkey", "zones", "real_zones")
     shaped = hit.join(F.broadcast(acts.where("has_shape")), "n_nationkey").select("c_custkey", "n_nationkey", "zones", "real_zones", F.lit(True).alias("by_shape"))
     coded = p.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(F.broadcast(acts.where("not has_shape")), "n_nationkey").join(hit, ["c_custkey", "n_nationkey"], "left")
     return shaped.unionByName(coded.select("c_custkey", "n_nationkey", F.coalesce("zones", F.lit(0)).alias("zones"), F.coalesce("real_zones", F.lit(0)).alias("real_zones"), F.col("zones").isNotNull().alias("by_shape")))
