@@ -293,10 +293,11 @@ select q.c_custkey, coalesce(n,0) as n, case when coalesce(n,0)>0 then 'found' w
 def layer_observation(spark, sf_dir):
     """Whether a layer has something on a parcel: found, mere contact, empty, or unavailable where the layer is incomplete."""
     p = parcels(spark, sf_dir)
-    hit = P.meeting(p, zones(spark, sf_dir).where("s_nationkey % 2 = 0"), CELL).groupBy(F.col("l_c_custkey").alias("c_custkey")).agg(F.count_if(~F.col("touches")).alias("n"), F.count("*").alias("seen"))
+    z = zones(spark, sf_dir).where("s_nationkey % 2 = 0")
+    d = C.each(p, P.SHAPED, lambda v: P.meeting(v, z, CELL).groupBy(F.col(f"l_{C.SAME}").alias(C.SAME)).agg(F.count_if(~F.col("touches")).alias("n"), F.count("*").alias("seen")), "left")
     n, seen = F.coalesce("n", F.lit(0)), F.coalesce("seen", F.lit(0))
     status = F.when(n > 0, "found").when(F.col("c_nationkey") % 4 == 3, "unavailable").when(seen > 0, "contact_only").otherwise("empty")
-    return p.join(hit, "c_custkey", "left").select("c_custkey", n.alias("n"), status.alias("status"))
+    return d.select("c_custkey", n.alias("n"), status.alias("status"))
 
 
 @query(f"""with {NEAR} select c_custkey, s_suppkey, round(distance,6) as distance, case when distance=0 then 'inside' when distance<=10 then 'near' else 'around' end as relation,
