@@ -355,7 +355,7 @@ def topology_check(spark, sf_dir):
 @query(f"with {SQUARE} select c_custkey, round(0.75/0.875,6) as solidity, round(0.75,6) as fill, round(4*pi()*0.75/16,6) as compactness, cast(1 as bigint) as parts from square")
 def shape_descriptors(spark, sf_dir):
     """Share of the convex hull, of the box and of a circle."""
-    d = parcels(spark, sf_dir).select("c_custkey", G.descriptors("shape").alias("d"))
+    d = C.each(parcels(spark, sf_dir), ["shape"], lambda v: v.withColumn("d", G.descriptors("shape")))
     return d.select("c_custkey", *(F.round(f"d.{n}", 6).alias(n) for n in ("solidity", "fill", "compactness")), "d.parts")
 
 
