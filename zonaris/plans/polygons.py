@@ -362,8 +362,12 @@ def shape_descriptors(spark, sf_dir):
 @query(f"with {SQUARE} select c_custkey, round(0.75*s*s*0.6,4) as first_part, round(0.75*s*s*0.4,4) as second_part from square")
 def halved_parcels(spark, sf_dir):
     """Parcels cut 60 to 40 by an upright or level line."""
-    d = parcels(spark, sf_dir).select("c_custkey", G.halved("shape", F.lit(0.6), F.col("c_custkey") % 2 == 0).alias("h"))
-    return d.select("c_custkey", *(F.round(G.measure(F.col("h")[i])["area"], 4).alias(n) for i, n in enumerate(("first_part", "second_part"))))
+    d = parcels(spark, sf_dir).select("c_custkey", "shape", (F.col("c_custkey") % 2 == 0).alias("upright"))
+    return C.each(d, ["shape", "upright"], lambda v: _halves(v.select(C.SAME, G.halved("shape", F.lit(0.6), "upright").alias("h")))).select("c_custkey", "first_part", "second_part")
+
+
+def _halves(d: DataFrame) -> DataFrame:
+    return d.select(C.SAME, *(F.round(G.measure(F.col("h")[i])["area"], 4).alias(n) for i, n in enumerate(("first_part", "second_part"))))
 
 
 @query(f"with {SQUARE} select c_custkey, true as inside, 1 as parts from square")
