@@ -373,8 +373,8 @@ def _halves(d: DataFrame) -> DataFrame:
 @query(f"with {SQUARE} select c_custkey, true as inside, 1 as parts from square")
 def sample_points(spark, sf_dir):
     """A point that is surely inside, and one for each part."""
-    d = parcels(spark, sf_dir).select("c_custkey", "shape", G.samples("shape").alias("s"))
-    return d.select("c_custkey", G.holds("shape", F.col("s.inner.x"), F.col("s.inner.y")).alias("inside"), F.size("s.parts").alias("parts"))
+    found = lambda v: v.withColumn("s", G.samples("shape")).select(C.SAME, G.holds("shape", F.col("s.inner.x"), F.col("s.inner.y")).alias("inside"), F.size("s.parts").alias("parts"))
+    return C.each(parcels(spark, sf_dir), ["shape"], found).select("c_custkey", "inside", "parts")
 
 
 @query(f"with {SQUARE} select c_custkey, cast(s*ceil(s/2.0-0.25)+ceil(s/2.0-0.25)*(s-ceil(s/2.0-0.25)) as bigint) as pixels, round(s*sqrt(2.0),6) as axis, cast(x as double) as x0 from square")
