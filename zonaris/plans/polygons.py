@@ -380,8 +380,12 @@ def sample_points(spark, sf_dir):
 @query(f"with {SQUARE} select c_custkey, cast(s*ceil(s/2.0-0.25)+ceil(s/2.0-0.25)*(s-ceil(s/2.0-0.25)) as bigint) as pixels, round(s*sqrt(2.0),6) as axis, cast(x as double) as x0 from square")
 def pixel_masks(spark, sf_dir):
     """Grid cells of 1 m inside each parcel, and the long axis of its profile."""
-    d = parcels(spark, sf_dir).select("c_custkey", G.pixels("shape", F.lit(1.0), F.lit(0.25)).alias("p"), G.long_axis("shape").alias("a"))
-    return d.select("c_custkey", F.size("p").cast("bigint").alias("pixels"), F.round("a.length", 6).alias("axis"), "a.x0")
+    d = C.each(parcels(spark, sf_dir), ["shape"], lambda v: _masks(v.select(C.SAME, G.pixels("shape", F.lit(1.0), F.lit(0.25)).alias("p"), G.long_axis("shape").alias("a"))))
+    return d.select("c_custkey", "pixels", "axis", F.col("axis_x0").alias("x0"))
+
+
+def _masks(d: DataFrame) -> DataFrame:
+    return d.select(C.SAME, F.size("p").cast("bigint").alias("pixels"), F.round("a.length", 6).alias("axis"), F.col("a.x0").alias("axis_x0"))
 
 
 @query("select s_suppkey, case when s_suppkey%4<2 then 3 end as points, case when s_suppkey%4<2 then 7.0 end as length from supplier")
