@@ -11,6 +11,7 @@ from zonaris.functions import geometry as G
 from zonaris.functions import planar as L
 from zonaris.functions import tiles as V
 from zonaris.operators import arcs as A
+from zonaris.operators import classes as C
 from zonaris.operators import polygons as P
 from zonaris.operators import tiles as T
 from zonaris.plans.catalog import CELL, ORACLE_SQL, QUERIES, query, table
@@ -29,9 +30,13 @@ def repaired_polygons(spark, sf_dir):
     two = F.array(_flat(x, y, x + s, y, x + s, y + s, x, y + s), _flat(x + s / 2, y, x + s * 1.5, y, x + s * 1.5, y + s, x + s / 2, y + s))
     raw = F.when(F.col("c_custkey") % 3 == 0, square).when(F.col("c_custkey") % 3 == 1, bow).otherwise(two)
     turned = F.transform("raw", lambda r: F.concat(F.slice(r, 3, F.size(r) - 2), F.slice(r, 1, 2)))  # from the second point on
-    d = p.select("c_custkey", raw.alias("raw")).select("c_custkey", L.repaired("raw").alias("r"), L.repaired(turned).alias("t"))
+    fixed = lambda v: v.select(C.SAME, L.repaired("raw").alias("r"), L.repaired(turned).alias("t"))
+    return C.each(p.select("c_custkey", raw.alias("raw")), ["raw"], lambda v: _judged(fixed(v))).select("c_custkey", "area", "was_repaired", "rings", "stable")
+
+
+def _judged(d: DataFrame) -> DataFrame:
     key = lambda c: F.sha2(F.to_json(f"{c}.shape"), 256)
-    return d.select("c_custkey", F.round("r.area", 6).alias("area"), "r.was_repaired", F.size("r.shape").alias("rings"), (key("r") == key("t")).alias("stable"))
+    return d.select(C.SAME, F.round("r.area", 6).alias("area"), "r.was_repaired", F.size("r.shape").alias("rings"), (key("r") == key("t")).alias("stable"))
 
 
 def cells(spark, sf_dir) -> DataFrame:
