@@ -81,9 +81,9 @@ _TILE = "t as (select x as tx, y as ty, x*128-2 as a0, x*128+130 as a1, 1024-y*1
 select tx, ty, count(*) as n, round(cast(sum(m)*1024 as double),6) as units from cut where m>0 group by all""")
 def area_tiles(spark, sf_dir):
     """Parcels clipped to the tiles of a zoom with a margin, in tile units; areas of what the commands decode to."""
-    p = parcels(spark, sf_dir).withColumn("kind", F.lit("area"))
-    d = T.on_tiles(p, (0.0, 1024.0), 1024.0, {3: 0.0})
-    return d.withColumn("a", _tile_area("commands")).groupBy("tx", "ty").agg(F.count("*").alias("n"), F.round(F.sum("a"), 6).alias("units"))
+    p = parcels(spark, sf_dir).groupBy(*P.SHAPED).agg(F.count("*").alias("n")).withColumn("kind", F.lit("area"))  # equal shapes give equal commands
+    d = T.on_tiles(C.wide(p, "shape"), (0.0, 1024.0), 1024.0, {3: 0.0})
+    return d.withColumn("a", _tile_area("commands")).groupBy("tx", "ty").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("a") * F.col("n")), 6).alias("units"))
 
 
 @query("""with l as (select s_suppkey, (s_suppkey*53)%1000 as x0, (s_suppkey*53)%1000+20 as x1, (s_suppkey*29)%1000 as y from supplier), t as (select x as tx, y as ty, x*128-2 as a0, x*128+130 as a1, 1024-y*128-130 as b0, 1024-y*128+2 as b1 from range(0,8) q(x), range(0,8) r(y))
