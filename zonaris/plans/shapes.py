@@ -100,9 +100,10 @@ def line_tiles(spark, sf_dir):
 @query(f"with {NEAR} select c_custkey, s_suppkey, round(distance,6) as length, distance>0 as apart from gap where distance<=30")
 def shortest_lines(spark, sf_dir):
     """The shortest line between each parcel and the buildings within 30 m; none where they meet."""
-    d = P.within(parcels(spark, sf_dir), buildings(spark, sf_dir), 30.0, CELL).withColumn("line", G.shortest_line("l_shape", "r_shape"))
     length = F.coalesce(G.line_length(F.col("line")), F.lit(0.0))
-    return d.select(F.col("l_c_custkey").alias("c_custkey"), F.col("r_s_suppkey").alias("s_suppkey"), F.round(length, 6).alias("length"), F.col("line").isNotNull().alias("apart"))
+    drawn = lambda p: p.withColumn("line", G.shortest_line("l_shape", "r_shape")).withColumns({"length": F.round(length, 6), "apart": F.col("line").isNotNull()}).drop("line")
+    d = P.within(parcels(spark, sf_dir), buildings(spark, sf_dir), 30.0, CELL, drawn)
+    return d.select(F.col("l_c_custkey").alias("c_custkey"), F.col("r_s_suppkey").alias("s_suppkey"), "length", "apart")
 
 
 @query(f"""with r as ({ORACLE_SQL["centroid_against_overlay"]}), k as (select *, case when overlay_zone is null and centroid_zone is null then 'no_zone' when centroid_zone is null then 'missed' when centroid_zone=overlay_zone then 'same' else 'differs' end as kind from r)
