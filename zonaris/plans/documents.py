@@ -13,6 +13,7 @@ from zonaris.functions import geometry as G
 from zonaris.functions import legal as T
 from zonaris.functions import numbers as N
 from zonaris.functions import planar as L
+from zonaris.operators import classes as C
 from zonaris.operators import polygons as P
 from zonaris.plans.catalog import CELL, query, table
 from zonaris.plans.polygons import MEET, SQUARE, parcels, zones
@@ -194,7 +195,8 @@ _HX, _HY = _HALF.format("x"), _HALF.format("y")
 @query(f"""with {SQUARE} select c_custkey, '{{"type":"Feature","id":'||c_custkey||',"geometry":{{"type":"Polygon","coordinates":[[['||x||','||y||'],['||(x+s)||','||y||'],['||(x+s)||','||{_HY}||'],['||{_HX}||','||{_HY}||'],['||{_HX}||','||(y+s)||'],['||x||','||(y+s)||'],['||x||','||y||']]]}}}}' as feature from square""")
 def geojson_polygons(spark, sf_dir):
     """Features with their shape as GeoJSON: rings closed, shells against the clock."""
-    return parcels(spark, sf_dir).select("c_custkey", F.concat(F.lit('{"type":"Feature","id":'), "c_custkey", F.lit(',"geometry":'), L.geojson("shape"), F.lit("}")).alias("feature"))
+    d = C.each(parcels(spark, sf_dir), ["shape"], lambda v: v.withColumn("geometry", L.geojson("shape")))
+    return d.select("c_custkey", F.concat(F.lit('{"type":"Feature","id":'), "c_custkey", F.lit(',"geometry":'), "geometry", F.lit("}")).alias("feature"))
 
 
 def _plan(spark, sf_dir) -> DataFrame:
