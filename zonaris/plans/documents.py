@@ -296,12 +296,16 @@ select q.c_custkey, coalesce(zones,0) as zones, coalesce(round(cast(total as dou
 def plan_analysis(spark, sf_dir):
     """Each parcel against the general plan: zones, total area, warnings."""
     p = parcels(spark, sf_dir)
-    m = P.meeting(p, zones(spark, sf_dir), CELL).groupBy(F.col("l_c_custkey").alias("c_custkey")).agg(F.count_if(~F.col("touches")).alias("zones"), F.sum("area").alias("total"), F.bool_or("touches").alias("touch"))
-    d = p.withColumn("whole", G.measure("shape")["area"]).join(m, "c_custkey", "left")
+    return C.each(p, P.SHAPED, lambda v: _analysed(v, zones(spark, sf_dir))).select("c_custkey", "zones", "total", "warnings")
+
+
+def _analysed(p: DataFrame, z: DataFrame) -> DataFrame:
+    m = P.meeting(p, z, CELL).groupBy(F.col(f"l_{C.SAME}").alias(C.SAME)).agg(F.count_if(~F.col("touches")).alias("zones"), F.sum("area").alias("total"), F.bool_or("touches").alias("touch"))
+    d = p.withColumn("whole", G.measure("shape")["area"]).join(m, C.SAME, "left")
     n, t = F.coalesce("zones", F.lit(0)), F.coalesce("total", F.lit(0.0))
     warn = [F.when(n == 0, "no_zone"), F.when(n > 1, "several_zones"), F.when(F.col("total") < F.col("whole") - 0.1, "gap"), F.when(F.col("total") > F.col("whole") + 0.1, "overlap"), F.when(F.col("touch"), "contact")]
     text = F.concat_ws(",", *warn)
-    return d.select("c_custkey", n.alias("zones"), F.round(t, 6).alias("total"), F.nullif(text, F.lit("")).alias("warnings"))
+    return d.select(C.SAME, n.alias("zones"), F.round(t, 6).alias("total"), F.nullif(text, F.lit("")).alias("warnings"))
 
 
 @query("select page_id, coalesce(len(regexp_extract_all(html,'(?i)<a\\b')),0) as n_links, coalesce(len(regexp_extract_all(html,'(?i)<p\\b')),0) as n_paragraphs, nullif(regexp_extract(html,'(?i)<html[^>]*\\blang=\"([^\"]*)\"',1),'') as lang from pages")
