@@ -403,5 +403,6 @@ def repaired_lines(spark, sf_dir):
 def point_coverage(spark, sf_dir):
     """Coverage of points; each place is looked up once and its answer shared by all rows that ask for it."""
     e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") * 13 % 1000 + 0.25).alias("x"), (F.col("user_id") * 7 % 1000 + 0.25).alias("y"))
-    found = P.points_in(zones(spark, sf_dir), e.select("x", "y").distinct(), CELL).groupBy(F.col("r_x").alias("x"), F.col("r_y").alias("y")).agg(F.count("*").alias("zones"))
-    return e.join(found, ["x", "y"], "left").select("event_id", F.coalesce("zones", F.lit(0)).alias("zones"))
+    places = zones(spark, sf_dir).groupBy(*P.SHAPED).agg(F.count("*").alias("n"))
+    found = P.points_in(places, e.select("x", "y").distinct(), CELL).groupBy(F.col("r_x").alias("x"), F.col("r_y").alias("y")).agg(F.sum("l_n").alias("zones"))
+    return e.join(found, ["x", "y"], "left").groupBy("event_id").agg(F.sum(F.coalesce("zones", F.lit(0))).alias("zones"))  # an event that comes again is one row
