@@ -11,7 +11,7 @@ from zonaris.functions import geometry as G
 from zonaris.operators import classes as C
 from zonaris.operators import polygons as P
 from zonaris.operators import spatial as S
-from zonaris.plans import catalog, polygons, relational  # noqa: F401  (they add to the catalogue)
+from zonaris.plans import catalog, polygons, relational, textual  # noqa: F401  (they add to the catalogue)
 
 
 def squares(spark, n, places=1, side=10.0):
@@ -71,3 +71,20 @@ def test_event_that_comes_again_is_one_row(spark, tmp_path):
     e.unionByName(e.limit(7)).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = catalog.QUERIES["point_coverage"](spark, str(tmp_path))
     assert got.count() == e.count() == got.select("event_id").distinct().count()
+
+
+def test_a_frequent_word_is_dealt_to_many_tasks(spark):
+    from zonaris.operators import search
+
+    q = spark.createDataFrame([(1, "long street")], "q int, query string")
+    labels = spark.range(200).select(F.col("id").alias("k"), F.lit("long street").alias("label"), F.lit("city").alias("kind"))
+    got = search.search(q, "q", labels, "k", 5, "kind", F.lit(0.0), F.lit(True))
+    assert [r["k"] for r in got.orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert "salt" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_quotes_are_looked_up_once(spark, tmp_path):
+    p = spark.read.parquet(f"{SMALL}/part.parquet").limit(1)
+    p.drop("p_partkey").crossJoin(spark.range(6, 66, 6).withColumnRenamed("id", "p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    d = catalog.QUERIES["quote_places"](spark, str(tmp_path))
+    assert d.count() == 10 and C.SAME in d._jdf.queryExecution().analyzed().toString()

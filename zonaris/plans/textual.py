@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonaris.functions import legal as T
+from zonaris.operators import classes as C
 from zonaris.operators import search as S
 from zonaris.plans.catalog import query, table
 
@@ -162,7 +163,9 @@ def quote_places(spark, sf_dir):
     k, name = F.col("p_partkey"), F.col("p_name")
     text = F.concat(F.lit("wstęp -- "), name, F.when(k % 2 == 1, "  ").otherwise(" "), F.lit("12345"), F.lit(" koniec"))
     wrong = F.concat(F.lit("?"), F.substring(name, 2, 50), F.when(k % 2 == 1, "  ").otherwise(" "), F.when(k % 3 == 0, "12346").otherwise("12345"))
-    d = table(spark, sf_dir, "part").select("p_partkey", T.quote_place(text, F.concat(name, F.lit(" 12345"))).alias("q"), T.near_quote(text, wrong, F.lit(1)).alias("n"))
+    d = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"), F.concat(name, F.lit(" 12345")).alias("quote"), wrong.alias("wrong"))
+    found = lambda v: v.select(C.SAME, T.quote_place("text", "quote").alias("q"), T.near_quote("text", "wrong", F.lit(1)).alias("n"))
+    d = C.each(d, ["text", "quote", "wrong"], found)  # equal texts and quotes are looked up once
     return d.select("p_partkey", F.col("q.start").cast("int").alias("start"), F.col("q.end").cast("int").alias("end"), F.col("n.start").cast("int").alias("near_start"), F.col("n.edits").cast("int").alias("edits"))
 
 
