@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Polish letters and what they fold to, one for one, so that offsets stay.
 FROM, TO = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "acelnoszzACELNOSZZ"
+SALTS = 32
 
 
 def fold(c: Column) -> Column:
@@ -103,7 +104,9 @@ def search(queries: DataFrame, query_key: str, labels: DataFrame, key: str, limi
     most = min(100, max(6 * limit, 30))
     q = queries.select(query_key, "query", F.explode(F.array_distinct(F.filter(tokens(F.col("query")), lambda w: F.length(w) >= 2))).alias("token"))
     d = labels.select(key, F.explode(F.array_distinct(tokens(F.col("label")))).alias("token"))
-    shared = q.join(d, "token").groupBy(query_key, "query", key).agg(F.count("*").alias("n"))
+    # a word that very many labels have is dealt to SALTS tasks, so each query's words come once for each of them
+    q, d = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), d.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    shared = q.join(d, ["token", "salt"]).groupBy(query_key, "query", key).agg(F.count("*").alias("n"))
     first = shared.withColumn("rn", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("n"), key))).where(F.col("rn") <= most)
     ranked = rank_addresses(first.join(labels, key), key, kind, distance, in_box, limit, query_key)
     return ranked
