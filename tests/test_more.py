@@ -9,9 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from zonaris.functions import legal as T
 from zonaris.functions import text
 from zonaris.operators import filters, graph, registry, studies
+from zonaris.plans import documents
 from zonaris.sources import packages as K
 
 
@@ -85,6 +87,12 @@ def test_archives_and_features_that_are_broken(spark):
     assert K.unzip(empty).collect() == [] and K.read_gml(empty, "a").collect() == [] and K.read_elements(empty, "a", ["b"]).collect() == []
 
 
+@pytest.mark.parametrize("query", [documents.archive_members, documents.zipped_addresses, documents.gml_features, documents.feature_info])
+def test_packages_of_a_small_file_are_made_in_many_tasks(spark, query):
+    at = query(spark, SMALL).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert at > 1
+
+
 def test_groups_of_a_chain_and_of_none(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(100, 60, -1)] + [(7, 9), (None, 1), (5, 5)], "a int, b int")
     got = {r["node"]: r["leader"] for r in graph.groups(chain, "a", "b").collect()}
