@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,31 @@ def test_packages_of_a_small_file_are_made_in_many_tasks(spark, query):
     assert at > 1
 
 
+def test_archives_are_packed_and_read_one_by_one(spark):
+    rows = [(f"n{i:03d}", bytes([i]) * 1000) for i in range(200)] + [("n007", b"again"), ("none", None)]
+    d = spark.createDataFrame(rows, "name string, content binary")
+    z = K.zip_archives(d, "name", "content", 5000)
+    packed = z.collect()
+    assert len({r["archive"] for r in packed}) == len(packed) >= 33 and max(sum(m["n_bytes"] for m in r["manifest"]) for r in packed) <= 6000
+    held = [(n, c) for n, c in rows if c is not None]
+    assert sorted((m["name"], m["n_bytes"], m["sha256"]) for r in packed for m in r["manifest"]) == sorted((n, len(c), hashlib.sha256(c).hexdigest()) for n, c in held)
+    assert sorted((r["member"], bytes(r["content"])) for r in K.unzip(z.select(F.col("archive").alias("path"), "content")).collect()) == sorted(held)
+    plan = z._jdf.queryExecution().optimizedPlan().toString()  # each archive is a group of its own, not a value in a batch of many
+    assert "FlatMapGroupsInArrow" in plan and "collect_list" not in plan
+
+
+def test_members_go_back_in_small_batches():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(3):
+            z.writestr(f"{i}.bin", bytes(700_000))
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(10)] + ["none"], "content": [out.getvalue()] * 10 + [None]})
+    got = list(K._unpacked([])(iter([batch])))
+    assert max(sum(len(c or b"") for c in b.column("content").to_pylist()) for b in got) < K.BATCH_BYTES + 700_000
+    found = [(r["path"], r["member"], r["reason"]) for b in got for r in b.to_pylist()]
+    assert found == [(str(i), f"{k}.bin", None) for i in range(10) for k in range(3)] + [("none", "", "not_an_archive")]
+
+
 def test_groups_of_a_chain_and_of_none(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(100, 60, -1)] + [(7, 9), (None, 1), (5, 5)], "a int, b int")
     got = {r["node"]: r["leader"] for r in graph.groups(chain, "a", "b").collect()}

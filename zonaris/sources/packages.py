@@ -6,11 +6,12 @@ reader has limits, and tells what it refused as rows instead of failing the job.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -25,6 +26,8 @@ from zonaris.functions.legal import arrow
 #: Limits of an archive, chosen so that one fits into a worker: members, bytes of one member and of all, and unpacked bytes for each packed one, of
 #: members above a floor (a deflated member of one repeated byte reaches 1000).
 MEMBERS, MEMBER_BYTES, ALL_BYTES, RATIO, FLOOR = 2000, 64 << 20, 128 << 20, 100.0, 8 << 10
+#: Bytes of members that go back to Spark at once.
+BATCH_BYTES = 4 << 20
 #: Limit of an XML document: elements.
 ELEMENTS = 2_000_000
 _s, _f = pa.string(), pa.float64()
@@ -76,12 +79,35 @@ def members_of(raw: bytes, suffixes: Sequence[str] = ()) -> Iterator[tuple[str,
             yield name, data, None
 
 
+def _unpacked(suffixes: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function: (path, content) to (path, member, content, reason); archives are read one by one, and members go back in batches
+    of about `BATCH_BYTES`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+
+            def made(held, batch=batch):
+                at, members, contents, reasons = zip(*held, strict=True)
+                return pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(at)), pa.array(members, _s), pa.array(contents, pa.binary()), pa.array(reasons, _s)], names=["path", "member", "content", "reason"])
+
+            for i, raw in enumerate(batch.column("content")):
+                for member, content, reason in members_of(raw.as_py() or b"", suffixes):
+                    held.append((i, member, content, reason))
+                    size += len(content or b"")
+                    if size >= BATCH_BYTES:
+                        yield made(held)
+                        held, size = [], 0
+            if held:
+                yield made(held)
+
+    return run
+
+
 def unzip(files: DataFrame, suffixes: Sequence[str] = ()) -> DataFrame:
     """(path, member, content, reason) of ZIP files (path, content): one row for each member read or refused."""
-    kind = "array<struct<member:string,content:binary,reason:string>>"
-    typ = pa.list_(pa.struct([("member", _s), ("content", pa.binary()), ("reason", _s)]))
-    work = arrow(lambda raw: [{"member": m, "content": c, "reason": r} for m, c, r in members_of(raw or b"", suffixes)], kind, typ)
-    return files.select("path", F.explode(work("content")).alias("m")).select("path", "m.*")
+    kind = f"path {files.schema['path'].dataType.simpleString()}, member string, content binary, reason string"
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(_unpacked(suffixes), kind)
 
 
 _local = lambda tag: tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
@@ -258,6 +284,9 @@ def assembled_acts(features: DataFrame, documents: DataFrame, acts: DataFrame, a
     return out.select(*acts.columns, zero("zones"), zero("layers"), zero("documents"), (F.col("zones").isNotNull() & F.col("documents").isNotNull()).alias("complete"))
 
 
+_manifest = pa.list_(pa.struct([("name", _s), ("n_bytes", pa.int64()), ("sha256", _s)]))
+
+
 def zip_archives(rows: DataFrame, name: str, content: str, most: int) -> DataFrame:
     """(archive, content, manifest): rows packed into archives of about `most` bytes, always the same bytes for the same rows.
 
@@ -270,16 +299,18 @@ def zip_archives(rows: DataFrame, name: str, content: str, most: int) -> DataFra
     before = Window.partitionBy("part").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("number", F.floor(F.coalesce(F.sum(F.octet_length("content")).over(before), F.lit(0)) / most))
 
-    def pack(members):
+    def pack(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
+        part, number = (k.as_py() for k in key)
+        rows = sorted(zip(members.column("name").to_pylist(), members.column("content").to_pylist(), strict=True), key=lambda m: (m[0].encode(), m[1]))
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:  # stored: the bytes do not depend on a compressor
-            for m in members:
-                z.writestr(zipfile.ZipInfo(m["name"], (1980, 1, 1, 0, 0, 0)), m["content"])
-        return out.getvalue()
+            for member, data in rows:
+                z.writestr(zipfile.ZipInfo(member, (1980, 1, 1, 0, 0, 0)), data)
+        manifest = [{"name": member, "n_bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()} for member, data in rows]
+        return pa.table({"archive": pa.array([f"{part:05d}-{number:05d}"]), "content": pa.array([out.getvalue()], pa.binary()), "manifest": pa.array([manifest], _manifest)})
 
-    g = d.groupBy("part", "number").agg(F.sort_array(F.collect_list(F.struct("name", "content"))).alias("members"))
-    manifest = F.transform("members", lambda m: F.struct(m["name"].alias("name"), F.octet_length(m["content"]).cast("bigint").alias("n_bytes"), F.sha2(m["content"], 256).alias("sha256")))
-    return g.select(F.concat_ws("-", F.lpad("part", 5, "0"), F.lpad("number", 5, "0")).alias("archive"), arrow(pack, "binary", pa.binary())("members").alias("content"), manifest.alias("manifest"))
+    # an archive's rows are a group of their own in Python: no batch holds several archives
+    return d.groupBy("part", "number").applyInArrow(pack, "archive string, content binary, manifest array<struct<name:string,n_bytes:bigint,sha256:string>>")
 
 
 def _varint(n: int) -> bytes:
