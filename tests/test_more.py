@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import zipfile
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from zonaris.functions import legal as T
 from zonaris.functions import text
-from zonaris.operators import filters, graph, registry, studies
-from zonaris.plans import documents
+from zonaris.operators import aggregates, filters, graph, registry, studies
+from zonaris.plans import catalog, documents
 from zonaris.sources import packages as K
 
 
@@ -120,6 +121,22 @@ def test_members_go_back_in_small_batches():
     assert found == [(str(i), f"{k}.bin", None) for i in range(10) for k in range(3)] + [("none", "", "not_an_archive")]
 
 
+def test_percentiles_are_exact_and_gather_no_group(spark):
+    rng = np.random.default_rng(8)
+    groups = {"same": [4.0] * 500, "one": [7.0], "two": [1.0, 2.0], "ties": [5.0] * 300 + list(rng.normal(5, 3, 700)), "wide": list(rng.lognormal(0, 4, 5000)), None: list(rng.integers(0, 9, 800) / 4), "nan": [1.0, 2.0, 3.0, math.nan], "none": [None] * 3}
+    rows = [(k, None if v is None else float(v)) for k, vs in groups.items() for v in vs] + [("wide", None)] * 50
+    d = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "k string, v double").repartition(6)
+    shares = (0.0, 0.1, 0.5, 0.9, 0.999, 1.0)
+    want = {r["k"]: r["p"] for r in d.where("v is not null").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("p")).collect()}
+    for near in (0.001, 0.2):
+        got = aggregates.percentiles(d, "k", "v", shares, near)
+        found = {r["k"]: list(r)[1:] for r in got.collect()}
+        assert set(found) == set(want) == set(groups) - {"none"}
+        assert all(np.allclose(found[k], want[k], rtol=1e-12, atol=0, equal_nan=True) for k in want)
+    plan = catalog.QUERIES["percentiles_r7"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
+
+
 def test_groups_of_a_chain_and_of_none(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(100, 60, -1)] + [(7, 9), (None, 1), (5, 5)], "a int, b int")
     got = {r["node"]: r["leader"] for r in graph.groups(chain, "a", "b").collect()}

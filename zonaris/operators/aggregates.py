@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonaris.sources.shared import written
+
 
 def share_completeness(parts: DataFrame, wholes: DataFrame, key: str, part: str, whole: str, tolerance: float = 0.1) -> DataFrame:
     """(key, measured, whole, share, is_complete, reasons): a missing or zero whole gives a null share, never 100 %."""
@@ -65,6 +68,32 @@ def nearest_rank(df: DataFrame, key: str, value: str, p: float) -> DataFrame:
     return d.where(F.col("_rn") == F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(p).cast("decimal(10,4)")))).select(key, value)
 
 
+def percentiles(df: DataFrame, key: str, value: str, shares: Sequence[float], near: float = 0.001) -> DataFrame:
+    """(key, p0, p1, ...): exact percentiles with linear interpolation (as `percentile`) of the values that are not null, for few large groups.
+
+    No task holds a group. A sketch of each group gives cuts just below and above each percentile, rows are counted between them, and only the
+    parts in which the wanted ranks lie are put in order. The cuts decide the work, never the result; a cut's own value is a part by itself, so ties
+    do not widen a part. The cuts are written, as a sketch made again may differ; they and the parts are a few rows a group.
+    """
+    d = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    around = sorted({min(1.0, max(0.0, p + e)) for p in shares for e in (-near, near)})
+    cuts = written(d.groupBy(F.col("k").alias("of")).agg(F.percentile_approx("v", around, 10_000).alias("cuts")), "cuts")
+    part = reduce(lambda a, b: a + b, ((F.col("v") >= F.col("cuts")[i]).cast("int") + (F.col("v") > F.col("cuts")[i]).cast("int") for i in range(len(around))))
+    d = d.join(F.broadcast(cuts), F.col("k").eqNullSafe(F.col("of"))).select("k", part.alias("part"), "v")
+    sizes, group = d.groupBy("k", "part").agg(F.count("*").alias("n")), Window.partitionBy("k")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("k").alias("of"), F.col("part").alias("in"), "n", before(group.orderBy("part")).alias("start"), F.sum("n").over(group).alias("all"))
+    place = [F.lit(float(p)) * (F.col("all") - 1) for p in shares]
+    ranks = F.array(*(F.struct(F.lit(i).alias("i"), x.alias("place"), r.alias("rank")) for i, x in enumerate(place) for r in (F.floor(x), F.ceil(x))))
+    wanted = written(sizes.select("*", F.inline(F.array_distinct(ranks))).where("rank >= start and rank < start + n").drop("n", "all"), "wanted")
+    d = d.join(F.broadcast(wanted.select("of", "in", "start").distinct()), F.col("k").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in"))).groupBy("k", "part", "start", "v").agg(F.count("*").alias("n"))
+    d = d.select("k", "part", "v", "n", (F.col("start") + before(Window.partitionBy("k", "part").orderBy("v"))).alias("first"))
+    d = d.join(F.broadcast(wanted), F.col("k").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    share = 1 - F.abs(F.col("place") - F.col("rank"))
+    ends = d.groupBy("k", "i").agg(F.when(F.min("v") == F.max("v"), F.min("v")).otherwise(F.sum(share * F.col("v"))).alias("x"))
+    return ends.groupBy(F.col("k").alias(key)).agg(*(F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"p{i}") for i in range(len(shares))))
+
+
 def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """(key, start, end): half-open intervals merged where they overlap or touch."""
     by = Window.partitionBy(key).orderBy(start, end)
