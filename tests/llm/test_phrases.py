@@ -150,6 +150,17 @@ def test_op12_longer_phrases_ties_and_few_places(spark, most, best):
     assert got == plain_collocations(rows, most, 3, 60, best)
 
 
+def test_op12_blocks_get_no_names_for_the_last_level(spark, monkeypatch):
+    written, plain = [], collocations.materialize
+    monkeypatch.setattr(collocations, "materialize", lambda df, name: written.append(name) or plain(df, name))
+    docs = spark.createDataFrame([("a b c a b c. b c a b", "x"), ("c a b c", "x"), ("a b", None)], "text string, lang string")
+    _, levels = collocations.phrase_names(docs, 3, 2, 8)
+    assert not {"known2", "named2"} & set(written) and {"known1", "named1", "names3"} <= set(written)
+    word = {r["id"]: r["word"] for r in levels[0].collect()}
+    two = {r["id"]: (word[r["left"]], word[r["right"]]) for r in levels[1].collect()}
+    assert sorted((*two[r["left"]], two[r["right"]][1], r["f"]) for r in levels[2].collect()) == [("a", "b", "c", 3), ("b", "c", "a", 2), ("c", "a", "b", 3)]
+
+
 def test_op12_edges(spark):
     docs = edge_docs(spark)
     got = {tuple(r[c] for c in COLUMNS) for r in collocations.collocations(docs, least=1).collect()}

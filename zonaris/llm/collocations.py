@@ -11,6 +11,9 @@ has a sequence of local numbers and, for each of them, its global name. Words an
 one row for each block and distinct pair is shuffled. The names come back to the blocks by a join; before it, pairs that have no name are mostly
 left out by a filter of `FILTER_BITS` bits, whose size does not depend on the data (with more names it lets more pairs through
 to the join, which decides). A block's row is the largest unit of work.
+
+The last level needs no names in the blocks: its phrases are counted as three neighbouring names of the level two below, where the filter lets both
+pairs through, and only the frequent ones are joined to the names of their halves (a frequent phrase has frequent halves, so none is lost).
 """
 
 from __future__ import annotations
@@ -121,13 +124,33 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
 
+def _passing(bits: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether each pair passes the filter."""
+    one, two = (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) for bit in _two_bits(left, right))
+    return (one & two & np.uint64(1)).astype(bool)
+
+
+def _tripled(bits):
+    """A mapInArrow function: blocks to (first, middle, last, count) of three neighbouring names whose two pairs pass the filter; `bits` is its broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, at, number, left, right, _ in _rows(batches):
+            on = _passing(bits.value, left, right)[number]
+            next_to = np.flatnonzero(on[:-1] & on[1:] & (at[1:] == at[:-1] + 1))
+            n = max(1, len(left))
+            code, count = np.unique(number[next_to].astype(np.int64) * n + number[next_to + 1], return_counts=True)
+            one, two = code // n, code % n
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (left[one], right[one], right[two], count.astype(np.int64)))], names=["first", "middle", "last", "count"])
+
+    return run
+
+
 def _located(bits):
     """A mapInArrow function: blocks to (block, number, left, right) of the pairs that pass the filter; `bits` is its broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, _, _, left, right, _ in _rows(batches):
-            one, two = (bits.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) for bit in _two_bits(left, right))
-            on = np.flatnonzero(one & two & np.uint64(1))
+            on = np.flatnonzero(_passing(bits.value, left, right))
             block = pa.repeat(row.column("block")[0], len(on))
             yield pa.RecordBatch.from_arrays([block, *map(pa.array, (on, left[on], right[on]))], names=["block", "number", "left", "right"])
 
@@ -205,10 +228,19 @@ def _phrase_names(docs: DataFrame, most_words: int, least: int, block_words: int
     discard(raw)
     discard(known)
     for level in range(2, most_words + 1):
-        names = named(blocks.mapInArrow(_counted, "left bigint, right bigint, count bigint"), ["left", "right"], level)
+        if level == most_words > 2:
+            counts = blocks.mapInArrow(_tripled(bits), "first bigint, middle bigint, last bigint, count bigint").groupBy("first", "middle", "last").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+            left = levels[-1].select(F.col("id").alias("left"), F.col("left").alias("first"), F.col("right").alias("middle"))
+            right = levels[-1].select(F.col("id").alias("right"), F.col("left").alias("middle"), F.col("right").alias("last"))
+            names = counts.join(left, ["first", "middle"]).join(right, ["middle", "last"])
+            names = materialize(names.select(F.monotonically_increasing_id().alias("id"), "left", "right", "f"), f"names{level}")
+        else:
+            names = named(blocks.mapInArrow(_counted, "left bigint, right bigint, count bigint"), ["left", "right"], level)
         levels.append(names)
         if level < most_words:
-            found = blocks.mapInArrow(_located(_filter_of(names)), "block bigint, number bigint, left bigint, right bigint")
+            bits = _filter_of(names)
+        if level < most_words - 1:
+            found = blocks.mapInArrow(_located(bits), "block bigint, number bigint, left bigint, right bigint")
             known = _known(found.join(names.select("id", "left", "right"), ["left", "right"]).select("block", "number", "id"), level)
             paired = materialize(blocks.join(known, "block").mapInArrow(_renamed, _BLOCK), f"named{level}")
             discard(blocks)
