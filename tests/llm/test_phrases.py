@@ -161,6 +161,46 @@ def test_op12_blocks_get_no_names_for_the_last_level(spark, monkeypatch):
     assert sorted((*two[r["left"]], two[r["right"]][1], r["f"]) for r in levels[2].collect()) == [("a", "b", "c", 3), ("b", "c", "a", 2), ("c", "a", "b", 3)]
 
 
+def test_op12_a_task_holds_few_blocks_at_once(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    groups, plans, plain = {}, [], collocations.materialize
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = plain(df, name)
+        files = [f.split(":", 1)[1] for f in out.inputFiles()]
+        groups[name] = [pq.ParquetFile("/" + f.lstrip("/")).metadata for f in files]
+        return out
+
+    monkeypatch.setattr(collocations, "materialize", watched)
+    rows = [(" ".join(f"w{(i * j) % 17}" for j in range(40)), "x") for i in range(60)]
+    _, levels = collocations.phrase_names(spark.createDataFrame(rows, "text string, lang string").coalesce(1), 4, 2, 40)
+    for name in ("blocks", "named1", "named2"):
+        sizes = [m.row_group(i).num_rows for m in groups[name] for i in range(m.num_row_groups)]
+        assert sum(sizes) >= 50 and max(sizes) <= collocations.GROUP_BLOCKS
+    assert max(m.row_group(i).num_rows for m in groups["names2"] for i in range(m.num_row_groups)) > collocations.GROUP_BLOCKS
+    assert not any("collect_list" in p for p in plans) and spark.conf.get("parquet.block.row.count.limit", None) is None
+
+
+def test_op12_words_of_a_block_that_is_done_are_let_go(monkeypatch):
+    import gc
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a b c d"] * 50), pa.array(["x"] * 50)], names=["text", "lang"])
+    gc.collect()
+    gc.disable()
+    try:
+        before = sum(type(x) is collocations.defaultdict for x in gc.get_objects())
+        assert len(list(collocations._blocks(4)(iter([batch])))) == 50
+        assert sum(type(x) is collocations.defaultdict for x in gc.get_objects()) - before <= 1
+    finally:
+        gc.enable()
+
+
 def test_op12_edges(spark):
     docs = edge_docs(spark)
     got = {tuple(r[c] for c in COLUMNS) for r in collocations.collocations(docs, least=1).collect()}

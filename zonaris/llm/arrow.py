@@ -20,17 +20,21 @@ BATCH_BYTES = 4 << 20
 
 
 @contextmanager
-def small_batches(spark: SparkSession, most: int = 2 * BATCH_BYTES) -> Iterator[None]:
-    """While it lasts, jobs of the session send Python at most about `most` bytes at once; for tables whose rows are large."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """While it lasts, the session has `value` for `name`."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, str(most))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession, most: int = 2 * BATCH_BYTES):
+    """While it lasts, jobs of the session send Python at most about `most` bytes at once; for tables whose rows are large."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def sizes_of(texts: pa.Array) -> list[int]:
     """Bytes of each text; null is 0."""
     return pc.fill_null(pc.binary_length(texts), 0).to_pylist()

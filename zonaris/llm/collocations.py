@@ -10,7 +10,8 @@ Texts are held as blocks: of one language, at most `BLOCK_WORDS` words (a piece
 has a sequence of local numbers and, for each of them, its global name. Words and pairs are counted inside a block first, so only
 one row for each block and distinct pair is shuffled. The names come back to the blocks by a join; before it, pairs that have no name are mostly
 left out by a filter of `FILTER_BITS` bits, whose size does not depend on the data (with more names it lets more pairs through
-to the join, which decides). A block's row is the largest unit of work.
+to the join, which decides). A block's row is the largest unit of work: tables of blocks are written in row groups of `GROUP_BLOCKS`, as Spark reads and
+writes a whole row group at once, and the names of a block meet it by a sort, not in a map of arrays, so a task's memory does not grow with its blocks.
 
 The last level needs no names in the blocks: its phrases are counted as three neighbouring names of the level two below, where the filter lets both
 pairs through, and only the frequent ones are joined to the names of their halves (a frequent phrase has frequent halves, so none is lost).
@@ -28,12 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import lists, small_batches
+from .arrow import lists, setting, small_batches
 from .scratch import discard, materialize
 from .textkit import mix
 
 BLOCK_WORDS = 1 << 20
 FILTER_BITS = 1 << 26
+GROUP_BLOCKS = 4
+#: Rows of counts that go back to Spark at once.
+PART_ROWS = 1 << 16
 #: Buckets in which the best of a language are taken first, so that no task sees all of a language's phrases.
 BUCKETS = 32
 #: What ends a piece, what parts words, and capitals; all other bytes are parts of words.
@@ -67,6 +71,7 @@ def _blocks(most: int):
             nonlocal size, done
             for lang, block in held.items():
                 yield block.row(own + done, lang)
+                block.number.default_factory = None  # it refers to the numbers, which would stay until Python's collector ran
                 done += 1
             held.clear()
             size = 0
@@ -102,10 +107,16 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, n
             yield row, at, number, name[code // n], name[code % n], count.astype(np.int64)
 
 
+def _parts(*columns: np.ndarray | pa.Array, names: list[str]) -> Iterator[pa.RecordBatch]:
+    batch = pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
+    for start in range(0, batch.num_rows, PART_ROWS):
+        yield batch.slice(start, PART_ROWS)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A mapInArrow function: blocks to (left, right, count) of their pairs; names belong to one language, so it need not be told."""
     for _, _, _, left, right, count in _rows(batches):
-        yield pa.RecordBatch.from_arrays([*map(pa.array, (left, right, count))], names=["left", "right", "count"])
+        yield from _parts(left, right, count, names=["left", "right", "count"])
 
 
 def _two_bits(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +151,7 @@ def _tripled(bits):
             n = max(1, len(left))
             code, count = np.unique(number[next_to].astype(np.int64) * n + number[next_to + 1], return_counts=True)
             one, two = code // n, code % n
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (left[one], right[one], right[two], count.astype(np.int64)))], names=["first", "middle", "last", "count"])
+            yield from _parts(left[one], right[one], right[two], count.astype(np.int64), names=["first", "middle", "last", "count"])
 
     return run
 
@@ -151,32 +162,27 @@ def _located(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, _, _, left, right, _ in _rows(batches):
             on = np.flatnonzero(_passing(bits.value, left, right))
-            block = pa.repeat(row.column("block")[0], len(on))
-            yield pa.RecordBatch.from_arrays([block, *map(pa.array, (on, left[on], right[on]))], names=["block", "number", "left", "right"])
+            yield from _parts(pa.repeat(row.column("block")[0], len(on)), on, left[on], right[on], names=["block", "number", "left", "right"])
 
     return run
 
 
-def _renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A mapInArrow function: (block, lang, seq, name, number, id) to blocks of pairs: a pair stands at its left half's place, -1 where none has a name."""
-    for row, at, number, left, _, _ in _rows(batches):
-        known, name = (row.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("number", "id"))
-        rank = np.full(len(left), -1, np.int32)
-        rank[known] = np.arange(len(known))
-        out = np.full(len(row.column("seq")[0].values), -1, np.int32)
-        out[at] = rank[number]
-        yield _block_row(row, out, name)
+def _renamed(row: pa.RecordBatch, known: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+    """The block of pairs of a block: a pair stands at its left half's place, -1 where none has a name. `known` are the numbers of those that have one."""
+    _, at, number, left, _, _ = next(_rows([row]))
+    rank = np.full(len(left), -1, np.int32)
+    rank[known] = np.arange(len(known))
+    out = np.full(len(row.column("seq")[0].values), -1, np.int32)
+    out[at] = rank[number]
+    return _block_row(row, out, name)
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A mapInArrow function: (block, lang, seq, number, id) to blocks whose numbers are those of the named words."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            seq, known, name = (row.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("seq", "number", "id"))
-            rank = np.full(int(seq.max(initial=-1)) + 2, -1, np.int32)  # the last is for -1
-            rank[known] = np.arange(len(known))
-            yield _block_row(row, rank[seq], name)
+def _named(row: pa.RecordBatch, known: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+    """The block whose numbers are those of the named words."""
+    seq = row.column("seq")[0].values.to_numpy(zero_copy_only=False)
+    rank = np.full(int(seq.max(initial=-1)) + 2, -1, np.int32)  # the last is for -1
+    rank[known] = np.arange(len(known))
+    return _block_row(row, rank[seq], name)
 
 
 def _block_row(row: pa.RecordBatch, seq: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
@@ -185,6 +191,34 @@ def _block_row(row: pa.RecordBatch, seq: np.ndarray, name: np.ndarray) -> pa.Rec
 
 
 _BLOCK = "block bigint, lang string, seq array<int>, name array<bigint>"
+_BLOCK_ARROW = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("seq", pa.list_(pa.int32())), ("name", pa.list_(pa.int64()))])
+
+
+def _given(work):
+    """A function of one block and its (block, number, id): the block that `work` makes with them; a block without a name is left out."""
+
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        if not (block.num_rows and known.num_rows):
+            return _BLOCK_ARROW.empty_table()
+        number, name = (known.column(c).to_numpy() for c in ("number", "id"))
+        return pa.Table.from_batches([work(block.combine_chunks().to_batches()[0], number, name)])
+
+    return run
+
+
+def _write_blocks(blocks: DataFrame, name: str) -> DataFrame:
+    with setting(blocks.sparkSession, "parquet.block.row.count.limit", str(GROUP_BLOCKS)):
+        return materialize(blocks, name)
+
+
+def _with_names(blocks: DataFrame, located: DataFrame, work, level: int) -> DataFrame:
+    """The blocks that `work` makes of each block and its (block, number, id) in `located`, at most its distinct ones. Those are written first, so that the
+    shuffles before them are gone when the sequences move."""
+    known = materialize(located.select("block", "number", "id"), f"known{level}")
+    out = _write_blocks(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_given(work), _BLOCK), f"named{level}")
+    discard(blocks)
+    discard(known)
+    return out
 
 
 def _filter_of(names: DataFrame):
@@ -195,12 +229,6 @@ def _filter_of(names: DataFrame):
     return names.sparkSession.sparkContext.broadcast(bits)
 
 
-def _known(located: DataFrame, level: int) -> DataFrame:
-    """(block, number, id): arrays of a block's named phrases, at most its distinct ones. Written, so that the shuffles before it are gone when the sequences move."""
-    known = located.groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("known"))
-    return materialize(known.select("block", F.col("known.number").alias("number"), F.col("known.id").alias("id")), f"known{level}")
-
-
 def phrase_names(docs: DataFrame, most_words: int, least: int, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[DataFrame]]:
     """(words of each language, names of each level).
 
@@ -218,15 +246,12 @@ def _phrase_names(docs: DataFrame, most_words: int, least: int, block_words: int
         return materialize(names.select(F.monotonically_increasing_id().alias("id"), *keys, "f"), f"names{level}")
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    raw = materialize(texts.mapInArrow(_blocks(block_words), "block bigint, lang string, words array<string>, count array<bigint>, seq array<int>"), "blocks")
+    raw = _write_blocks(texts.mapInArrow(_blocks(block_words), "block bigint, lang string, words array<string>, count array<bigint>, seq array<int>"), "blocks")
     total = materialize(raw.groupBy("lang").agg(F.sum(F.aggregate("count", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("n")), "words")
     words = raw.select("block", "lang", F.posexplode(F.arrays_zip(F.col("words").alias("word"), "count")).alias("number", "x")).select("block", "lang", "number", "x.*")
     levels = [named(words, ["lang", "word"], 1)]
     located = words.select("block", "lang", "number", "word").join(levels[0], ["lang", "word"]).select("block", "number", "id")
-    known = _known(located, 1)
-    blocks = materialize(raw.select("block", "lang", "seq").join(known, "block").mapInArrow(_named, _BLOCK), "named1")
-    discard(raw)
-    discard(known)
+    blocks = _with_names(raw.select("block", "lang", "seq"), located, _named, 1)
     for level in range(2, most_words + 1):
         if level == most_words > 2:
             counts = blocks.mapInArrow(_tripled(bits), "first bigint, middle bigint, last bigint, count bigint").groupBy("first", "middle", "last").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
@@ -241,11 +266,7 @@ def _phrase_names(docs: DataFrame, most_words: int, least: int, block_words: int
             bits = _filter_of(names)
         if level < most_words - 1:
             found = blocks.mapInArrow(_located(bits), "block bigint, number bigint, left bigint, right bigint")
-            known = _known(found.join(names.select("id", "left", "right"), ["left", "right"]).select("block", "number", "id"), level)
-            paired = materialize(blocks.join(known, "block").mapInArrow(_renamed, _BLOCK), f"named{level}")
-            discard(blocks)
-            discard(known)
-            blocks = paired
+            blocks = _with_names(blocks, found.join(names.select("id", "left", "right"), ["left", "right"]), _renamed, level)
     discard(blocks)
     return total, levels
 
