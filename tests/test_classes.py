@@ -88,3 +88,20 @@ def test_equal_quotes_are_looked_up_once(spark, tmp_path):
     p.drop("p_partkey").crossJoin(spark.range(6, 66, 6).withColumnRenamed("id", "p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     d = catalog.QUERIES["quote_places"](spark, str(tmp_path))
     assert d.count() == 10 and C.SAME in d._jdf.queryExecution().analyzed().toString()
+
+
+def test_rows_of_equal_parcels_come_in_runs(spark, tmp_path):
+    for t in os.listdir(SMALL):
+        if t != "customer.parquet":
+            os.symlink(f"{SMALL}/{t}", tmp_path / t)
+    key = 17 + 20 * (F.col("id") % 50) + 1000 * F.expr("id div 50")
+    c = spark.range(150).select(key.alias("c_custkey"), F.lit(1).alias("c_nationkey"))
+    c.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, other in (("zone_overlay_shares", "p_partkey"),):
+            rows = [(r["c_custkey"] % 1000 if other == "p_partkey" else 0, r[other], r["c_custkey"]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+            runs = sum(a[:2] != b[:2] for a, b in zip(rows, [(None, None), *rows]))
+            assert len(rows) == len(set(rows)) >= 3 * runs > 0 and runs == len({r[:2] for r in rows}), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
