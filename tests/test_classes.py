@@ -99,7 +99,7 @@ def test_rows_of_equal_parcels_come_in_runs(spark, tmp_path):
     c.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for name, other in (("zone_overlay_shares", "p_partkey"), ("slivers", "p_partkey")):
+        for name, other in (("zone_overlay_shares", "p_partkey"), ("slivers", "p_partkey"), ("polygon_points", "o_orderkey")):
             rows = [(r["c_custkey"] % 1000 if other == "p_partkey" else 0, r[other], r["c_custkey"]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
             runs = sum(a[:2] != b[:2] for a, b in zip(rows, [(None, None), *rows]))
             assert len(rows) == len(set(rows)) >= 3 * runs > 0 and runs == len({r[:2] for r in rows}), name
